@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webdistill.llm import bpe, common, packing, tokens
+from webdistill.llm import bpe, common, lines, packing, tokens, urls, warc
 
 
 def op2_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,9 +37,49 @@ def op10_forced_boundary_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = common.table(spark, sf_dir, "pages")
+    path = common.new_path(spark, "warc")
+    warc.write(pages, path)
+    found = common.save(warc.headers(warc.read(spark, path)), "warc-headers")
+    return warc.joined(found).select(F.col("page_id").cast("long"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long"))
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = lines.drop_boilerplate(common.table(spark, sf_dir, "documents"))
+    return docs.select("doc_id", "n_lines", "n_dropped", F.md5("text").alias("text_md5"))
+
+
+#: Fixed by the contract: verdict, host, path.
+RULES = [
+    ("block", "com", "/en/"),
+    ("allow", "example.com", "/en/7"),
+    ("allow", "net", "/de/"),
+    ("block", "example.net", "/de/8"),
+    ("block", "org", "/es/"),
+]
+
+
+def op9_url_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(common.table(spark, sf_dir, "pages"), RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_cost_balanced_packing, op3_orc_token_ids, op10_forced_boundary_bpe)}
+    return {f.__name__: f for f in (op2_cost_balanced_packing, op3_orc_token_ids, op6_warc_revisits, op7_line_dedup, op9_url_language_model, op10_forced_boundary_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op6_warc_revisits": WARC_SQL,
+        "op7_line_dedup": lines.SQL.format(ratio=0.1, least=5),
+    }
+
+
+WARC_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+m AS (SELECT h, max(page_id) AS top FROM p WHERE octet_length(encode(h)) >= 1000 GROUP BY h)
+SELECT page_id, octet_length(encode(p.h)) AS payload_bytes, sha1(p.h) AS payload_digest,
+  CASE WHEN top IS NULL OR top = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN top <> page_id THEN top END AS refers_to
+FROM p LEFT JOIN m ON p.h = m.h
+"""
