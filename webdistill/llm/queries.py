@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webdistill.llm import bpe, common, lines, packing, tokens, urls, warc
+from webdistill.llm import bpe, common, lines, packing, tokens, topk, urls, warc
 
 
 def op2_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,6 +50,10 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "n_lines", "n_dropped", F.md5("text").alias("text_md5"))
 
 
+def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(common.table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 #: Fixed by the contract: verdict, host, path.
 RULES = [
     ("block", "com", "/en/"),
@@ -65,12 +69,13 @@ def op9_url_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_cost_balanced_packing, op3_orc_token_ids, op6_warc_revisits, op7_line_dedup, op9_url_language_model, op10_forced_boundary_bpe)}
+    return {f.__name__: f for f in (op2_cost_balanced_packing, op3_orc_token_ids, op6_warc_revisits, op7_line_dedup, op8_exact_top_k, op9_url_language_model, op10_forced_boundary_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op6_warc_revisits": WARC_SQL,
+        "op8_exact_top_k": topk.SQL.format(scale=64, k=20),
         "op7_line_dedup": lines.SQL.format(ratio=0.1, least=5),
     }
 
