@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webdistill.llm import bpe, common, lines, packing, tokens, topk, urls, warc
+from webdistill.llm import bpe, common, lines, packing, quality, tokens, topk, toxicity, urls, warc
 
 
 def op2_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,6 +37,14 @@ def op10_forced_boundary_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(common.table(spark, sf_dir, "documents")).drop("distance")
+
+
+def op5_toxicity_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.rate(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
 def op6_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = common.table(spark, sf_dir, "pages")
     path = common.new_path(spark, "warc")
@@ -69,7 +77,7 @@ def op9_url_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_cost_balanced_packing, op3_orc_token_ids, op6_warc_revisits, op7_line_dedup, op8_exact_top_k, op9_url_language_model, op10_forced_boundary_bpe)}
+    return {f.__name__: f for f in (op2_cost_balanced_packing, op3_orc_token_ids, op4_robust_outliers, op5_toxicity_neighbours, op6_warc_revisits, op7_line_dedup, op8_exact_top_k, op9_url_language_model, op10_forced_boundary_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
