@@ -8,7 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webdistill.llm import bpe, common, lines, packing, quality, tokens, topk, toxicity, urls, warc
+from webdistill.llm import bpe, common, jaccard, lines, packing, quality, tokens, topk, toxicity, urls, warc
+
+
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(common.table(spark, sf_dir, "documents"), n=3, num=90, den=100)
 
 
 def op2_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,7 +81,7 @@ def op9_url_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_cost_balanced_packing, op3_orc_token_ids, op4_robust_outliers, op5_toxicity_neighbours, op6_warc_revisits, op7_line_dedup, op8_exact_top_k, op9_url_language_model, op10_forced_boundary_bpe)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_cost_balanced_packing, op3_orc_token_ids, op4_robust_outliers, op5_toxicity_neighbours, op6_warc_revisits, op7_line_dedup, op8_exact_top_k, op9_url_language_model, op10_forced_boundary_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
