@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -80,8 +81,12 @@ def op9_url_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(common.table(spark, sf_dir, "pages"), RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_cost_balanced_packing, op3_orc_token_ids, op4_robust_outliers, op5_toxicity_neighbours, op6_warc_revisits, op7_line_dedup, op8_exact_top_k, op9_url_language_model, op10_forced_boundary_bpe)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_cost_balanced_packing, op3_orc_token_ids, op4_robust_outliers, op5_toxicity_neighbours, op6_warc_revisits, op7_line_dedup, op8_exact_top_k, op9_url_language_model, op10_forced_boundary_bpe, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
