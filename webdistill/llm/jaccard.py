@@ -14,7 +14,7 @@ Size-aware heavy-light join over classes of documents with equal sets:
   lists of what is common are met only by sets that hold little else.
 
 Keys are not joined with themselves pair by pair either. Each member of a key is compared with the key's first set;
-links found are contracted to components, and only keys whose members still lie in different components are gone
+pairs whose profiles (counts of elements by hash) differ too much are ruled out before whole sets are fetched; links found are contracted to components, and only keys whose members still lie in different components are gone
 through again, so large groups of near copies cost their size and not its square. No link between components is lost:
 the last round compares all members of different components that share a key.
 """
@@ -37,6 +37,8 @@ _WORDS = re.compile(rb"[^ \t-\r]+")
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: An element that more sets than this share is put last in the order.
 LONG = 64
+#: Counts in a profile.
+BUCKETS = 64
 #: Ids that may be broadcast, 8 bytes each: at most 16 MB.
 SMALL = 2_000_000
 #: Largest number of shared elements that a light set's keys combine.
@@ -89,12 +91,27 @@ def _lists(parts: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64), pa.int64()))
 
 
+def front_size(n: int, num: int, den: int) -> int:
+    """Of a set of n, the elements among which it has ``SUBSET`` in common with any set it links to."""
+    return n - least_shared(n, num, den) + SUBSET
+
+
+def kept_size(n: int, num: int, den: int) -> int:
+    """Elements kept of a set of n: its front and half as many, to take the place of common ones."""
+    f = front_size(n, num, den)
+    return min(n, f + max(8, f // 2))
+
+
 def sets(docs: DataFrame, n: int, num: int, den: int, whole: bool) -> DataFrame:
-    """``doc_id, n, d1, d2`` (128-bit digest of the set) and either the whole ``elements`` or the ``front`` in order."""
+    """``doc_id, n, d1, d2`` (128-bit digest of the set) and either the whole ``elements`` or ``kept`` and ``profile``.
+
+    ``profile`` counts the elements by their low bits. Two sets differ in at least as many elements as their profiles
+    do, so profiles rule out most pairs for good without the sets.
+    """
     from hashlib import blake2b
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    last = "elements" if whole else "front"
+    names = ["doc_id", "n", "d1", "d2", *(["elements"] if whole else ["kept", "profile"])]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = _shingler(n)
@@ -103,14 +120,18 @@ def sets(docs: DataFrame, n: int, num: int, den: int, whole: bool) -> DataFrame:
             for i, text in enumerate(batch.column(1)):
                 s = shingle(text.as_py())
                 d = np.frombuffer(blake2b(s.tobytes(), digest_size=16).digest(), dtype="<i8")
-                rows.append((len(s), d[0], d[1], s if whole else s[: len(s) - least_shared(len(s), num, den) + SUBSET]))
+                rows.append((len(s), d[0], d[1], s if whole else s[: kept_size(len(s), num, den)], s))
                 size += len(rows[-1][3])
                 if size > 1 << 20 or i == batch.num_rows - 1:
-                    a, b, c, e = zip(*rows, strict=True)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(rows)), *(pa.array(np.array(x, dtype=np.int64)) for x in (a, b, c)), _lists(list(e))], ["doc_id", "n", "d1", "d2", last])
+                    a, b, c, e, all_of = zip(*rows, strict=True)
+                    columns = [batch.column(0).slice(at, len(rows)), *(pa.array(np.array(x, dtype=np.int64)) for x in (a, b, c)), _lists(list(e))]
+                    if not whole:
+                        columns.append(pa.array([np.minimum(np.bincount(x & (BUCKETS - 1), minlength=BUCKETS), 30_000).astype(np.int16) for x in all_of], pa.list_(pa.int16())))
+                    yield pa.RecordBatch.from_arrays(columns, names)
                     at, rows, size = i + 1, [], 0
 
-    return docs.mapInArrow(run, f"doc_id {kind}, n long, d1 long, d2 long, {last} array<long>")
+    last = "elements array<long>" if whole else "kept array<long>, profile array<smallint>"
+    return docs.mapInArrow(run, f"doc_id {kind}, n long, d1 long, d2 long, {last}")
 
 
 _shinglers: dict[int, Shingler] = {}
@@ -169,34 +190,26 @@ class Join:
         found = sets(self.docs.join(ids, "doc_id", "left_semi"), self.n, self.num, self.den, True)
         return common.save(found.select(F.col("doc_id").alias("id"), "n", "elements"), "jaccard-sets")
 
-    def front_size(self, n: Column) -> Column:
-        """Of a set of n, the elements among which it has ``SUBSET`` in common with any set it links to."""
-        return n - F.ceil(n * self.num / self.den) + SUBSET
-
     def ordered(self, classes: DataFrame) -> DataFrame:
         """``id, n, front``: fronts in the order that has common elements last.
 
-        Common are elements of which more than ``LONG`` sets have one in their fronts by hash (a quarter of the hash
-        range is looked at, which finds sets that share passages) or, among all elements of those sets, as many.
-        Fronts without a common element are right as they are.
+        Common are elements that more than ``LONG`` sets keep. A set that keeps none has its first elements for a front;
+        others move the common ones back. Where too few others were kept, the whole set is ordered again.
         """
-        e = classes.select(F.explode("front").alias("e"), "id")
-        often = e.where(F.col("e") % 4 == 0).groupBy("e").agg(F.count("*").alias("c")).where(F.col("c") > LONG).select("e")
-        often = common.save(often, "jaccard-often")
-        if not often.limit(1).count():
-            return classes.select("id", "n", "front")
-        sharing = common.save(e.join(often, "e").select("id").distinct(), "jaccard-sharing")
-        whole = self.whole_sets(sharing)
-        hot = whole.select(F.explode("elements").alias("e")).groupBy("e").agg(F.count("*").alias("c")).where(F.col("c") > LONG).select("e")
-        hot = common.save(hot.unionByName(often).distinct(), "jaccard-common")
-        moved = common.save(e.join(hot, "e").select("id").distinct(), "jaccard-moved")
-        more = moved.join(sharing, "id", "left_anti")
-        whole = whole.unionByName(self.whole_sets(more))
-        each = whole.select("id", F.explode("elements").alias("e")).join(hot, "e").groupBy("id").agg(F.collect_list("e").alias("hot"))  # at most the set
-        last = F.array_sort(F.array_intersect("elements", "hot"))
-        order = F.concat(F.array_except("elements", "hot"), last)  # elements come sorted
-        fronts = whole.join(each, "id").select("id", "n", F.slice(order, 1, self.front_size(F.col("n")).cast("int")).alias("front"))
-        return common.save(classes.select("id", "n", "front").join(moved, "id", "left_anti").unionByName(fronts.join(moved, "id", "left_semi")), "jaccard-ordered")
+        size = F.col("n") - F.ceil(F.col("n") * self.num / self.den) + SUBSET
+        each = classes.select("id", F.explode("kept").alias("e"))
+        hot = common.save(each.groupBy("e").agg(F.count("*").alias("c")).where(F.col("c") > LONG).select("e"), "jaccard-common")
+        if not hot.limit(1).count():
+            return classes.select("id", "n", F.slice("kept", 1, size.cast("int")).alias("front"))
+        own = each.join(hot, "e").groupBy("id").agg(F.collect_list("e").alias("hot"))  # of a set's own elements
+        moved = classes.select("id", "n", "kept").join(own, "id", "left").withColumn("others", F.when(F.col("hot").isNull(), F.col("kept")).otherwise(F.array_except("kept", "hot")))
+        done = (F.size("others") >= size) | (F.size("kept") >= F.col("n"))
+        front = F.slice(F.concat("others", F.coalesce(F.array_sort("hot"), F.array().cast("array<long>"))), 1, size.cast("int"))
+        moved = common.save(moved.select("id", "n", F.when(done, front).alias("front")), "jaccard-fronts")
+        whole = self.whole_sets(moved.where("front IS NULL").select("id"))
+        own = whole.select("id", F.explode("elements").alias("e")).join(hot, "e").groupBy("id").agg(F.collect_list("e").alias("hot"))
+        again = whole.join(own, "id").select("id", "n", F.slice(F.concat(F.array_except("elements", "hot"), F.array_sort("hot")), 1, size.cast("int")).alias("front"))
+        return moved.where("front IS NOT NULL").unionByName(common.save(again, "jaccard-again"))
 
     def keys(self, classes: DataFrame) -> DataFrame:
         """``key, id, n``: sets that link have a key in common. Keys of one set alone are left out."""
@@ -213,6 +226,13 @@ class Join:
         shared = every.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
         return common.save(every.join(shared, "key"), "jaccard-keys")
 
+    def possible(self, pairs: DataFrame, profiles: DataFrame) -> DataFrame:
+        """Pairs ``a, b`` whose profiles don't rule a link out."""
+        left = profiles.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("profile").alias("pa"))
+        right = profiles.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("profile").alias("pb"))
+        differ = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.abs(x.cast("int") - y)), F.lit(0), lambda t, x: t + x)
+        return pairs.join(right, "b").join(left, "a").where((differ.cast("long") * (self.den + self.num)) <= (F.col("na") + F.col("nb")) * (self.den - self.num)).select("a", "b")
+
     def verified(self, pairs: DataFrame, whole: DataFrame) -> DataFrame:
         """Of pairs ``a, b`` those whose sets link."""
         left = whole.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("elements").alias("ea"))
@@ -221,8 +241,8 @@ class Join:
         return both.where(F.lit(self.den) * F.col("shared") >= F.lit(self.num) * (F.col("na") + F.col("nb") - F.col("shared"))).select("a", "b")
 
     def pairs(self, keys: DataFrame, label: DataFrame | None, step: str) -> DataFrame:
-        """Pairs of sets in different components that share a key: each set and one head (``first``), each set and the
-        heads of all its keys (``heads``), or all (``all``)."""
+        """Pairs of sets in different components that share a key: each set and the head it shares most keys with
+        (``first``), each set and the heads of all its keys (``heads``), or all sets (``all``)."""
         named = keys.withColumn("component", F.col("id")) if label is None else keys.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
         heads = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min(F.struct("component", "id", "n")).alias("head")).where("low <> high")
         heads = heads.select("key", F.col("low").alias("ca"), F.col("head.id").alias("a"), F.col("head.n").alias("na"))
@@ -230,28 +250,35 @@ class Join:
             left = named.join(heads.select("key"), "key", "left_semi")
             heads = left.select("key", F.col("component").alias("ca"), F.col("id").alias("a"), F.col("n").alias("na"))
         near = F.lit(self.den) * F.least("n", "na") >= F.lit(self.num) * F.greatest("n", "na")
-        found = named.join(heads, "key").where((F.col("ca") < F.col("component")) & near)
+        found = named.join(heads, "key").where((F.col("ca") < F.col("component")) & near).select("a", F.col("id").alias("b"))
         if step == "first":
-            return found.groupBy(F.col("id").alias("b")).agg(F.min("a").alias("a"))
-        return found.select("a", F.col("id").alias("b")).distinct()
+            return found.groupBy("a", "b").agg(F.count("*").alias("c")).groupBy("b").agg(F.max_by("a", "c").alias("a"))
+        return found.distinct()
 
     def run(self) -> DataFrame:
-        fronts = common.save(sets(self.docs, self.n, self.num, self.den, False), "jaccard-fronts")
-        classes = fronts.where("n > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("front").alias("front"))
+        spark = self.docs.sparkSession
+        found = common.save(sets(self.docs, self.n, self.num, self.den, False), "jaccard-sets")
+        members = common.save(found.select("doc_id", "n", "d1", "d2"), "jaccard-members")
+        classes = found.where("n > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("kept").alias("kept"), F.first("profile").alias("profile"))
         classes = common.save(classes, "jaccard-classes")
+        common.drop(spark, found)
         keys = self.keys(classes)
-        whole = self.whole_sets(keys.select("id").distinct())
-        links, label = None, None
+        profiles = classes.select("id", "n", "profile")
+        links, label, whole, ids = None, None, None, None
         for step in ("first", "heads", "heads", "all"):
-            found = common.save(self.verified(self.pairs(keys, label, step), whole), "jaccard-links")
-            if found.limit(1).count():
-                links = found if links is None else links.unionByName(found)
+            pairs = common.save(self.possible(self.pairs(keys, label, step), profiles), "jaccard-pairs")
+            need = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+            need = common.save(need if ids is None else need.join(ids, "id", "left_anti"), "jaccard-need")
+            more = self.whole_sets(need)
+            whole, ids = (more, need) if whole is None else (whole.unionByName(more), ids.unionByName(need))
+            linked = common.save(self.verified(pairs, whole), "jaccard-links")
+            if linked.limit(1).count():
+                links = linked if links is None else links.unionByName(linked)
                 label = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
         named = classes.select("d1", "d2", "id").withColumn("component", F.col("id"))
         if label is not None:
             named = classes.select("d1", "d2", "id").join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        named = named.select("d1", "d2", "component")
-        out = fronts.select("doc_id", "n", "d1", "d2").join(named, ["d1", "d2"], "left")
+        out = members.join(named.select("d1", "d2", "component"), ["d1", "d2"], "left")
         alone = (F.col("n") == 0) | F.col("doc_id").isNull()
         return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
 
