@@ -7,7 +7,6 @@ import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -21,7 +20,6 @@ STARTS = (4, 5, 6)
 BLOCK = 64
 
 
-@lru_cache(maxsize=200_000)
 def terms_of(word: str) -> tuple[str, ...]:
     """A word's terms: itself, and its beginnings (marked ``^``)."""
     return (word, *(f"^{word[:n]}" for n in STARTS if len(word) >= n))
@@ -37,48 +35,53 @@ def unit(weights: dict[int, float]) -> dict[int, float]:
 
 
 class BlockMaxIndex:
-    """Posting lists of unit vectors, cut into blocks of examples, with each block's largest weight of each term.
+    """Postings of unit vectors by term in blocks of examples, with each block's largest weight of each term.
 
-    ``search`` takes blocks in descending order of the score none of their members can exceed, and stops only when that
-    bound falls below the k-th score found: the result is exact. Ties go to the earlier example.
+    ``search`` first scores the blocks that promise most. No member of another block can exceed the sum of the query's
+    weights times the block's largest ones, so only blocks whose bound reaches the k-th score found are scored after
+    them: the result is exact. Ties go to the earlier example.
     """
 
+    FIRST = 8
+
     def __init__(self, vectors: list[dict[int, float]], n_terms: int):
-        self.n, blocks = len(vectors), -(-len(vectors) // BLOCK)
-        postings: list[dict[int, tuple[list[int], list[float]]]] = [{} for _ in range(blocks)]
-        self.most = np.zeros((n_terms, blocks))
+        blocks = max(1, -(-len(vectors) // BLOCK))
+        self.postings = np.zeros((n_terms, blocks, BLOCK), dtype=np.float32)
         for i, v in enumerate(vectors):
             for t, x in v.items():
-                ids, xs = postings[i // BLOCK].setdefault(t, ([], []))
-                ids.append(i % BLOCK)
-                xs.append(x)
-                self.most[t, i // BLOCK] = max(self.most[t, i // BLOCK], x)
-        self.postings = [{t: (np.array(i), np.array(x)) for t, (i, x) in b.items()} for b in postings]
+                self.postings[t, i // BLOCK, i % BLOCK] = x
+        self.most = self.postings.max(axis=2).astype(np.float64) if n_terms else np.zeros((0, blocks))
 
     def search(self, query: dict[int, float], k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of highest cosine above zero, and the cosines."""
-        bound = np.zeros(self.most.shape[1])
-        for t, x in query.items():
-            bound += x * self.most[t]
-        ids, scores = np.zeros(0, dtype=np.int64), np.zeros(0)
-        least = 0.0
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or bound[b] < least - 1e-12:
-                break
-            line = np.zeros(BLOCK)
-            for t, x in query.items():
-                if (found := self.postings[b].get(t)) is not None:
-                    line[found[0]] += x * found[1]
-            if skip // BLOCK == b and skip >= 0:
-                line[skip % BLOCK] = 0
-            hit = np.flatnonzero((line > 0) & (line >= least - 1e-12))
-            ids, scores = np.concatenate([ids, hit + b * BLOCK]), np.concatenate([scores, line[hit]])
-            if len(ids) > k:
-                order = np.lexsort((ids, -np.round(scores, 12)))[:k]
-                ids, scores = ids[order], scores[order]
-                least = scores.min()
-        order = np.lexsort((ids, -np.round(scores, 12)))[:k]
-        return ids[order], scores[order]
+        terms, x = np.array(list(query), dtype=np.int64), np.array(list(query.values()))
+        bound = x @ self.most[terms]
+        order = np.argsort(-bound, kind="stable")
+        ids, scores = self._score(terms, x, order[: self.FIRST], skip)
+        least = np.partition(scores, len(scores) - k)[len(scores) - k] if len(scores) > k else 0.0
+        more = order[self.FIRST :]
+        more = more[(bound[more] >= least - 1e-5) & (bound[more] > 0)]
+        if len(more):
+            more_ids, more_scores = self._score(terms, x, more, skip)
+            ids, scores = np.concatenate([ids, more_ids]), np.concatenate([scores, more_scores])
+        best = np.lexsort((ids, -np.round(scores, 6)))[:k]
+        best = best[scores[best] > 1e-6]
+        return ids[best], scores[best]
+
+    def _score(self, terms: np.ndarray, x: np.ndarray, blocks: np.ndarray, skip: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(blocks) * 2 > self.postings.shape[1]:
+            every = np.zeros(self.postings.shape[1:])
+            for t, w in zip(terms, x, strict=True):
+                every += w * self.postings[t]
+            scores = every[blocks]
+        else:
+            scores = np.zeros((len(blocks), BLOCK))
+            for t, w in zip(terms, x, strict=True):
+                scores += w * self.postings[t, blocks]
+        scores = scores.ravel()
+        ids = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+        scores[ids == skip] = 0
+        return ids, scores
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -112,22 +115,20 @@ class Model:
 
     def __post_init__(self):
         self.index = None
-        self.seen: dict = {}
+        self.known: dict = {}
+        self.heads = {t.lstrip("^")[: STARTS[0]] for t in self.terms}
 
     def __getstate__(self):
-        return self.__dict__ | {"index": None, "seen": {}}
+        return self.__dict__ | {"index": None, "known": {}}
 
     def vector(self, text: str | None) -> dict[int, float]:
         """Unit TF-IDF vector over the model's terms: (1 + log tf) * idf."""
         tf: Counter = Counter()
-        for word, n in Counter(tokens(text)).items():
-            found = self.seen.get(word)
-            if found is None:
-                if len(self.seen) > 300_000:
-                    self.seen.clear()
-                found = self.seen[word] = tuple(self.terms[t] for t in terms_of(word) if t in self.terms)
-            for t in found:
-                tf[t] += n
+        heads, first = self.heads, STARTS[0]
+        for word, n in Counter([w for w in tokens(text) if w[:first] in heads]).items():
+            for t in terms_of(word):
+                if (found := self.terms.get(t)) is not None:
+                    tf[found] += n
         return unit({t: (1 + math.log(n)) * self.idf[t] for t, n in tf.items()})
 
     def votes(self, vector: dict[int, float], skip: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
@@ -144,20 +145,25 @@ class Model:
         vector = self.vector(text)
         if not vector:
             return self.none_rate, [], []
-        vote, ids, cosines = self.votes(vector)
-        if not len(ids):
-            return self.none_rate, [], []
-        xs, ys = self.knots
-        return float(np.clip(np.interp(vote, xs, ys) if len(xs) else vote, 0, 1)), [self.example_ids[i] for i in ids], [float(c) for c in cosines]
-
-
-def fit(docs: DataFrame, labels: DataFrame, learn: Column, limit: int = 12_000, most_terms: int = 4000, least_df: int = 5, k: int = 15, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+        key = tuple(sorted(vector.items()))
+        if (found := self.known.get(key)) is None:
+            vote, ids, cosines = self.votes(vector)
+            xs, ys = self.knots
+            score = float(np.clip(np.interp(vote, xs, ys) if len(xs) else vote, 0, 1)) if len(ids) else self.none_rate
+            found = score, [self.example_ids[i] for i in ids], [float(c) for c in cosines]
+            if len(self.known) >= 20_000:
+                self.known.clear()
+            self.known[key] = found
+        return found
+
+
+def fit(docs: DataFrame, labels: DataFrame, learn: Column, limit: int = 12_000, most_terms: int = 2500, least_df: int = 5, k: int = 15, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Learn from labelled documents.
 
     ``learn`` is a condition on ``doc_id`` of the rows that may be learned from. Of each label at most ``limit`` / 2
     examples are used, those of the smallest hash of the id: this bounds the model and is no limit on what is scored.
-    Terms are kept if their log-likelihood ratio to the label exceeds that of chance among all terms seen (at most
-    ``most_terms``), so that vectors hold what tells the labels apart, and not the subject or the length of a text.
+    Terms are kept if label 1 has them ten times as often as label 0, and their log-likelihood ratio to the label exceeds
+    that of chance among all terms seen (at most ``most_terms``), so that vectors hold what tells the labels apart, and not the subject or the length of a text.
     Null ids, labels other than 0 and 1 and labels of unknown documents are left out; of repeated labels one counts.
     """
     rows = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull()).where(learn)
@@ -188,7 +194,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, limit: int = 12_000,
     cells = [plus(F.col("n0"), df * n0 / all_n), plus(F.col("n1"), df * n1 / all_n), plus(n0 - F.col("n0"), (all_n - df) * n0 / all_n), plus(n1 - F.col("n1"), (all_n - df) * n1 / all_n)]
     ratio = F.lit(2.0) * (cells[0] + cells[1] + cells[2] + cells[3])
     bar = 2 * math.log(max(2, counted.count())) + 6  # about 0.05 terms by chance
-    best = counted.select("term", "n0", "n1", ratio.alias("r")).where(F.col("r") > bar).orderBy(F.desc("r"), "term").limit(most_terms).collect()
+    best = counted.select("term", "n0", "n1", ratio.alias("r")).where((F.col("r") > bar) & (F.col("n1") * n0 > 10 * F.col("n0") * n1)).orderBy(F.desc("r"), "term").limit(most_terms).collect()
     rate0, rate1 = total.get(0, n0) / n0, total.get(1, n1) / n1  # documents that an example stands for
     every = rate0 * n0 + rate1 * n1
     model = Model({r["term"]: i for i, r in enumerate(best)}, [math.log(1 + every / (rate0 * r["n0"] + rate1 * r["n1"])) for r in best], [], [], [], k, 0.0, (np.zeros(0), np.zeros(0)))
