@@ -1 +1 @@
-
+"""DataFrame operators over tables of pages."""

@@ -1 +1 @@
-
+"""Extraction of page streams."""
