@@ -37,6 +37,8 @@ _WORDS = re.compile(rb"[^ \t-\r]+")
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: An element that more sets than this share is put last in the order.
 LONG = 64
+#: Rounds in which a member of a key meets one head of it: what a scan of a list costs a member at most, however long.
+ROUNDS = 4
 #: Counts in a profile.
 BUCKETS = 64
 #: Ids that may be broadcast, 8 bytes each: at most 16 MB.
@@ -146,8 +148,8 @@ def _shingler(n: int) -> Shingler:
 def boundary(sizes: list[tuple[int, int]], num: int, den: int, entries: float) -> int:
     """Largest size of a light set, by cost.
 
-    ``sizes`` has (size, number of sets) of all sets and ``entries`` the mean number of others met when a list is
-    scanned. A light set pays for each subset of its front; a heavy one pays for each list entry, and for each other set
+    ``sizes`` has (size, number of sets) of all sets and ``entries`` the mean number of others that a set meets in a list
+    (one a round, at most). A light set pays for each subset of its front; a heavy one pays for each list entry, and for each other set
     it meets there.
     """
     best, best_cost, light, heavy = 0, None, 0.0, 0.0
@@ -217,7 +219,7 @@ class Join:
         sizes = [(r["n"], r["c"]) for r in fronts.groupBy("n").agg(F.count("*").alias("c")).collect()]  # a row a size
         lists = lambda f: f.select(F.explode(F.slice("front", 1, F.greatest(F.size("front") - SUBSET + 1, F.lit(1)))).alias("e"), "id", "n")
         part = lists(fronts).where(F.col("e") % 4 == 0).groupBy("e").agg(F.count("*").cast("double").alias("c"))  # of one quarter of all lists
-        met = part.agg(F.sum(F.col("c") * (F.col("c") - 1)) / F.sum("c")).first()[0] or 0.0
+        met = part.agg(F.sum(F.col("c") * F.least(F.col("c") - 1, F.lit(float(ROUNDS)))) / F.sum("c")).first()[0] or 0.0
         light = boundary(sizes, self.num, self.den, met)
         subsets = fronts.where(F.col("n") <= light).select(F.explode(_subset_keys(F.col("front"))).alias("key"), "id", "n")
         # a light set probes the lists if it is large enough to link to a heavy one
