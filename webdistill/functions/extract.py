@@ -585,8 +585,9 @@ def extract(html: str | None, url: str | None = None, options: Options | None =
         gone = strip_hidden(probe, False)
         visible = len(T.squeeze(probe.raw_text()))
         best: tuple[float, list[Block], dict, dict] | None = None
-        for strategy in STRATEGIES:
-            if strategy == "RelaxedVisibility" and not (gone >= visible and gone >= 100):
+        recover = gone >= 2 * visible and gone >= 100 and (visible <= 200 or len(probe.raw_text().split()) <= 30)
+        for strategy in sorted(STRATEGIES, key=lambda x: x != "RelaxedVisibility") if recover else STRATEGIES:
+            if strategy == "RelaxedVisibility" and not recover:
                 continue
             if strategy == "StructuredDataHint" and not any("articleBody" in x for x in items):
                 continue
