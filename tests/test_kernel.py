@@ -175,3 +175,13 @@ def test_discussions():
 def test_agreement_raises_scores():
     found = [M.Candidate("title", "A", "twitter", 86, 0), M.Candidate("title", "B", "html_meta", 84, 1), M.Candidate("title", "b", "open_graph", 80, 2)]
     assert M.resolved(found)["title"] == "B"
+
+
+def test_listing_tables_math_and_jobs():
+    rows = "".join(f"<tr><td>{i}.<td><a href=/{i}>Story {i}</a><tr><td><td>{i} points" for i in range(1, 5))
+    md = render.markdown(blocks(f"<table>{rows}</table>"))
+    assert md.startswith("1. [Story 1](http://a.com/1)  \n   1 points\n1. [Story 2]"), md
+    assert render.markdown(blocks("<p><math><mfrac><mi>a</mi><msup><mi>b</mi><mn>2</mn></msup></mfrac></math> x")) == "$\\frac{a}{b^{2}}$ x"
+    job = '<script type="application/ld+json">{"@context":"https://schema.org","@type":"JobPosting","title":"Baker","hiringOrganization":{"name":"Kitchen"},"jobLocation":{"address":{"addressLocality":"Bern"}},"baseSalary":{"currency":"CHF","value":{"minValue":5,"maxValue":6,"unitText":"HOUR"}}}</script>'
+    p = extract(job + "<main><p>" + "We bake bread every night, and look for help. " * 5 + "</main>", "http://a.com/")
+    assert p["markdown"].startswith("**Role:** Baker\n\n**Company:** Kitchen\n\n**Location:** Bern\n\n**Salary:** CHF 5–6 per hour"), p["markdown"]

@@ -102,3 +102,10 @@ def test_links(spark):
     assert [(r.href, r.text) for r in f.links().collect()] == [("http://a.com/y#z", "t")]
     assert [(r.page_id, r.target_id) for r in P.internal_links(f.links(), f.pages).collect()] == [(1, 2)]
     assert f.links().where(F.col("ord") == 0).count() == 1
+
+
+def test_visible_text_and_order(spark):
+    row = spark.createDataFrame([("# A *b*\n\n- [c](http://x) \\* d\n\n| e | f |\n| --- | --- |",)], "m string").select(evaluate.visible_text(F.col("m")).alias("t")).first()
+    assert row.t.split() == ["A", "b", "c", "*", "d", "e", "f"]
+    assert evaluate.order_kept("a b c d", "a x c b d") == 0.75 and evaluate.order_kept("", "a") == 1.0
+    assert evaluate.retained_order(spark.createDataFrame([(1, "a b", "a b")], "page_id long, result string, reference string")).first().order_kept == 1.0

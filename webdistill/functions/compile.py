@@ -68,7 +68,7 @@ class Compiler:
     def one_inline(self, node: Node, under: frozenset[str]) -> list[Block]:
         tag = node.tag
         if tag == "#text":
-            return [Block("Text", text=re.sub(r"\s+", " ", node.text))] if node.text else []
+            return [Block("Text", text=T.collapse(node.text))] if node.text else []
         if tag[0] == "#":
             return []
         if tag == "br":
@@ -101,7 +101,7 @@ class Compiler:
 
     def math(self, node: Node) -> Block:
         note = next((x for x in node.walk() if x.tag == "annotation" and "tex" in x.get("encoding").lower()), None)
-        source = T.squeeze(node.get("data-latex") or (note.raw_text() if note is not None else "") or node.get("alttext") or node.raw_text())
+        source = T.squeeze(node.get("data-latex") or (note.raw_text() if note is not None else "") or node.get("alttext") or tex_of(node))
         display = node.get("display") == "block" or node.tag in ("div", "p") or node.get("mode") == "display"
         return Block("DisplayMath" if display else "InlineMath", text=source)
 
@@ -243,6 +243,8 @@ class Compiler:
         layout = node.get("role") in ("presentation", "none") or node.get("datatable") == "0" or node.elements("table")
         if layout or not declared and (len(rows) == 1 or max(map(len, rows)) == 1):
             return [b for c in cells for b in self.blocks(c.children)]
+        if (listing := self.listing(rows)) is not None:
+            return listing
         out: list[Block] = []
         caption = next((x for x in node.children if x.tag == "caption"), None)
         if caption is not None and (words := tidy(self.inline(caption.children))):
@@ -255,6 +257,27 @@ class Compiler:
             out.append(Block("TableRow", made))
         return [Block("Table", out)]
 
+    def listing(self, rows: list[list[Node]]) -> list[Block] | None:
+        """A ranked list laid out as a table (rows that count up, linked, with rows about them between) as an ordered list."""
+        if len(rows) < 6:
+            return None
+        ranks = [int(m[1]) if r and (m := re.fullmatch(r"\s*(\d+)[.)]?\s*", r[0].raw_text())) and any(c.elements("a") for c in r) else None for r in rows]
+        own = [x for x in ranks if x is not None]
+        if len(own) < 3 or own != list(range(own[0], own[0] + len(own))) or 4 * len(own) < len(rows) or len(rows) - len(own) < len(own) - 1:
+            return None
+        items, rest = [], []
+        for r, k in zip(rows, ranks, strict=True):
+            inside = tidy([b for c in (r[1:] if k is not None else r) for b in [*self.inline(c.children), Block("Text", text=" ")]])
+            if not inside:
+                continue
+            if k is not None:
+                items.append(Block("ListItem", [Block("Paragraph", inside)], checked=None))
+            elif items and len(items[-1].inside[0].inside) and not any(b.op == "HardBreak" for b in items[-1].inside[0].inside):
+                items[-1].inside[0].inside += [Block("HardBreak"), *inside]
+            else:
+                rest.append(Block("Paragraph", inside))
+        return [Block("List", items, ordered=True, start=own[0]), *rest]
+
     def collect_notes(self, root: Node) -> None:
         """Footnote definitions that a reference points to, taken out of the tree."""
         wanted = {a.get("href")[1:] for a in root.elements("a") if a.get("href").startswith("#")}
@@ -276,6 +299,34 @@ class Compiler:
             self.definitions.append(Block("FootnoteDefinition", inside, label=label))
 
 
+def tex_of(node: Node) -> str:
+    """MathML as TeX; what has no rule here is put one after the other."""
+    if node.tag == "#text":
+        return T.squeeze(node.text)
+    inside = [x for x in node.children if x.tag[0] != "#" or x.tag == "#text" and x.text.strip()]
+    part = [tex_of(x) for x in inside if x.tag not in ("annotation", "annotation-xml")]
+    tag = node.tag
+    if tag == "mtext":
+        return f"\\text{{{''.join(part)}}}"
+    if tag in ("msup", "msub", "mover", "munder") and len(part) == 2:
+        return f"{part[0]}{'^' if tag in ('msup', 'mover') else '_'}{{{part[1]}}}"
+    if tag in ("msubsup", "munderover") and len(part) == 3:
+        return f"{part[0]}_{{{part[1]}}}^{{{part[2]}}}"
+    if tag == "mfrac" and len(part) == 2:
+        return f"\\frac{{{part[0]}}}{{{part[1]}}}"
+    if tag == "mroot" and len(part) == 2:
+        return f"\\sqrt[{part[1]}]{{{part[0]}}}"
+    if tag == "msqrt":
+        return f"\\sqrt{{{''.join(part)}}}"
+    if tag == "mfenced":
+        return f"{node.get('open') or '('}{(node.get('separators') or ',')[0].join(part)}{node.get('close') or ')'}"
+    if tag == "mtable":
+        return "\\begin{aligned}" + " \\\\ ".join(part) + "\\end{aligned}"
+    if tag == "mtr":
+        return " & ".join(part)
+    return "".join(part)
+
+
 def _number(value: str) -> int | None:
     found = re.match(r"\s*(-?\d+)", value or "")
     return int(found[1]) if found else None
@@ -290,7 +341,7 @@ def tidy(blocks: list[Block]) -> list[Block]:
         out: list[Block] = []
         for b in found:
             if b.op == "Text":
-                value = re.sub(r"\s+", " ", b.attrs["text"])
+                value = T.collapse(b.attrs["text"])
                 if state["space"]:
                     value = value.lstrip(" ")
                 if not value:

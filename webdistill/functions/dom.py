@@ -52,13 +52,17 @@ class Node:
     def walk(self) -> Iterator[Node]:
         """This node and all below it in document order; the tree may not change meanwhile."""
         stack = [self]
+        pop, extend = stack.pop, stack.extend
         while stack:
-            node = stack.pop()
+            node = pop()
             yield node
-            stack.extend(reversed(node.children))
+            if node.children:
+                extend(node.children[::-1])
 
     def elements(self, *tags: str) -> list[Node]:
-        return [x for x in self.walk() if x is not self and x.tag[0] != "#" and (not tags or x.tag in tags)]
+        if tags:
+            return [x for x in self.walk() if x.tag in tags and x is not self]
+        return [x for x in self.walk() if x.tag[0] != "#" and x is not self]
 
     def first(self, *tags: str) -> Node | None:
         return next((x for x in self.walk() if x.tag in tags), None)

@@ -43,6 +43,7 @@ _PERMISSION = re.compile(r"permission to access|unusual (?:traffic|activity)|aut
 _LOADING = re.compile(r"^(?:loading|please wait|chargement)[\s.…]*$", re.I)
 _EMBED = re.compile(r"//(?:www\.)?(?:(?:dailymotion|youtube|youtube-nocookie|player\.vimeo|v\.qq|bilibili|live\.bilibili)\.com|(?:archive|upload\.wikimedia)\.org|player\.twitch\.tv)", re.I)
 
+_DIGIT, _END = re.compile(r"\d"), re.compile(r"[.!?](?=\s|$)")
 STRATEGIES = ("Normal", "RelaxedCleanup", "BroadContent", "StructuredDataHint", "RelaxedVisibility", "BodyFallback")
 
 
@@ -78,7 +79,7 @@ class Stats:
         for node, _ in reversed(order):
             if node.tag == "#text":
                 squeezed = " ".join(node.text.split())
-                own = [len(squeezed), len(squeezed.split()), 0.0, squeezed.count(",") + squeezed.count("、"), len(re.findall(r"[.!?](?:\s|$)", squeezed)), 0, sum(c.isdigit() for c in squeezed)]
+                own = [len(squeezed), len(squeezed.split()), 0.0, squeezed.count(",") + squeezed.count("、"), len(_END.findall(squeezed)), 0, len(_DIGIT.findall(squeezed))]
             else:
                 own = [0, 0, 0.0, 0, 0, 0, 0]
                 for c in node.children:
@@ -228,7 +229,8 @@ def readability(body: Node, stats: Stats, weights: bool) -> dict[int, tuple[Node
 
 
 def features(node: Node, stats: Stats) -> dict[str, float]:
-    count = lambda *tags: sum(x.tag in tags for x in node.walk())
+    seen = Counter(x.tag for x in node.walk())
+    count = lambda *tags: sum(seen[t] for t in tags)
     name = node.name()
     inherited = any(NEGATIVE.search(x.name()) and not POSITIVE.search(x.name()) for x in list(node.ancestors())[:3])
     return {
@@ -274,8 +276,9 @@ def discover(body: Node, stats: Stats, weights: bool, hint: tuple[str, str] | No
         else:
             found[id(node)] = Candidate(node, {source}, prior, points.get(id(node), (node, 0.0))[1], features(node, stats), order[id(node)])
 
+    aside = {id(x) for top in body.elements("nav", "footer", "aside") for x in top.walk()}
     for node in body.walk():
-        if node.tag[0] == "#" or not stats.chars(node) or any(x.tag in ("nav", "footer", "aside") for x in [node, *node.ancestors()]):
+        if node.tag[0] == "#" or not stats.chars(node) or id(node) in aside:
             continue
         if node.tag == "article":
             add(node, "Semantic", 0.003)
@@ -602,9 +605,9 @@ def extract(html: str | None, url: str | None = None, options: Options | None =
             for r in [x for x in roots]:
                 holder.append(r)
             hard_cleanup(holder)
-            chrome_cleanup(holder, _with(stats, holder), holder_chars)
+            chrome_cleanup(holder, stats, holder_chars)
             if strategy in ("Normal", "StructuredDataHint", "RelaxedVisibility"):
-                clutter_cleanup(holder, _with(stats, holder), holder_chars, kind == "Discussion")
+                clutter_cleanup(holder, stats, holder_chars, kind == "Discussion")
             drop_title(holder, meta["title"])
             drop_empty(holder)
             blocks = compile_content(holder, base)
@@ -632,6 +635,10 @@ def extract(html: str | None, url: str | None = None, options: Options | None =
     blocks, m = chosen
     if not m["text_chars"] and not m["image_count"] and not m["media_count"]:
         raise PageError("NoContent", "no content was found")
+    if job := specialised.job_summary(items):
+        kind = kind or "JobListing"
+        blocks = [Block("Paragraph", [Block("Strong", [Block("Text", text=f"{k}:")]), Block("Text", text=f" {v}")]) for k, v in job] + blocks
+        m = render.metrics(blocks)
     if meta["description"] is None:
         meta["description"] = excerpt(blocks)
     return {
@@ -648,11 +655,4 @@ def extract(html: str | None, url: str | None = None, options: Options | None =
     }
 
 
-def _with(stats: Stats, root: Node) -> Stats:
-    """Measures kept from before, with the new root's."""
-    fresh = Stats(root)
-    fresh.of = {**stats.of, **fresh.of}
-    return fresh
-
-
 __all__ = ["Options", "PageError", "extract", "tape"]

@@ -104,3 +104,30 @@ def find(document: Node, url: str | None) -> tuple[str | None, Node | None]:
         if turns:
             return "Discussion", build(None, None, [(0, x.get("data-message-author-role"), x.copy()) for x in turns])
     return None, None
+
+
+#: Labels of a job's summary and where its structured data has them. Fixed values.
+JOB_FIELDS = (("Role", "title"), ("Company", "hiringOrganization"), ("Location", "jobLocation"), ("Employment", "employmentType"), ("Salary", "baseSalary"), ("Workplace", "jobLocationType"))
+
+
+def _said(value) -> str:
+    if isinstance(value, list):
+        return ", ".join(filter(None, map(_said, value)))
+    if not isinstance(value, dict):
+        return "" if value is None else T.squeeze(str(value))
+    if "address" in value:
+        return _said(value["address"])
+    if "addressLocality" in value or "addressRegion" in value or "addressCountry" in value:
+        return ", ".join(filter(None, (_said(value.get(k)) for k in ("addressLocality", "addressRegion", "addressCountry"))))
+    if "minValue" in value or "maxValue" in value:
+        low, high = _said(value.get("minValue")), _said(value.get("maxValue"))
+        return (f"{low}–{high}" if low and high and low != high else low or high) + (f" per {_said(value['unitText']).lower()}" if value.get("unitText") else "")
+    if "currency" in value:
+        return T.squeeze(f"{_said(value['currency'])} {_said(value.get('value'))}")
+    return _said(value.get("name") or value.get("value"))
+
+
+def job_summary(items: list[dict]) -> list[tuple[str, str]]:
+    """Labels and values of the only job that the structured data describes."""
+    jobs = [x for x in items if "JobPosting" in str(x.get("@type"))]
+    return [(label, v) for label, key in JOB_FIELDS if (v := _said(jobs[0].get(key)))] if len(jobs) == 1 else []

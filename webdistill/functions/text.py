@@ -17,6 +17,14 @@ def squeeze(text: str) -> str:
     return _SPACE.sub(" ", text).strip()
 
 
+def collapse(text: str) -> str:
+    """White space runs as one space, at the ends too."""
+    core = " ".join(text.split())
+    if not core:
+        return " " if text else ""
+    return (" " if text[0].isspace() else "") + core + (" " if text[-1].isspace() else "")
+
+
 def meaningful(text: str | None) -> str | None:
     """A squeezed text that says something; None for placeholders and texts without a letter or digit."""
     text = squeeze(text or "")

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from webdistill.functions.text import words
+
 
 def tokens(text: Column) -> Column:
     """Runs of letters and digits, lower-cased."""
@@ -42,3 +47,37 @@ def structure_retention(nodes: DataFrame, metrics: DataFrame, id_col: str = "pag
     share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b))
     joined = metrics.join(source, id_col, "left")
     return joined.select(id_col, share("paragraph_count", "p").alias("paragraphs"), share("heading_count", "h").alias("headings"), share("list_count", "l").alias("lists"), share("table_count", "t").alias("tables"), share("code_block_count", "c").alias("code"))
+
+
+def visible_text(markdown: Column) -> Column:
+    """Markdown without its marks, destinations and fences."""
+    out = F.regexp_replace(markdown, "(?m)^(```+|~~~+).*$", "")
+    out = F.regexp_replace(out, "!?\\[((?:[^\\]\\\\]|\\\\.)*)\\]\\([^)]*\\)", "$1")
+    out = F.regexp_replace(out, "(?m)^\\s*(?:#{1,6}|>|[-+*]|\\d+[.)])\\s+", "")
+    out = F.regexp_replace(out, "(?m)^\\|?(?:\\s*:?-{3,}:?\\s*\\|)+\\s*$", "")
+    out = F.regexp_replace(out, "\\*\\*|~~|(?<!\\\\)[*`|]", " ")
+    return F.trim(F.regexp_replace(F.regexp_replace(out, "\\\\(.)", "$1"), "\\s+", " "))
+
+
+def order_kept(result: str | None, reference: str | None) -> float:
+    """Share of the result's words found in the reference that stand in its order (longest increasing subsequence)."""
+    places: dict[str, list[int]] = {}
+    for i, w in enumerate(words(reference or "")):
+        places.setdefault(w, []).append(i)
+    for found in places.values():
+        found.reverse()
+    at = [places[w].pop() for w in words(result or "") if places.get(w)]
+    tails: list[int] = []
+    for x in at:
+        k = bisect_left(tails, x)
+        tails[k : k + 1] = [x]
+    return len(tails) / len(at) if at else 1.0
+
+
+def retained_order(pairs: DataFrame, id_col: str = "page_id", result_col: str = "result", reference_col: str = "reference") -> DataFrame:
+    """``order_kept`` of each row."""
+
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([order_kept(x, y) for x, y in zip(a, b, strict=True)])
+
+    return pairs.select(id_col, F.pandas_udf(run, "double")(result_col, reference_col).alias("order_kept"))
