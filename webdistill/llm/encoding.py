@@ -49,9 +49,11 @@ class _Cache(dict):
 
 
 def packed(ids: Iterable[int]) -> bytes:
+    """Little-endian unsigned 32-bit ids."""
+    if sys.byteorder == "little":
+        return array("I", ids).tobytes()
     out = array("I", ids)
-    if sys.byteorder == "big":
-        out.byteswap()
+    out.byteswap()
     return out.tobytes()
 
 
@@ -74,7 +76,7 @@ class Encoder:
     for a run of letters and for any other piece.
     """
 
-    def __init__(self, path: str, cache: int = 250_000, word: Callable[[str], bytes] | None = None, piece: Callable[[str], bytes] | None = None):
+    def __init__(self, path: str, cache: int = 350_000, word: Callable[[str], bytes] | None = None, piece: Callable[[str], bytes] | None = None):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.tokenizer = Tokenizer.from_file(path)
@@ -88,6 +90,7 @@ class Encoder:
         drops = drops and pre["pretokenizers"][0]["behavior"] == "Removed" and not pre["pretokenizers"][1]["use_regex"]
         self.cuts = plain and bool(self.keeps_space or drops)
         self.bytes_to_chars = byte_chars()
+        self.space = self.bytes_to_chars[32]
         self.tokenize = self.tokenizer.model.tokenize
         self.lead = " " if self.keeps_space else ""
         self.word = word or self.library_word
@@ -100,7 +103,10 @@ class Encoder:
 
     def library_word(self, word: str) -> bytes:
         """A run of letters, with a space before it at most, is one pre-token: it goes to the model straight away."""
-        chars = word if word.isascii() and word[0] != " " else "".join(map(self.bytes_to_chars.__getitem__, word.encode()))
+        if word.isascii():
+            chars = word if word[0] != " " else self.space + word[1:]
+        else:
+            chars = "".join(map(self.bytes_to_chars.__getitem__, word.encode()))
         return packed([x.id for x in self.tokenize(chars)])
 
     def part(self, piece: str, lead: str) -> bytes:
