@@ -33,8 +33,8 @@ def page(html: str | None, url: str | None, options: X.Options) -> dict[str, Any
     return empty | {k: v for k, v in found.items() if k in empty}
 
 
-def _column(schema: str, function: Callable[..., Any], *columns: Column | str) -> Column:
-    """A pandas UDF that calls ``function`` for each row."""
+def _column(schema: str, function: Callable[..., Any], *columns: Column | str, once: bool = False) -> Column:
+    """A pandas UDF that calls ``function`` for each row; with ``once`` the plan may not repeat it where its fields are used."""
     struct = schema.startswith("struct<")
 
     if len(columns) == 1:
@@ -52,13 +52,14 @@ def _column(schema: str, function: Callable[..., Any], *columns: Column | str) -
         def run_struct(a: pd.Series, b: pd.Series) -> pd.DataFrame:
             return pd.DataFrame([function(x, y) for x, y in zip(a, b, strict=True)])
 
-    return F.pandas_udf(run_struct if struct else run, schema)(*columns)
+    made = F.pandas_udf(run_struct if struct else run, schema)
+    return (made.asNondeterministic() if once else made)(*columns)
 
 
 def extract_page(html: Column | str, url: Column | str, options: X.Options | None = None) -> Column:
     """Column ``page``: metadata, Markdown, canonical HTML, text, metrics and, where asked for, diagnostics; or an error."""
     o = options or X.Options()
-    return _column(S.PAGE, lambda h, u: page(h, u, o), html, url)
+    return _column(S.PAGE, lambda h, u: page(h, u, o), html, url, once=True)
 
 
 def decode(body: Column | str, content_type: Column | str) -> Column:
