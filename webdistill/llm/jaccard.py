@@ -228,12 +228,16 @@ class Join:
         shared = every.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
         return common.save(every.join(shared, "key"), "jaccard-keys")
 
+    def alike(self, pa: str, pb: str, na: str, nb: str) -> Column:
+        """Whether two profiles allow a link: sets differ in as many elements as their profiles do, at least."""
+        differ = F.aggregate(F.zip_with(pa, pb, lambda x, y: F.abs(x.cast("int") - y)), F.lit(0), lambda t, x: t + x)
+        return differ.cast("long") * (self.den + self.num) <= (F.col(na) + F.col(nb)) * (self.den - self.num)
+
     def possible(self, pairs: DataFrame, profiles: DataFrame) -> DataFrame:
         """Pairs ``a, b`` whose profiles don't rule a link out."""
         left = profiles.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("profile").alias("pa"))
         right = profiles.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("profile").alias("pb"))
-        differ = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.abs(x.cast("int") - y)), F.lit(0), lambda t, x: t + x)
-        return pairs.join(right, "b").join(left, "a").where((differ.cast("long") * (self.den + self.num)) <= (F.col("na") + F.col("nb")) * (self.den - self.num)).select("a", "b")
+        return pairs.join(right, "b").join(left, "a").where(self.alike("pa", "pb", "na", "nb")).select("a", "b")
 
     def verified(self, pairs: DataFrame, whole: DataFrame) -> DataFrame:
         """Of pairs ``a, b`` those whose sets link."""
@@ -242,20 +246,24 @@ class Join:
         both = pairs.join(right, "b").join(left, "a").select("a", "b", "na", "nb", F.size(F.array_intersect("ea", "eb")).cast("long").alias("shared"))
         return both.where(F.lit(self.den) * F.col("shared") >= F.lit(self.num) * (F.col("na") + F.col("nb") - F.col("shared"))).select("a", "b")
 
-    def pairs(self, keys: DataFrame, label: DataFrame | None, step: str) -> DataFrame:
-        """Pairs of sets in different components that share a key: each set and the head it shares most keys with
-        (``first``), each set and the heads of all its keys (``heads``), or all sets (``all``)."""
+    def pairs(self, keys: DataFrame, label: DataFrame | None, step: str, profiles: DataFrame) -> DataFrame:
+        """Pairs of sets in different components that share a key and may link: each set and the head it shares most
+        keys with (``first``), each set and the heads of all its keys (``heads``), or all sets (``all``; there the
+        profiles are compared within the join, so pairs that they rule out are no rows)."""
         named = keys.withColumn("component", F.col("id")) if label is None else keys.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
         heads = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min(F.struct("component", "id", "n")).alias("head")).where("low <> high")
         heads = heads.select("key", F.col("low").alias("ca"), F.col("head.id").alias("a"), F.col("head.n").alias("na"))
         if step == "all":
-            left = named.join(heads.select("key"), "key", "left_semi")
-            heads = left.select("key", F.col("component").alias("ca"), F.col("id").alias("a"), F.col("n").alias("na"))
+            left = named.join(heads.select("key"), "key", "left_semi").join(profiles.select("id", F.col("profile").alias("pb")), "id")
+            other = left.select(F.col("key").alias("k"), F.col("component").alias("ca"), F.col("id").alias("a"), F.col("n").alias("na"), F.col("pb").alias("pa"))
+            near = F.lit(self.den) * F.least("n", "na") >= F.lit(self.num) * F.greatest("n", "na")
+            both = (F.col("key") == F.col("k")) & (F.col("ca") < F.col("component")) & near & self.alike("pa", "pb", "na", "n")
+            return left.join(other, both).select("a", F.col("id").alias("b")).distinct()
         near = F.lit(self.den) * F.least("n", "na") >= F.lit(self.num) * F.greatest("n", "na")
         found = named.join(heads, "key").where((F.col("ca") < F.col("component")) & near).select("a", F.col("id").alias("b"))
         if step == "first":
-            return found.groupBy("a", "b").agg(F.count("*").alias("c")).groupBy("b").agg(F.max_by("a", "c").alias("a"))
-        return found.distinct()
+            found = found.groupBy("a", "b").agg(F.count("*").alias("c")).groupBy("b").agg(F.max_by("a", "c").alias("a"))
+        return self.possible(found.distinct(), profiles)
 
     def run(self) -> DataFrame:
         spark = self.docs.sparkSession
@@ -268,7 +276,7 @@ class Join:
         profiles = classes.select("id", "n", "profile")
         links, label, whole, ids = None, None, None, None
         for step in ("first", "heads", "heads", "all"):
-            pairs = common.save(self.possible(self.pairs(keys, label, step), profiles), "jaccard-pairs")
+            pairs = common.save(self.pairs(keys, label, step, profiles), "jaccard-pairs")
             need = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
             need = common.save(need if ids is None else need.join(ids, "id", "left_anti"), "jaccard-need")
             more = self.whole_sets(need)
