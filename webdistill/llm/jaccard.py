@@ -57,7 +57,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 class Shingler:
     """Sorted distinct 64-bit hashes of a text's word n-grams; words are cached by hash, in a bounded cache."""
 
-    def __init__(self, n: int, most: int = 400_000):
+    def __init__(self, n: int, most: int = 150_000):
         self.n, self.most, self.cache = n, most, {}
 
     def word(self, w: bytes) -> int:

@@ -19,9 +19,9 @@ FLUSH = 8 << 20
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, cache: int = 350_000) -> Encoder:
     """One encoder a worker process, so that its caches last over tasks."""
-    return Encoder(path)
+    return Encoder(path, cache)
 
 
 def int_lists(parts: list[bytes]) -> pa.ListArray:

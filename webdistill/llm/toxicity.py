@@ -151,7 +151,7 @@ class Model:
             xs, ys = self.knots
             score = float(np.clip(np.interp(vote, xs, ys) if len(xs) else vote, 0, 1)) if len(ids) else self.none_rate
             found = score, [self.example_ids[i] for i in ids], [float(c) for c in cosines]
-            if len(self.known) >= 20_000:
+            if len(self.known) >= 4000:
                 self.known.clear()
             self.known[key] = found
         return found
