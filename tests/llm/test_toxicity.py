@@ -58,3 +58,39 @@ def test_without_labels(spark):
     docs = spark.createDataFrame([(1, "x")], "doc_id long, text string")
     assert toxicity.rate(docs, spark.createDataFrame([], "doc_id long, toxic int")).collect()[0].predicted == 0
     assert toxicity.rate(docs.where("false"), spark.createDataFrame([(1, 1)], "doc_id long, toxic int")).count() == 0
+
+
+def test_index_is_exact_with_common_and_rare_terms():
+    r = np.random.default_rng(6)
+    share = 1 / np.arange(1, 401) ** 1.1
+    make = lambda: toxicity.unit({int(t): float(x) for t, x in zip(r.choice(400, 12, replace=False, p=share / share.sum()), r.random(12), strict=True)})
+    vectors = [make() for _ in range(1500)]
+    index = toxicity.BlockMaxIndex(vectors, 400)
+    assert 0 < len(index.dense) < 400
+    for i in range(100):
+        q, skip = (vectors[i], i) if i % 2 else (make(), -1)
+        all_scores = [(round(-sum(x * float(np.float32(v.get(t, 0))) for t, x in q.items()), 6), j) for j, v in enumerate(vectors) if j != skip]
+        want = [j for s, j in sorted(all_scores)[:15] if s < 0]
+        assert index.search(q, 15, skip)[0].tolist() == want
+
+
+def test_stem_that_clean_texts_have_too(spark):
+    """A stem of one language that clean texts also hold now and then still tells labels apart; clean texts have neighbours."""
+    r = np.random.default_rng(8)
+    rows, labels, mention = [], [], set()
+    for i in range(2000):
+        lang, bad = i % 4, i // 4 % 6 == 0
+        word = lambda: "".join(r.choice(list(("aeiouns", "bcdfghk", "lmpqrtv", "wxyzäöü")[lang]), r.integers(2, 5)))  # noqa: B023, E731
+        words = [word() for _ in range(r.integers(150, 300))]
+        for at in range(0, 150, 30) if bad else [3] * (lang == 0 and i // 4 % 9 == 1):
+            words[at] = ("boment", "zoggen", "grumbl", "blaste")[lang] + word()
+            mention |= set() if bad else {i}
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(bad)))
+    docs, known = spark.createDataFrame(rows, "doc_id long, text string").repartition(3), spark.createDataFrame(labels, "doc_id long, toxic int")
+    test = [x for x in toxicity.rate(docs, known).collect() if x.held_out]
+    for lang in range(4):
+        own = [x for x in test if x.doc_id % 4 == lang]
+        assert np.mean([x.predicted for x in own if x.doc_id // 4 % 6 == 0]) > 0.9, lang
+        assert np.mean([x.predicted for x in own if x.doc_id // 4 % 6 and x.doc_id not in mention]) < 0.05, lang
+    assert all(len(x.evidence) == 15 for x in test)

@@ -34,51 +34,108 @@ def unit(weights: dict[int, float]) -> dict[int, float]:
     return {t: x / norm for t, x in weights.items()} if norm else {}
 
 
+#: Terms in ascending order and their weights.
+Vector = tuple[np.ndarray, np.ndarray]
+
+
+def arrays(vector: dict[int, float] | Vector) -> Vector:
+    if isinstance(vector, tuple):
+        return vector
+    terms = np.array(sorted(vector), dtype=np.int64)
+    return terms, np.array([vector[t] for t in terms.tolist()], dtype=np.float64)
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers ``start .. start + size - 1`` of each range, one range after the other."""
+    return np.arange(sizes.sum()) + np.repeat(starts - np.cumsum(sizes) + sizes, sizes)
+
+
 class BlockMaxIndex:
     """Postings of unit vectors by term in blocks of examples, with each block's largest weight of each term.
 
-    ``search`` first scores the blocks that promise most. No member of another block can exceed the sum of the query's
-    weights times the block's largest ones, so only blocks whose bound reaches the k-th score found are scored after
-    them: the result is exact. Ties go to the earlier example.
+    Terms of more than one in ``COMMON`` examples have a weight for every example (``heads`` gives the scores by them),
+    the others a list of those that have them. ``search`` first scores the blocks that promise most. No member of another
+    block can exceed its largest score by common terms plus the sum of the query's other weights times the block's
+    largest ones, so only blocks whose bound reaches the k-th score found are scored after them: the result is exact.
+    Ties go to the earlier example.
     """
 
     FIRST = 8
-
-    def __init__(self, vectors: list[dict[int, float]], n_terms: int):
-        blocks = max(1, -(-len(vectors) // BLOCK))
-        self.postings = np.zeros((n_terms, blocks, BLOCK), dtype=np.float32)
-        for i, v in enumerate(vectors):
-            for t, x in v.items():
-                self.postings[t, i // BLOCK, i % BLOCK] = x
-        self.most = self.postings.max(axis=2).astype(np.float64) if n_terms else np.zeros((0, blocks))
-
-    def search(self, query: dict[int, float], k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
+    COMMON = 16
+
+    def __init__(self, vectors: list[dict[int, float] | Vector], n_terms: int):
+        found = [arrays(v) for v in vectors]
+        self.blocks = blocks = max(1, -(-len(found) // BLOCK))
+        terms = np.concatenate([t for t, _ in found] or [np.zeros(0)]).astype(np.int64)
+        xs = np.concatenate([x for _, x in found] or [np.zeros(0)]).astype(np.float32)
+        ids = np.repeat(np.arange(len(found), dtype=np.int32), [len(t) for t, _ in found])
+        df = np.bincount(terms, minlength=n_terms)
+        common = np.flatnonzero(df * self.COMMON > len(found))
+        self.row = np.full(n_terms, -1, dtype=np.int32)
+        self.row[common] = np.arange(len(common))
+        row = self.row[terms]
+        self.dense = np.zeros((len(common), blocks * BLOCK), dtype=np.float32)
+        self.dense[row[row >= 0], ids[row >= 0]] = xs[row >= 0]
+        terms, ids, xs = terms[row < 0], ids[row < 0], xs[row < 0]
+        order = np.argsort(terms, kind="stable")  # examples ascend within a term
+        terms, self.ids, self.xs = terms[order], ids[order], xs[order]
+        key = terms * blocks + self.ids // BLOCK
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, dtype=np.int64)
+        self.first = np.append(first, len(key))  # where each run of a term within a block begins
+        self.block = (self.ids[first] // BLOCK).astype(np.int32)
+        self.most = np.maximum.reduceat(self.xs, first) if len(first) else np.zeros(0, dtype=np.float32)
+        self.runs = np.searchsorted(terms[first], np.arange(n_terms + 1))  # where each term's runs begin
+
+    def heads(self, queries: list[Vector]) -> np.ndarray:
+        """Each query's scores of all examples by common terms."""
+        x = np.zeros((len(queries), len(self.dense)), dtype=np.float32)
+        for i, (terms, weights) in enumerate(queries):
+            rows = self.row[terms]
+            x[i, rows[rows >= 0]] = weights[rows >= 0]
+        return x @ self.dense
+
+    def search(self, query: dict[int, float] | Vector, k: int, skip: int = -1, head: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of highest cosine above zero, and the cosines."""
-        terms, x = np.array(list(query), dtype=np.int64), np.array(list(query.values()))
-        bound = x @ self.most[terms]
+        terms, x = arrays(query)
+        head = self.heads([(terms, x)])[0] if head is None else head
+        head = head.reshape(self.blocks, BLOCK)
+        rare = self.row[terms] < 0
+        terms, weights = terms[rare], x[rare]
+        sizes = self.runs[terms + 1] - self.runs[terms]
+        runs, x = _ranges(self.runs[terms], sizes), np.repeat(weights, sizes)
+        block = self.block[runs]
+        bound = head.max(axis=1) + np.bincount(block, x * self.most[runs], self.blocks)
         order = np.argsort(-bound, kind="stable")
-        ids, scores = self._score(terms, x, order[: self.FIRST], skip)
+        ids, scores = self._score(head, runs, x, block, order[: self.FIRST], skip)
         least = np.partition(scores, len(scores) - k)[len(scores) - k] if len(scores) > k else 0.0
         more = order[self.FIRST :]
         more = more[(bound[more] >= least - 1e-5) & (bound[more] > 0)]
-        if len(more):
-            more_ids, more_scores = self._score(terms, x, more, skip)
+        if len(more) * 2 > self.blocks:  # all in one go
+            starts = self.first[self.runs[terms]]
+            sizes = self.first[self.runs[terms + 1]] - starts
+            at = _ranges(starts, sizes)
+            scores = (head.ravel() + np.bincount(self.ids[at], np.repeat(weights, sizes) * self.xs[at], head.size))
+            ids = np.arange(head.size)
+            if skip >= 0:
+                scores[skip] = 0
+        elif len(more):
+            more_ids, more_scores = self._score(head, runs, x, block, more, skip)
             ids, scores = np.concatenate([ids, more_ids]), np.concatenate([scores, more_scores])
+        if len(scores) > k:
+            near = scores >= np.partition(scores, len(scores) - k)[len(scores) - k] - 1e-5
+            ids, scores = ids[near], scores[near]
         best = np.lexsort((ids, -np.round(scores, 6)))[:k]
         best = best[scores[best] > 1e-6]
         return ids[best], scores[best]
 
-    def _score(self, terms: np.ndarray, x: np.ndarray, blocks: np.ndarray, skip: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(blocks) * 2 > self.postings.shape[1]:
-            every = np.zeros(self.postings.shape[1:])
-            for t, w in zip(terms, x, strict=True):
-                every += w * self.postings[t]
-            scores = every[blocks]
-        else:
-            scores = np.zeros((len(blocks), BLOCK))
-            for t, w in zip(terms, x, strict=True):
-                scores += w * self.postings[t, blocks]
-        scores = scores.ravel()
+    def _score(self, head: np.ndarray, runs: np.ndarray, x: np.ndarray, block: np.ndarray, blocks: np.ndarray, skip: int) -> tuple[np.ndarray, np.ndarray]:
+        wanted = np.zeros(self.blocks, dtype=bool)
+        wanted[blocks] = True
+        keep = wanted[block]
+        runs, x = runs[keep], x[keep]
+        sizes = self.first[runs + 1] - self.first[runs]
+        at = _ranges(self.first[runs], sizes)
+        scores = (head + np.bincount(self.ids[at], np.repeat(x, sizes) * self.xs[at], head.size).reshape(head.shape))[blocks].ravel()
         ids = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
         scores[ids == skip] = 0
         return ids, scores
@@ -102,13 +159,13 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
 
 @dataclass
 class Model:
-    """What ``fit`` learns; a few MB at most, whatever the corpus: ``limit`` examples over ``most_terms`` terms."""
+    """What ``fit`` learns: the vectors of at most ``limit`` examples and the vocabulary of their texts, whatever the corpus."""
 
     terms: dict[str, int]
-    idf: list[float]
+    weights: np.ndarray
     example_ids: list
     labels: list[int]
-    vectors: list[dict[int, float]]
+    vectors: list[Vector]
     k: int
     none_rate: float
     knots: tuple[np.ndarray, np.ndarray]
@@ -116,54 +173,57 @@ class Model:
     def __post_init__(self):
         self.index = None
         self.known: dict = {}
-        self.heads = {t.lstrip("^")[: STARTS[0]] for t in self.terms}
 
     def __getstate__(self):
         return self.__dict__ | {"index": None, "known": {}}
 
-    def vector(self, text: str | None) -> dict[int, float]:
-        """Unit TF-IDF vector over the model's terms: (1 + log tf) * idf."""
-        tf: Counter = Counter()
-        heads, first = self.heads, STARTS[0]
-        for word, n in Counter([w for w in tokens(text) if w[:first] in heads]).items():
-            for t in terms_of(word):
-                if (found := self.terms.get(t)) is not None:
-                    tf[found] += n
-        return unit({t: (1 + math.log(n)) * self.idf[t] for t, n in tf.items()})
-
-    def votes(self, vector: dict[int, float], skip: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
-        """Share of label 1 among the nearest examples, each weighing the inverse of its distance; the examples and cosines."""
+    def _terms_of(self, word: str) -> tuple[int, ...]:
+        if len(self.known) >= 60_000:
+            self.known.clear()
+        found = self.known[word] = tuple(i for t in terms_of(word) if (i := self.terms.get(t)) is not None)
+        return found
+
+    def vector(self, text: str | None) -> Vector:
+        """Unit TF-IDF vector over the model's terms: (1 + log tf) * weight."""
+        ids: list[int] = []
+        known = self.known
+        for word in tokens(text):
+            ids += found if (found := known.get(word)) is not None else self._terms_of(word)
+        terms, tf = np.unique(np.array(ids, dtype=np.int64), return_counts=True)
+        x = (1 + np.log(tf)) * self.weights[terms]
+        norm = math.sqrt(x @ x)
+        return terms, x / norm if norm else x
+
+    def votes(self, vectors: list[Vector], skip: list[int] | None = None) -> Iterator[tuple[float, np.ndarray, np.ndarray]]:
+        """Of each vector the share of label 1 among the nearest examples, each weighing the inverse of its distance; the examples and cosines."""
         if self.index is None:
-            self.index = BlockMaxIndex(self.vectors, len(self.idf))
-        ids, cosines = self.index.search(vector, self.k, skip)
-        if not len(ids):
-            return self.none_rate, ids, cosines
-        w = 1 / (np.sqrt(np.maximum(0, 2 - 2 * cosines)) + 0.1)
-        return float((w * np.array(self.labels)[ids]).sum() / w.sum()), ids, cosines
+            self.index, self.classes = BlockMaxIndex(self.vectors, len(self.weights)), np.array(self.labels)
+        for start in range(0, len(vectors), 64):
+            part = vectors[start : start + 64]
+            for i, head in enumerate(self.index.heads(part)):
+                ids, cosines = self.index.search(part[i], self.k, skip[start + i] if skip else -1, head)
+                w = 1 / (np.sqrt(np.maximum(0, 2 - 2 * cosines)) + 0.1)
+                yield float((w * self.classes[ids]).sum() / w.sum()) if len(ids) else self.none_rate, ids, cosines
+
+    def scores(self, texts: list[str | None]) -> Iterator[tuple[float, list, list[float]]]:
+        """Of each text the score, and the nearest examples' ids and cosines."""
+        xs, ys = self.knots
+        for vote, ids, cosines in self.votes([self.vector(t) for t in texts]):
+            score = float(np.clip(np.interp(vote, xs, ys) if len(xs) else vote, 0, 1)) if len(ids) else self.none_rate
+            yield score, [self.example_ids[i] for i in ids], [float(c) for c in cosines]
 
     def score(self, text: str | None) -> tuple[float, list, list[float]]:
-        vector = self.vector(text)
-        if not vector:
-            return self.none_rate, [], []
-        key = tuple(sorted(vector.items()))
-        if (found := self.known.get(key)) is None:
-            vote, ids, cosines = self.votes(vector)
-            xs, ys = self.knots
-            score = float(np.clip(np.interp(vote, xs, ys) if len(xs) else vote, 0, 1)) if len(ids) else self.none_rate
-            found = score, [self.example_ids[i] for i in ids], [float(c) for c in cosines]
-            if len(self.known) >= 4000:
-                self.known.clear()
-            self.known[key] = found
-        return found
+        return next(self.scores([text]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column, limit: int = 12_000, most_terms: int = 2500, least_df: int = 5, k: int = 15, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+def fit(docs: DataFrame, labels: DataFrame, learn: Column, limit: int = 12_000, least_df: int = 5, k: int = 15, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Learn from labelled documents.
 
     ``learn`` is a condition on ``doc_id`` of the rows that may be learned from. Of each label at most ``limit`` / 2
     examples are used, those of the smallest hash of the id: this bounds the model and is no limit on what is scored.
-    Terms are kept if label 1 has them ten times as often as label 0, and their log-likelihood ratio to the label exceeds
-    that of chance among all terms seen (at most ``most_terms``), so that vectors hold what tells the labels apart, and not the subject or the length of a text.
+    All terms of ``least_df`` or more examples are in the vectors, those of either label and of none. Beside its idf a
+    term weighs the square root of one plus its log-likelihood ratio to the label (about one by chance), so that what
+    tells the labels apart counts more than the subject of a text, and how much of a text it makes up counts too.
     Null ids, labels other than 0 and 1 and labels of unknown documents are left out; of repeated labels one counts.
     """
     rows = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull()).where(learn)
@@ -187,49 +247,63 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, limit: int = 12_000,
     sizes = {r["y"]: r["n"] for r in texts.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
     if not n0 or not n1:
-        return Model({}, [], [], [], [], k, (n1 + 0.5) / (n0 + n1 + 1) if n0 + n1 else 0.5, (np.zeros(0), np.zeros(0)))
+        return Model({}, np.zeros(0), [], [], [], k, (n1 + 0.5) / (n0 + n1 + 1) if n0 + n1 else 0.5, (np.zeros(0), np.zeros(0)))
     counted = texts.select("text", "y").mapInArrow(count, "term string, n0 long, n1 long").groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).where(F.col("n0") + F.col("n1") >= least_df)
     plus = lambda a, b: F.when(a > 0, a * F.log(a / b)).otherwise(F.lit(0.0))
     all_n, df = F.lit(n0 + n1), F.col("n0") + F.col("n1")
     cells = [plus(F.col("n0"), df * n0 / all_n), plus(F.col("n1"), df * n1 / all_n), plus(n0 - F.col("n0"), (all_n - df) * n0 / all_n), plus(n1 - F.col("n1"), (all_n - df) * n1 / all_n)]
     ratio = F.lit(2.0) * (cells[0] + cells[1] + cells[2] + cells[3])
-    bar = 2 * math.log(max(2, counted.count())) + 6  # about 0.05 terms by chance
-    best = counted.select("term", "n0", "n1", ratio.alias("r")).where((F.col("r") > bar) & (F.col("n1") * n0 > 10 * F.col("n0") * n1)).orderBy(F.desc("r"), "term").limit(most_terms).collect()
+    found = counted.select("term", "n0", "n1", ratio.alias("r")).orderBy("term").toArrow()
     rate0, rate1 = total.get(0, n0) / n0, total.get(1, n1) / n1  # documents that an example stands for
     every = rate0 * n0 + rate1 * n1
-    model = Model({r["term"]: i for i, r in enumerate(best)}, [math.log(1 + every / (rate0 * r["n0"] + rate1 * r["n1"])) for r in best], [], [], [], k, 0.0, (np.zeros(0), np.zeros(0)))
+    have0, have1, ratios = (found[c].to_numpy() for c in ("n0", "n1", "r"))
+    weights = np.log(1 + every / (rate0 * have0 + rate1 * have1)) * np.sqrt(1 + np.maximum(0, ratios))
+    model = Model({t: i for i, t in enumerate(found["term"].to_pylist())}, weights, [], [], [], k, 0.0, (np.zeros(0), np.zeros(0)))
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(model)  # bounded by the texts of `limit` examples
 
     def vectors(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            found = [model.vector(t) for t in f["text"]]
-            yield pd.DataFrame({"doc_id": f["doc_id"], "y": f["y"], "t": [sorted(v) for v in found], "x": [[v[t] for t in sorted(v)] for v in found]})
+            made = [shared.value.vector(t) for t in f["text"]]
+            yield pd.DataFrame({"doc_id": f["doc_id"], "y": f["y"], "t": [t.astype(np.int32).tobytes() for t, _ in made], "x": [x.astype(np.float32).tobytes() for _, x in made]})
 
-    examples = texts.mapInPandas(vectors, f"doc_id {kind}, y int, t array<int>, x array<double>").collect()  # at most `limit`
+    examples = texts.mapInPandas(vectors, f"doc_id {kind}, y int, t binary, x binary").collect()  # at most `limit`
     examples.sort(key=lambda r: r["doc_id"])
     full = [r for r in examples if r["t"]]
     none = Counter(r["y"] for r in examples if not r["t"])
-    model.none_rate = (rate1 * none[1] + 0.5) / (rate0 * none[0] + rate1 * none[1] + 1)
+    model.none_rate = (rate1 * none[1] + rate1 * n1 / every) / (rate0 * none[0] + rate1 * none[1] + 1)
     model.example_ids, model.labels = [r["doc_id"] for r in full], [r["y"] for r in full]
-    model.vectors = [dict(zip(r["t"], r["x"], strict=True)) for r in full]
-    votes = np.array([model.votes(v, skip=i)[0] for i, v in enumerate(model.vectors)])  # each example without itself
-    y = np.array(model.labels, dtype=float)
-    model.knots = isotonic(votes, y, np.where(y == 1, rate1, rate0)) if len(full) else model.knots
+    model.vectors = [(np.frombuffer(r["t"], np.int32), np.frombuffer(r["x"], np.float32)) for r in full]
+    if full:
+        learned = spark.sparkContext.broadcast(model)
+
+        def without_itself(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                ids = batch.column(0).to_pylist()
+                own = [vote for vote, _, _ in learned.value.votes([learned.value.vectors[i] for i in ids], ids)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.float64())], ["id", "vote"])
+
+        parts = max(1, min(48, len(full) // 250))
+        votes = {r["id"]: r["vote"] for r in spark.range(0, len(full), 1, parts).mapInArrow(without_itself, "id long, vote double").collect()}
+        y = np.array(model.labels, dtype=float)
+        model.knots = isotonic(np.array([votes[i] for i in range(len(full))]), y, np.where(y == 1, rate1, rate0))
     return model
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, score, evidence`` of every whole text: the nearest examples' ids and cosines are the evidence.
 
-    Texts without any of the model's terms (null and empty ones too) have the rate of label 1 among such examples.
+    Texts without any of the model's terms (null and empty ones too) have the rate of label 1 among such examples, or
+    among all where there are none.
     Repeated rows are scored each.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by `limit` and `most_terms` of fit()
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the texts of `limit` examples
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         for batch in batches:
-            found = [known.score(t.as_py()) for t in batch.column(1)]
+            found = list(known.scores(batch.column(1).to_pylist()))
             evidence = [[{"example": i, "cosine": c} for i, c in zip(e, s, strict=True)] for _, e, s in found]
             kind_of = pa.list_(pa.struct([("example", batch.column(0).type), ("cosine", pa.float64())]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s for s, _, _ in found], pa.float64()), pa.array(evidence, kind_of)], ["doc_id", "score", "evidence"])
