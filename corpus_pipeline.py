@@ -26,7 +26,7 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def outliers(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rules or lie far outside their language and source go."""
-    return _kept(docs, quality.judge(docs), "kept")
+    return _kept(docs, quality.judge(docs, floor=quality.FLOOR), "kept")
 
 
 def boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

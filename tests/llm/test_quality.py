@@ -5,7 +5,8 @@ from collections import Counter
 
 import numpy as np
 
-from webdistill.llm import quality
+import corpus_pipeline
+from webdistill.llm import quality, queries
 
 
 def brute(text):
@@ -75,3 +76,25 @@ def test_estimate_equals_brute_force(spark):
         m, w = near.mean(0), np.linalg.inv(np.cov(near.T, bias=True) * factor + np.eye(4))
     d = np.einsum("ni,ij,nj->n", z - m, w, z - m)
     assert np.allclose(d, [got[i] for i in range(400)], rtol=1e-6, atol=1e-6)
+
+
+def test_menus_and_repeated_lines_go(spark, tmp_path):
+    """Menus with a bar after every second word, and texts of which most lines are repeated short ones, in op4 and the pipeline."""
+    r = np.random.default_rng(3)
+    word = lambda: "".join(r.choice(list("abcdefgh"), r.integers(3, 9)))
+    rows = []
+    for i in range(600):
+        words = [word() for _ in range(r.integers(60, 200))]
+        if i % 30 == 1:
+            words = [w + " |" * (k % 2) for k, w in enumerate(words)]
+        lines = [" ".join(words[k : k + 12]) for k in range(0, len(words), 12)]
+        if i % 30 == 2:
+            lines = [x for k, line in enumerate(lines) for x in (line, *["read more"] * 2)]
+        rows.append((i, "\n".join(lines), "en", "s"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op4_robust_outliers(spark, str(tmp_path)).collect()
+    want = {i for i in range(600) if i % 30 not in (1, 2)}
+    assert not any(x.base_failed for x in got)
+    assert {x.doc_id for x in got if x.kept} == want
+    assert {x.doc_id for x in corpus_pipeline.outliers(spark, docs, str(tmp_path)).collect()} == want

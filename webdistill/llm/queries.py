@@ -43,7 +43,7 @@ def op10_forced_boundary_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judge(common.table(spark, sf_dir, "documents")).drop("distance")
+    return quality.judge(common.table(spark, sf_dir, "documents"), floor=quality.FLOOR).drop("distance")
 
 
 def op5_toxicity_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
