@@ -66,8 +66,8 @@ class BlockMaxIndex:
     def __init__(self, vectors: list[dict[int, float] | Vector], n_terms: int):
         found = [arrays(v) for v in vectors]
         self.blocks = blocks = max(1, -(-len(found) // BLOCK))
-        terms = np.concatenate([t for t, _ in found] or [np.zeros(0)]).astype(np.int64)
-        xs = np.concatenate([x for _, x in found] or [np.zeros(0)]).astype(np.float32)
+        terms = np.concatenate([t for t, _ in found] or [np.zeros(0)]).astype(np.int32, copy=False)
+        xs = np.concatenate([x for _, x in found] or [np.zeros(0)]).astype(np.float32, copy=False)
         ids = np.repeat(np.arange(len(found), dtype=np.int32), [len(t) for t, _ in found])
         df = np.bincount(terms, minlength=n_terms)
         common = np.flatnonzero(df * self.COMMON > len(found))
@@ -76,13 +76,16 @@ class BlockMaxIndex:
         row = self.row[terms]
         self.dense = np.zeros((len(common), blocks * BLOCK), dtype=np.float32)
         self.dense[row[row >= 0], ids[row >= 0]] = xs[row >= 0]
+        del found
         terms, ids, xs = terms[row < 0], ids[row < 0], xs[row < 0]
+        del row
         order = np.argsort(terms, kind="stable")  # examples ascend within a term
         terms, self.ids, self.xs = terms[order], ids[order], xs[order]
-        key = terms * blocks + self.ids // BLOCK
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, dtype=np.int64)
-        self.first = np.append(first, len(key))  # where each run of a term within a block begins
-        self.block = (self.ids[first] // BLOCK).astype(np.int32)
+        del order, ids, xs
+        block = self.ids // BLOCK
+        first = np.flatnonzero(np.concatenate([[True], (terms[1:] != terms[:-1]) | (block[1:] != block[:-1])])) if len(terms) else np.zeros(0, dtype=np.int64)
+        self.first = np.append(first, len(terms)).astype(np.int32)  # where each run of a term within a block begins
+        self.block = block[first]
         self.most = np.maximum.reduceat(self.xs, first) if len(first) else np.zeros(0, dtype=np.float32)
         self.runs = np.searchsorted(terms[first], np.arange(n_terms + 1))  # where each term's runs begin
 
@@ -94,33 +97,23 @@ class BlockMaxIndex:
             x[i, rows[rows >= 0]] = weights[rows >= 0]
         return x @ self.dense
 
-    def search(self, query: dict[int, float] | Vector, k: int, skip: int = -1, head: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, query: dict[int, float] | Vector, k: int, skip: int = -1, head: np.ndarray | None = None, prune: bool = True) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of highest cosine above zero, and the cosines."""
         terms, x = arrays(query)
         head = self.heads([(terms, x)])[0] if head is None else head
         head = head.reshape(self.blocks, BLOCK)
         rare = self.row[terms] < 0
         terms, weights = terms[rare], x[rare]
-        sizes = self.runs[terms + 1] - self.runs[terms]
-        runs, x = _ranges(self.runs[terms], sizes), np.repeat(weights, sizes)
-        block = self.block[runs]
-        bound = head.max(axis=1) + np.bincount(block, x * self.most[runs], self.blocks)
-        order = np.argsort(-bound, kind="stable")
-        ids, scores = self._score(head, runs, x, block, order[: self.FIRST], skip)
-        least = np.partition(scores, len(scores) - k)[len(scores) - k] if len(scores) > k else 0.0
-        more = order[self.FIRST :]
-        more = more[(bound[more] >= least - 1e-5) & (bound[more] > 0)]
-        if len(more) * 2 > self.blocks:  # all in one go
+        ids, scores = self._pruned(head, terms, weights, k, skip) if prune else (None, None)
+        self.helped = ids is not None
+        if ids is None:  # most blocks are left: all in one go
             starts = self.first[self.runs[terms]]
             sizes = self.first[self.runs[terms + 1]] - starts
             at = _ranges(starts, sizes)
-            scores = (head.ravel() + np.bincount(self.ids[at], np.repeat(weights, sizes) * self.xs[at], head.size))
+            scores = head.ravel() + np.bincount(self.ids[at], np.repeat(weights, sizes) * self.xs[at], head.size)
             ids = np.arange(head.size)
             if skip >= 0:
                 scores[skip] = 0
-        elif len(more):
-            more_ids, more_scores = self._score(head, runs, x, block, more, skip)
-            ids, scores = np.concatenate([ids, more_ids]), np.concatenate([scores, more_scores])
         if len(scores) > k:
             near = scores >= np.partition(scores, len(scores) - k)[len(scores) - k] - 1e-5
             ids, scores = ids[near], scores[near]
@@ -128,6 +121,24 @@ class BlockMaxIndex:
         best = best[scores[best] > 1e-6]
         return ids[best], scores[best]
 
+    def _pruned(self, head: np.ndarray, terms: np.ndarray, weights: np.ndarray, k: int, skip: int) -> tuple[np.ndarray | None, np.ndarray | None]:
+        """Examples and scores of the blocks that can hold the k best; None if that is over half of the blocks."""
+        sizes = self.runs[terms + 1] - self.runs[terms]
+        runs, x = _ranges(self.runs[terms], sizes), np.repeat(weights, sizes)
+        block = self.block[runs]
+        bound = head.max(axis=1) + np.bincount(block, x * self.most[runs], self.blocks)
+        order = np.argsort(-bound, kind="stable")
+        ids, scores = self._score(head, runs, x, block, order[: self.FIRST], skip)
+        least = np.partition(scores, len(scores) - k)[len(scores) - k] if len(scores) > k else 0.0
+        more = order[self.FIRST :]
+        more = more[(bound[more] >= least - 1e-5) & (bound[more] > 0)]
+        if len(more) * 2 > self.blocks:
+            return None, None
+        if len(more):
+            more_ids, more_scores = self._score(head, runs, x, block, more, skip)
+            ids, scores = np.concatenate([ids, more_ids]), np.concatenate([scores, more_scores])
+        return ids, scores
+
     def _score(self, head: np.ndarray, runs: np.ndarray, x: np.ndarray, block: np.ndarray, blocks: np.ndarray, skip: int) -> tuple[np.ndarray, np.ndarray]:
         wanted = np.zeros(self.blocks, dtype=bool)
         wanted[blocks] = True
@@ -194,14 +205,19 @@ class Model:
         norm = math.sqrt(x @ x)
         return terms, x / norm if norm else x
 
-    def votes(self, vectors: list[Vector], skip: list[int] | None = None) -> Iterator[tuple[float, np.ndarray, np.ndarray]]:
-        """Of each vector the share of label 1 among the nearest examples, each weighing the inverse of its distance; the examples and cosines."""
+    def prepare(self) -> Model:
         if self.index is None:
             self.index, self.classes = BlockMaxIndex(self.vectors, len(self.weights)), np.array(self.labels)
+        return self
+
+    def votes(self, vectors: list[Vector], skip: list[int] | None = None) -> Iterator[tuple[float, np.ndarray, np.ndarray]]:
+        """Of each vector the share of label 1 among the nearest examples, each weighing the inverse of its distance; the examples and cosines."""
+        self.prepare()
         for start in range(0, len(vectors), 64):
             part = vectors[start : start + 64]
             for i, head in enumerate(self.index.heads(part)):
-                ids, cosines = self.index.search(part[i], self.k, skip[start + i] if skip else -1, head)
+                prune = i % 16 == 0 or self.index.helped  # bounds cost more than they save where the last ones left most blocks
+                ids, cosines = self.index.search(part[i], self.k, skip[start + i] if skip else -1, head, prune)
                 w = 1 / (np.sqrt(np.maximum(0, 2 - 2 * cosines)) + 0.1)
                 yield float((w * self.classes[ids]).sum() / w.sum()) if len(ids) else self.none_rate, ids, cosines
 
@@ -267,13 +283,14 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, limit: int = 12_000,
             made = [shared.value.vector(t) for t in f["text"]]
             yield pd.DataFrame({"doc_id": f["doc_id"], "y": f["y"], "t": [t.astype(np.int32).tobytes() for t, _ in made], "x": [x.astype(np.float32).tobytes() for _, x in made]})
 
-    examples = texts.mapInPandas(vectors, f"doc_id {kind}, y int, t binary, x binary").collect()  # at most `limit`
-    examples.sort(key=lambda r: r["doc_id"])
-    full = [r for r in examples if r["t"]]
-    none = Counter(r["y"] for r in examples if not r["t"])
+    examples = texts.mapInPandas(vectors, f"doc_id {kind}, y int, t binary, x binary").toArrow().sort_by("doc_id")  # at most `limit`
+    shared.destroy()
+    ids, ys = examples["doc_id"].to_pylist(), examples["y"].to_pylist()
+    found = [(np.frombuffer(t.as_buffer(), np.int32), np.frombuffer(x.as_buffer(), np.float32)) for t, x in zip(examples["t"], examples["x"], strict=True)]
+    full = [i for i, (t, _) in enumerate(found) if len(t)]
+    none = Counter(y for y, (t, _) in zip(ys, found, strict=True) if not len(t))
     model.none_rate = (rate1 * none[1] + rate1 * n1 / every) / (rate0 * none[0] + rate1 * none[1] + 1)
-    model.example_ids, model.labels = [r["doc_id"] for r in full], [r["y"] for r in full]
-    model.vectors = [(np.frombuffer(r["t"], np.int32), np.frombuffer(r["x"], np.float32)) for r in full]
+    model.example_ids, model.labels, model.vectors = [ids[i] for i in full], [ys[i] for i in full], [found[i] for i in full]
     if full:
         learned = spark.sparkContext.broadcast(model)
 
@@ -285,6 +302,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, limit: int = 12_000,
 
         parts = max(1, min(48, len(full) // 250))
         votes = {r["id"]: r["vote"] for r in spark.range(0, len(full), 1, parts).mapInArrow(without_itself, "id long, vote double").collect()}
+        learned.destroy()
         y = np.array(model.labels, dtype=float)
         model.knots = isotonic(np.array([votes[i] for i in range(len(full))]), y, np.where(y == 1, rate1, rate0))
     return model
@@ -302,6 +320,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
+        known.prepare().vectors = []  # the index has them
         for batch in batches:
             found = list(known.scores(batch.column(1).to_pylist()))
             evidence = [[{"example": i, "cosine": c} for i, c in zip(e, s, strict=True)] for _, e, s in found]
