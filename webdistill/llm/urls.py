@@ -3,7 +3,8 @@
 Native: only DataFrame functions. Two smoothed variable-order Markov models over characters are counted from all URLs
 that a rule accepts or rejects; the longest context with evidence weighs most (Witten-Bell interpolation of contexts of
 two, one and no characters). A URL's score is the mean over its characters of log P(rejected) - log P(accepted), and it
-is blocked above a threshold calibrated on the scores of the ruled URLs.
+is blocked above a threshold calibrated on the scores of the ruled URLs. The models see host and path only: URLs that differ in scheme,
+query or fragment have the same score.
 """
 
 from __future__ import annotations
