@@ -1,6 +1,7 @@
 """Op 5: the index against brute force, held-out accuracy and corner cases."""
 
 import zlib
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -94,3 +95,41 @@ def test_stem_that_clean_texts_have_too(spark):
         assert np.mean([x.predicted for x in own if x.doc_id // 4 % 6 == 0]) > 0.9, lang
         assert np.mean([x.predicted for x in own if x.doc_id // 4 % 6 and x.doc_id not in mention]) < 0.05, lang
     assert all(len(x.evidence) == 15 for x in test)
+
+
+def test_vectors_hold_every_term_of_whole_texts():
+    """Vectors made from whole arrays against terms counted one by one; null, empty, odd and very long texts."""
+    r = np.random.default_rng(3)
+    word = lambda: "".join(r.choice(list("aeioutnsßéñ日"), r.integers(1, 9)))
+    texts = [" ".join(word() for _ in range(r.integers(0, 80))) for _ in range(300)]
+    texts += [None, "", "İstanbul Ñandú 123abc_def ²x", "a" * 5000 + " aei", " ".join(word() for _ in range(120_000))]
+    df = Counter(t for x in texts for w in set(toxicity.tokens(x)) for t in toxicity.terms_of(w))
+    terms = sorted(t for t, n in df.items() if n >= 3)
+    number = {t: i for i, t in enumerate(terms)}
+    model = toxicity.Model(toxicity.Vocabulary(terms), np.arange(1.0, len(terms) + 1), [], [], None, 5, 0.0, (np.zeros(0), np.zeros(0)))
+    for text, (got, x) in zip(texts, model.vectors(texts), strict=True):
+        tf = Counter(number[t] for w in toxicity.tokens(text) for t in toxicity.terms_of(w) if t in number)
+        want = toxicity.unit({t: (1 + np.log(n)) * (t + 1.0) for t, n in sorted(tf.items())})
+        assert got.tolist() == list(want) and np.allclose(x, list(want.values()))
+
+
+def test_scores_against_brute_force(spark):
+    """Scores, votes and evidence from the model's vectors by plain loops; a document's own label has no say in its score."""
+    r = np.random.default_rng(9)
+    word = lambda: "".join(r.choice(list("aeioutn"), r.integers(2, 6)))
+    rows = [(i, " ".join([word() for _ in range(r.integers(8, 40))] + ["grumble"] * (i % 5 == 0))) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(400)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels, ~toxicity.held_out(F.col("doc_id")), least_df=2)
+    texts = dict(rows)
+    vectors = [dict(zip(*(a.tolist() for a in model.vector(texts[i])), strict=True)) for i in model.example_ids]
+    got = {x.doc_id: x for x in toxicity.score(docs, model).collect()}
+    for i, text in rows[::3]:
+        q = dict(zip(*(a.tolist() for a in model.vector(text)), strict=True))
+        cosines = [(-round(sum(w * v.get(t, 0.0) for t, w in q.items()), 6), j) for j, v in enumerate(vectors) if model.example_ids[j] != i]
+        near = [(-c, j) for c, j in sorted(cosines)[: model.k] if c < -1e-6]
+        weight = [1 / (np.sqrt(max(0, 2 - 2 * c)) + 0.1) for c, _ in near]
+        vote = sum(w * model.labels[j] for w, (_, j) in zip(weight, near, strict=True)) / sum(weight)
+        assert abs(got[i].score - np.clip(np.interp(vote, *model.knots), 0, 1)) < 1e-3
+        assert np.allclose(sorted(e.cosine for e in got[i].evidence), sorted(c for c, _ in near), atol=1e-5)
+        assert i not in [e.example for e in got[i].evidence]

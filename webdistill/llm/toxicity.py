@@ -7,13 +7,17 @@ import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from webdistill.llm import common
+
 _TOKEN = re.compile(r"[^\W\d_]+")
 #: Lengths of word beginnings that are terms beside whole words.
 STARTS = (4, 5, 6)
@@ -53,77 +57,180 @@ def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 class BlockMaxIndex:
     """Postings of unit vectors by term in blocks of examples, with each block's largest weight of each term.
 
-    Terms of more than one in ``COMMON`` examples have a weight for every example (``heads`` gives the scores by them),
-    the others a list of those that have them. ``search`` first scores the blocks that promise most. No member of another
-    block can exceed its largest score by common terms plus the sum of the query's other weights times the block's
-    largest ones, so only blocks whose bound reaches the k-th score found are scored after them: the result is exact.
-    Ties go to the earlier example.
+    Examples alike in their most frequent terms (those of one language) stand together. Within such a group, terms of more
+    than one in ``COMMON`` of its examples have a weight for each of them (``heads`` gives the scores by these), all
+    others a list of the examples that have them. ``search`` first scores the blocks that promise most. No member of
+    another block can exceed its largest score by common terms plus the sum of the query's other weights times the
+    block's largest ones, so only blocks whose bound reaches the k-th score found are scored after them: the result is
+    exact. Ties go to the earlier example.
+
+    A posting is one 64-bit number, the example's place above its weight's 32 bits. Pickled, the index is its postings
+    alone: what search adds (``prepare``) is made where it is used.
     """
 
     FIRST = 8
     COMMON = 16
+    GROUPS = 4
+    FREQUENT = 256
+    WORTH = 4
 
     def __init__(self, vectors: list[dict[int, float] | Vector], n_terms: int):
         found = [arrays(v) for v in vectors]
-        self.blocks = blocks = max(1, -(-len(found) // BLOCK))
+        sizes = np.array([len(t) for t, _ in found], dtype=np.int64)
         terms = np.concatenate([t for t, _ in found] or [np.zeros(0)]).astype(np.int32, copy=False)
         xs = np.concatenate([x for _, x in found] or [np.zeros(0)]).astype(np.float32, copy=False)
-        ids = np.repeat(np.arange(len(found), dtype=np.int32), [len(t) for t, _ in found])
-        df = np.bincount(terms, minlength=n_terms)
-        common = np.flatnonzero(df * self.COMMON > len(found))
-        self.row = np.full(n_terms, -1, dtype=np.int32)
-        self.row[common] = np.arange(len(common))
-        row = self.row[terms]
-        self.dense = np.zeros((len(common), blocks * BLOCK), dtype=np.float32)
-        self.dense[row[row >= 0], ids[row >= 0]] = xs[row >= 0]
         del found
-        terms, ids, xs = terms[row < 0], ids[row < 0], xs[row < 0]
-        del row
-        order = np.argsort(terms, kind="stable")  # examples ascend within a term
-        terms, self.ids, self.xs = terms[order], ids[order], xs[order]
-        del order, ids, xs
-        block = self.ids // BLOCK
-        first = np.flatnonzero(np.concatenate([[True], (terms[1:] != terms[:-1]) | (block[1:] != block[:-1])])) if len(terms) else np.zeros(0, dtype=np.int64)
-        self.first = np.append(first, len(terms)).astype(np.int32)  # where each run of a term within a block begins
-        self.block = block[first]
-        self.most = np.maximum.reduceat(self.xs, first) if len(first) else np.zeros(0, dtype=np.float32)
-        self.runs = np.searchsorted(terms[first], np.arange(n_terms + 1))  # where each term's runs begin
+        self.n, self.blocks = len(sizes), max(1, -(-len(sizes) // BLOCK))
+        ids = np.repeat(np.arange(self.n, dtype=np.int32), sizes)
+        group = self._grouped(terms, ids, xs, n_terms)
+        self.order = np.argsort(group, kind="stable")  # the example in each place
+        self.place = np.empty(self.n, dtype=np.int64)
+        self.place[self.order] = np.arange(self.n)
+        members = np.bincount(group, minlength=len(self.centres))
+        self.bounds = np.concatenate([[0], np.cumsum(members)])
+        posts = self.place[ids] << 32
+        posts |= xs.view(np.uint32)
+        del xs
+        self.row = np.full((len(members), n_terms), -1, dtype=np.int32)
+        dense = np.zeros(len(terms), dtype=bool)
+        of = group[ids]
+        del ids
+        for g, n in enumerate(members):
+            df = np.bincount(terms[of == g], minlength=n_terms)
+            common = np.flatnonzero((df * self.COMMON > n) & (df >= 8))
+            self.row[g, common] = np.arange(len(common))
+            dense |= (of == g) & (self.row[g][terms] >= 0)
+        self.common = self.row[of[dense], terms[dense]], posts[dense]
+        terms, posts = terms[~dense], posts[~dense]
+        del of, dense
+        order = np.argsort(terms, kind="stable")  # places ascend within a term once sorted by them
+        terms, posts = terms[order], posts[order]
+        self.ends = np.concatenate([[0], np.cumsum(np.bincount(terms, minlength=n_terms))])
+        del terms, order
+        for a, b in zip(self.ends[:-1].tolist(), self.ends[1:].tolist(), strict=True):
+            if b - a > 1:
+                posts[a:b].sort()
+        self.posts = posts
+        self.lists = None
+
+    def _grouped(self, terms: np.ndarray, ids: np.ndarray, xs: np.ndarray, n_terms: int) -> np.ndarray:
+        """A group for each example by its weights of the ``FREQUENT`` most frequent terms: spherical k-means from seeds far apart."""
+        df = np.bincount(terms, minlength=n_terms)
+        top = np.argsort(-df, kind="stable")[: self.FREQUENT]
+        self.column = np.full(n_terms, -1, dtype=np.int32)
+        self.column[top] = np.arange(len(top))
+        at = self.column[terms]
+        x = np.zeros((self.n, len(top)), dtype=np.float32)
+        x[ids[at >= 0], at[at >= 0]] = xs[at >= 0]
+        x /= np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-9)
+        full, draw = np.flatnonzero(x.any(axis=1)), np.random.default_rng(0)
+        centres = x[full[:1]] if len(full) else np.zeros((1, len(top)), dtype=np.float32)
+        while len(centres) < min(self.GROUPS, len(full)):
+            far = np.maximum(1 - (x[full] @ centres.T).max(axis=1), 1e-9).astype(np.float64) ** 2
+            centres = np.concatenate([centres, x[full[draw.choice(len(full), 1, p=far / far.sum())]]])
+        for _ in range(8):
+            group = np.argmax(x @ centres.T, axis=1) if self.n else np.zeros(0, dtype=np.int64)
+            for g in range(len(centres)):
+                if (group == g).any():
+                    centres[g] = x[group == g].mean(axis=0)
+            centres /= np.maximum(np.sqrt((centres * centres).sum(axis=1, keepdims=True)), 1e-9)
+        self.centres = centres
+        return np.argmax(x @ centres.T, axis=1) if self.n else np.zeros(0, dtype=np.int64)
+
+    def group_of(self, query: Vector) -> int:
+        """The group most like a query: queries of one group are cheaper to score together."""
+        at = self.column[query[0]]
+        return int(np.argmax(self.centres[:, at[at >= 0]] @ query[1][at >= 0]))
+
+    def __getstate__(self):
+        if self.lists is not None:
+            raise ValueError("an index is sent before it is prepared")
+        return self.__dict__
+
+    def prepare(self) -> BlockMaxIndex:
+        """Weights of common terms by group, lists by term, and each block's largest weights."""
+        if self.lists is None:
+            row, posts = self.common
+            self.tables = []
+            for g, (a, b) in enumerate(zip(self.bounds[:-1].tolist(), self.bounds[1:].tolist(), strict=True)):
+                table = np.zeros((int(self.row[g].max(initial=-1)) + 1, b - a), dtype=np.float32)
+                own = (posts >= a << 32) & (posts < b << 32)
+                table[row[own], (posts[own] >> 32) - a] = _weights(posts[own])
+                self.tables.append(table)
+            self.common = None
+            self.sizes = np.diff(self.ends)
+            ends = self.ends.tolist()
+            self.lists = [self.posts[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            block = (self.posts >> 32) // BLOCK
+            starts = np.zeros(len(block) + 1, dtype=bool)  # where each run of a term within a block begins
+            starts[self.ends] = True
+            starts[1:-1] |= block[1:] != block[:-1]
+            first = np.flatnonzero(starts[:-1])
+            self.block = block[first].astype(np.int32)
+            self.most = np.maximum.reduceat(_weights(self.posts), first) if len(first) else np.zeros(0, dtype=np.float32)
+            self.first = np.append(first, len(block)).astype(np.int32)
+            self.runs = np.searchsorted(first, self.ends)  # where each term's runs begin
+        return self
+
+    @property
+    def dense(self) -> np.ndarray:
+        """Terms that some group has a weight of for each of its examples."""
+        return np.flatnonzero((self.row >= 0).any(axis=0))
 
     def heads(self, queries: list[Vector]) -> np.ndarray:
-        """Each query's scores of all examples by common terms."""
-        x = np.zeros((len(queries), len(self.dense)), dtype=np.float32)
-        for i, (terms, weights) in enumerate(queries):
-            rows = self.row[terms]
-            x[i, rows[rows >= 0]] = weights[rows >= 0]
-        return x @ self.dense
-
-    def search(self, query: dict[int, float] | Vector, k: int, skip: int = -1, head: np.ndarray | None = None, prune: bool = True) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of highest cosine above zero, and the cosines."""
+        """Each query's scores by common terms of all places."""
+        self.prepare()
+        out = np.zeros((len(queries), self.blocks * BLOCK), dtype=np.float32)
+        terms, weights = (np.concatenate([q[i] for q in queries]) for i in (0, 1))
+        of = np.repeat(np.arange(len(queries)), [len(t) for t, _ in queries])
+        for g, table in enumerate(self.tables):
+            rows = self.row[g][terms]
+            some = np.flatnonzero(rows >= 0)
+            rows = rows[some]
+            used = np.zeros(len(table), dtype=bool)
+            used[rows] = True
+            n = np.count_nonzero(used)
+            if n * 2 < len(table):  # mostly another group's queries
+                rows, table = (np.cumsum(used) - 1)[rows], table[used]
+            if n:
+                x = np.zeros((len(queries), len(table)), dtype=np.float32)
+                x[of[some], rows] = weights[some]
+                np.matmul(x, table, out=out[:, self.bounds[g] : self.bounds[g + 1]])
+        return out
+
+    def search(self, query: dict[int, float] | Vector, k: int, skip: int | tuple[int, int] = -1, head: np.ndarray | None = None, prune: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """The k examples of highest cosine above zero, and the cosines; an example, or those from one to before another, are left out."""
         terms, x = arrays(query)
+        skip = (skip, skip + 1) if isinstance(skip, int) else skip
+        skipped = self.place[skip[0] : skip[1]] if skip[1] > skip[0] >= 0 else []
         head = self.heads([(terms, x)])[0] if head is None else head
-        head = head.reshape(self.blocks, BLOCK)
-        rare = self.row[terms] < 0
+        rare = self.sizes[terms] > 0
         terms, weights = terms[rare], x[rare]
-        ids, scores = self._pruned(head, terms, weights, k, skip) if prune else (None, None)
-        self.helped = ids is not None
-        if ids is None:  # most blocks are left: all in one go
-            starts = self.first[self.runs[terms]]
-            sizes = self.first[self.runs[terms + 1]] - starts
-            at = _ranges(starts, sizes)
-            scores = head.ravel() + np.bincount(self.ids[at], np.repeat(weights, sizes) * self.xs[at], head.size)
-            ids = np.arange(head.size)
-            if skip >= 0:
-                scores[skip] = 0
+        at, scores = self._pruned(head.reshape(self.blocks, BLOCK), terms, weights, k, skipped) if prune else (None, None)
+        self.helped = at is not None
+        if at is None:  # most blocks are left: all in one go
+            scores = head.astype(np.float64)
+            if len(terms):
+                posts = np.concatenate([self.lists[t] for t in terms.tolist()])
+                scores += np.bincount(posts >> 32, np.repeat(weights, self.sizes[terms]) * _weights(posts), len(head))
+            scores[skipped] = 0
+            most = scores.reshape(self.blocks, BLOCK).max(axis=1)  # k blocks' largest scores are k scores
+            least = np.partition(most, self.blocks - k)[self.blocks - k] if self.blocks > k else 0.0
+            at = np.flatnonzero(scores >= least - 1e-5)
+            scores = scores[at]
         if len(scores) > k:
-            near = scores >= np.partition(scores, len(scores) - k)[len(scores) - k] - 1e-5
-            ids, scores = ids[near], scores[near]
+            near = np.flatnonzero(scores >= np.partition(scores, len(scores) - k)[len(scores) - k] - 1e-5)
+            at, scores = at[near], scores[near]
+        at, scores = at[scores > 1e-6], scores[scores > 1e-6]
+        ids = self.order[at]
         best = np.lexsort((ids, -np.round(scores, 6)))[:k]
-        best = best[scores[best] > 1e-6]
         return ids[best], scores[best]
 
-    def _pruned(self, head: np.ndarray, terms: np.ndarray, weights: np.ndarray, k: int, skip: int) -> tuple[np.ndarray | None, np.ndarray | None]:
-        """Examples and scores of the blocks that can hold the k best; None if that is over half of the blocks."""
+    def _pruned(self, head: np.ndarray, terms: np.ndarray, weights: np.ndarray, k: int, skip: np.ndarray) -> tuple[np.ndarray | None, np.ndarray | None]:
+        """Places and scores of the blocks that can hold the k best; None if that is over half of the blocks, or bounds would cost more than scores."""
         sizes = self.runs[terms + 1] - self.runs[terms]
+        if sizes.sum() * self.WORTH > self.sizes[terms].sum():  # too few postings a block: bounds cost more than scores
+            return None, None
         runs, x = _ranges(self.runs[terms], sizes), np.repeat(weights, sizes)
         block = self.block[runs]
         bound = head.max(axis=1) + np.bincount(block, x * self.most[runs], self.blocks)
@@ -139,19 +246,98 @@ class BlockMaxIndex:
             ids, scores = np.concatenate([ids, more_ids]), np.concatenate([scores, more_scores])
         return ids, scores
 
-    def _score(self, head: np.ndarray, runs: np.ndarray, x: np.ndarray, block: np.ndarray, blocks: np.ndarray, skip: int) -> tuple[np.ndarray, np.ndarray]:
+    def _score(self, head: np.ndarray, runs: np.ndarray, x: np.ndarray, block: np.ndarray, blocks: np.ndarray, skip: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         wanted = np.zeros(self.blocks, dtype=bool)
         wanted[blocks] = True
         keep = wanted[block]
         runs, x = runs[keep], x[keep]
         sizes = self.first[runs + 1] - self.first[runs]
-        at = _ranges(self.first[runs], sizes)
-        scores = (head + np.bincount(self.ids[at], np.repeat(x, sizes) * self.xs[at], head.size).reshape(head.shape))[blocks].ravel()
+        posts = self.posts[_ranges(self.first[runs], sizes)]
+        scores = (head + np.bincount(posts >> 32, np.repeat(x, sizes) * _weights(posts), head.size).reshape(head.shape))[blocks].ravel()
         ids = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-        scores[ids == skip] = 0
+        scores[np.isin(ids, skip)] = 0
         return ids, scores
 
 
+def _weights(posts: np.ndarray) -> np.ndarray:
+    return posts.astype("<i8", copy=False).view("<f4")[::2]
+
+
+@lru_cache(maxsize=1)
+def _letters() -> np.ndarray:
+    """Whether each code point is one of a word."""
+    out = np.zeros(0x110000, dtype=bool)
+    for m in _TOKEN.finditer("".join(map(chr, range(0x110000)))):
+        out[m.start() : m.end()] = True
+    return out
+
+
+def word_keys(texts: list[str], longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """64-bit keys of the words of lower-cased texts, and the numbers of their texts: ``(n, of, keys)`` for the first n
+    letters of the words that long, n in ``STARTS``, and at the end ``(0, of, keys)`` of whole words of up to ``longest`` letters."""
+    codes = np.frombuffer("\n".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    inside = np.concatenate([[False], _letters()[codes], [False]])
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    begin, length = edges[::2], np.diff(edges)[::2]
+    of = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), begin, "right")
+    keys = np.zeros(len(begin), dtype=np.uint64)
+    long, begin_of, h = np.arange(len(begin)), begin, keys
+    for j in range(min(int(length.max(initial=0)), max(longest, *STARTS))):
+        if j:
+            keys[long] = h
+            more = length[long] > j
+            long, begin_of, h = long[more], begin_of[more], h[more]
+        h = (h ^ codes[begin_of + j]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+        if j + 1 in STARTS:
+            yield j + 1, of[long], (h ^ np.uint64(j + 1)) * np.uint64(0xBF58476D1CE4E5B9) | np.uint64(1)
+    keys[long] = h
+    whole = length <= longest
+    yield 0, of[whole], keys[whole] * np.uint64(0x94D049BB133111EB) | np.uint64(1)
+
+
+class Vocabulary:
+    """Numbers of terms by 64-bit keys, in an open table in which whole arrays are looked up at once."""
+
+    def __init__(self, terms: list[str]):
+        keys = np.zeros(len(terms), dtype=np.uint64)
+        whole = [i for i, t in enumerate(terms) if t[0] != "^"]
+        self.longest = max((len(terms[i]) for i in whole), default=0)
+        for n in (0, *STARTS):
+            some = [i for i, t in enumerate(terms) if len(t) == n + 1 and t[0] == "^"] if n else whole
+            for m, of, found in word_keys([terms[i].lstrip("^") for i in some], self.longest):
+                if m == n:
+                    keys[np.array(some, dtype=np.int64)[of]] = found
+        bits = max(4, (2 * len(terms)).bit_length())
+        self.shift, self.mask, self.probes = np.uint64(64 - bits), (1 << bits) - 1, 0
+        self.keys, self.numbers = np.zeros(1 << bits, dtype=np.uint64), np.full(1 << bits, -1, dtype=np.int32)
+        slot, left = (keys >> self.shift).astype(np.int64), np.arange(len(terms))
+        while len(left):
+            at = (slot[left] + self.probes) & self.mask
+            free = np.flatnonzero(self.keys[at] == 0)
+            at, first = np.unique(at[free], return_index=True)
+            taken = free[first]
+            self.keys[at], self.numbers[at] = keys[left[taken]], left[taken]
+            left = np.delete(left, taken)
+            self.probes += 1
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The number of the term of each key, or -1."""
+        at = (keys >> self.shift).astype(np.int64)
+        found = self.keys[at]
+        out = np.where(found == keys, self.numbers[at], -1)
+        left = np.flatnonzero((found != keys) & (found != 0))
+        for p in range(1, self.probes):
+            if not len(left):
+                break
+            next_at = (at[left] + p) & self.mask
+            found, wanted = self.keys[next_at], keys[left]
+            hit = found == wanted
+            out[left[hit]] = self.numbers[next_at[hit]]
+            left = left[~hit & (found != 0)]
+        return out
+
+
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Knots of the weighted monotone fit of y on x (pool adjacent violators)."""
     order = np.argsort(x, kind="stable")
@@ -170,63 +356,83 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
 
 @dataclass
 class Model:
-    """What ``fit`` learns: the vectors of at most ``limit`` examples and the vocabulary of their texts, whatever the corpus."""
+    """What ``fit`` learns: an index of at most ``limit`` examples and the vocabulary of their texts, whatever the corpus."""
 
-    terms: dict[str, int]
+    terms: Vocabulary
     weights: np.ndarray
     example_ids: list
     labels: list[int]
-    vectors: list[Vector]
+    index: BlockMaxIndex | None
     k: int
     none_rate: float
     knots: tuple[np.ndarray, np.ndarray]
-
-    def __post_init__(self):
-        self.index = None
-        self.known: dict = {}
+    own: dict | None = None
 
     def __getstate__(self):
-        return self.__dict__ | {"index": None, "known": {}}
-
-    def _terms_of(self, word: str) -> tuple[int, ...]:
-        if len(self.known) >= 60_000:
-            self.known.clear()
-        found = self.known[word] = tuple(i for t in terms_of(word) if (i := self.terms.get(t)) is not None)
-        return found
+        return self.__dict__ | {"own": None}
+
+    def vectors(self, texts: list[str | None]) -> list[Vector]:
+        """Unit TF-IDF vectors over the model's terms: (1 + log tf) * weight. Texts are taken some at a time, each whole."""
+        out: list[Vector] = []
+        while len(out) < len(texts):
+            part, size = [], 0
+            for text in texts[len(out) : len(out) + 512]:
+                part.append((text or "").lower())
+                size += len(part[-1])
+                if size > 1 << 19:
+                    break
+            of, found = [], []
+            for _, texts_of, keys in word_keys(part, self.terms.longest):
+                number = self.terms.find(keys)
+                known = number >= 0
+                of.append(texts_of[known])
+                found.append(number[known])
+            pairs = np.sort(np.concatenate(of) << 32 | np.concatenate(found))
+            first = np.flatnonzero(np.concatenate([[True], pairs[1:] != pairs[:-1]])) if len(pairs) else np.zeros(0, dtype=np.int64)
+            tf = np.diff(np.append(first, len(pairs)))
+            text, terms = pairs[first] >> 32, pairs[first] & 0xFFFFFFFF
+            x = (1 + np.log(tf)) * self.weights[terms]
+            x /= np.sqrt(np.bincount(text, x * x, len(part)))[text]
+            ends = np.searchsorted(text, np.arange(len(part) + 1)).tolist()
+            out += [(terms[a:b], x[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        return out
 
     def vector(self, text: str | None) -> Vector:
-        """Unit TF-IDF vector over the model's terms: (1 + log tf) * weight."""
-        ids: list[int] = []
-        known = self.known
-        for word in tokens(text):
-            ids += found if (found := known.get(word)) is not None else self._terms_of(word)
-        terms, tf = np.unique(np.array(ids, dtype=np.int64), return_counts=True)
-        x = (1 + np.log(tf)) * self.weights[terms]
-        norm = math.sqrt(x @ x)
-        return terms, x / norm if norm else x
-
-    def prepare(self) -> Model:
-        if self.index is None:
-            self.index, self.classes = BlockMaxIndex(self.vectors, len(self.weights)), np.array(self.labels)
-        return self
-
-    def votes(self, vectors: list[Vector], skip: list[int] | None = None) -> Iterator[tuple[float, np.ndarray, np.ndarray]]:
-        """Of each vector the share of label 1 among the nearest examples, each weighing the inverse of its distance; the examples and cosines."""
-        self.prepare()
-        for start in range(0, len(vectors), 64):
-            part = vectors[start : start + 64]
-            for i, head in enumerate(self.index.heads(part)):
-                prune = i % 16 == 0 or self.index.helped  # bounds cost more than they save where the last ones left most blocks
-                ids, cosines = self.index.search(part[i], self.k, skip[start + i] if skip else -1, head, prune)
-                w = 1 / (np.sqrt(np.maximum(0, 2 - 2 * cosines)) + 0.1)
-                yield float((w * self.classes[ids]).sum() / w.sum()) if len(ids) else self.none_rate, ids, cosines
-
-    def scores(self, texts: list[str | None]) -> Iterator[tuple[float, list, list[float]]]:
+        return self.vectors([text])[0]
+
+    def examples_of(self, doc_id) -> tuple[int, int]:
+        """From which to before which example an id's own ones are; examples are in the order of their ids."""
+        if self.own is None:
+            self.own = {}
+            for i, d in enumerate(self.example_ids):
+                self.own[d] = (self.own.get(d, (i, i))[0], i + 1)
+        return self.own.get(doc_id, (0, 0))
+
+    def votes(self, vectors: list[Vector], ids: list | None = None) -> Iterator[tuple[float, np.ndarray, np.ndarray]]:
+        """Of each vector the share of label 1 among the nearest examples, each weighing the inverse of its distance; the
+        examples and cosines. With ``ids``, a document's own examples are left out: its label has no say in its vote."""
+        classes, none = np.array(self.labels), (self.none_rate, np.zeros(0, dtype=np.int64), np.zeros(0))
+        for start in range(0, len(vectors), 1024):
+            part, out = vectors[start : start + 1024], {}
+            by_group = sorted(range(len(part)), key=[self.index.group_of(v) for v in part].__getitem__) if self.index else []
+            for at in range(0, len(by_group), 256):
+                batch = by_group[at : at + 256]
+                for j, (i, head) in enumerate(zip(batch, self.index.heads([part[i] for i in batch]), strict=True)):
+                    skip = self.examples_of(ids[start + i]) if ids is not None else -1
+                    prune = j % 16 == 0 or self.index.helped  # not where the last bounds left most blocks
+                    found, cosines = self.index.search(part[i], self.k, skip, head, prune)
+                    if len(found):
+                        w = 1 / (np.sqrt(np.maximum(0, 2 - 2 * cosines)) + 0.1)
+                        out[i] = float((w * classes[found]).sum() / w.sum()), found, cosines
+            yield from (out.get(i, none) for i in range(len(part)))
+
+    def scores(self, texts: list[str | None], ids: list | None = None) -> Iterator[tuple[float, list, list[float]]]:
         """Of each text the score, and the nearest examples' ids and cosines."""
         xs, ys = self.knots
-        for vote, ids, cosines in self.votes([self.vector(t) for t in texts]):
-            score = float(np.clip(np.interp(vote, xs, ys) if len(xs) else vote, 0, 1)) if len(ids) else self.none_rate
-            yield score, [self.example_ids[i] for i in ids], [float(c) for c in cosines]
+        votes = (v for a in range(0, len(texts), 1024) for v in self.votes(self.vectors(texts[a : a + 1024]), ids and ids[a : a + 1024]))
+        for vote, found, cosines in votes:
+            score = float(np.clip(np.interp(vote, xs, ys) if len(xs) else vote, 0, 1)) if len(found) else self.none_rate
+            yield score, [self.example_ids[i] for i in found.tolist()], cosines.tolist()
 
     def score(self, text: str | None) -> tuple[float, list, list[float]]:
         return next(self.scores([text]))
@@ -251,19 +457,26 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, limit: int = 12_000,
     kind = docs.schema[id_col].dataType.simpleString()
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df: tuple[Counter, Counter] = Counter(), Counter()
+        kinds = (0, *STARTS)
+        df = {(y, n): Counter() for y in (0, 1) for n in kinds}
         for batch in batches:
-            for text, y in zip(batch.column(0), batch.column(1), strict=True):
-                df[y.as_py()].update({t for w in set(tokens(text.as_py())) for t in terms_of(w)})
-        found = [*df[0].keys() | df[1].keys()]
-        for i in range(0, len(found), 50_000):
-            part = found[i : i + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), *(pa.array([df[y][t] for t in part], pa.int64()) for y in (0, 1))], ["term", "n0", "n1"])
-
+            for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                words = set(tokens(text))
+                for n in kinds:
+                    df[y, n].update({w[:n] for w in words if len(w) >= n} if n else words)
+        for n in kinds:
+            found = [*df[0, n].keys() | df[1, n].keys()]
+            for i in range(0, len(found), 50_000):
+                part = found[i : i + 50_000]
+                names = pa.array([f"^{t}" for t in part] if n else part, pa.string())
+                yield pa.RecordBatch.from_arrays([names, *(pa.array([df[y, n][t] for t in part], pa.int64()) for y in (0, 1))], ["term", "n0", "n1"])
+
+    texts = common.save(texts.select("doc_id", "text", "y"), "toxicity-examples")  # read once
     sizes = {r["y"]: r["n"] for r in texts.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
     if not n0 or not n1:
-        return Model({}, np.zeros(0), [], [], [], k, (n1 + 0.5) / (n0 + n1 + 1) if n0 + n1 else 0.5, (np.zeros(0), np.zeros(0)))
+        return Model(Vocabulary([]), np.zeros(0), [], [], None, k, (n1 + 0.5) / (n0 + n1 + 1) if n0 + n1 else 0.5, (np.zeros(0), np.zeros(0)))
+    texts = texts.repartition(max(1, min(48, (n0 + n1) // 250)), "doc_id")
     counted = texts.select("text", "y").mapInArrow(count, "term string, n0 long, n1 long").groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).where(F.col("n0") + F.col("n1") >= least_df)
     plus = lambda a, b: F.when(a > 0, a * F.log(a / b)).otherwise(F.lit(0.0))
     all_n, df = F.lit(n0 + n1), F.col("n0") + F.col("n1")
@@ -274,43 +487,51 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, limit: int = 12_000,
     every = rate0 * n0 + rate1 * n1
     have0, have1, ratios = (found[c].to_numpy() for c in ("n0", "n1", "r"))
     weights = np.log(1 + every / (rate0 * have0 + rate1 * have1)) * np.sqrt(1 + np.maximum(0, ratios))
-    model = Model({t: i for i, t in enumerate(found["term"].to_pylist())}, weights, [], [], [], k, 0.0, (np.zeros(0), np.zeros(0)))
+    model = Model(Vocabulary(found["term"].to_pylist()), weights, [], [], None, k, 0.0, (np.zeros(0), np.zeros(0)))
+    del found
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)  # bounded by the texts of `limit` examples
 
     def vectors(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            made = [shared.value.vector(t) for t in f["text"]]
+            made = shared.value.vectors(f["text"].tolist())
             yield pd.DataFrame({"doc_id": f["doc_id"], "y": f["y"], "t": [t.astype(np.int32).tobytes() for t, _ in made], "x": [x.astype(np.float32).tobytes() for _, x in made]})
 
-    examples = texts.mapInPandas(vectors, f"doc_id {kind}, y int, t binary, x binary").toArrow().sort_by("doc_id")  # at most `limit`
-    shared.destroy()
-    ids, ys = examples["doc_id"].to_pylist(), examples["y"].to_pylist()
-    found = [(np.frombuffer(t.as_buffer(), np.int32), np.frombuffer(x.as_buffer(), np.float32)) for t, x in zip(examples["t"], examples["x"], strict=True)]
+    examples = texts.mapInPandas(vectors, f"doc_id {kind}, y int, t binary, x binary").toArrow()  # at most `limit`
+    order = pc.sort_indices(examples, [("doc_id", "ascending"), ("t", "ascending")])
+    ids, ys = (examples[c].take(order).to_pylist() for c in ("doc_id", "y"))
+    ts, xs = examples["t"].combine_chunks(), examples["x"].combine_chunks()
+    del examples
+    found = [(np.frombuffer(ts[i].as_buffer(), np.int32), np.frombuffer(xs[i].as_buffer(), np.float32)) for i in order.to_pylist()]
     full = [i for i, (t, _) in enumerate(found) if len(t)]
     none = Counter(y for y, (t, _) in zip(ys, found, strict=True) if not len(t))
     model.none_rate = (rate1 * none[1] + rate1 * n1 / every) / (rate0 * none[0] + rate1 * none[1] + 1)
-    model.example_ids, model.labels, model.vectors = [ids[i] for i in full], [ys[i] for i in full], [found[i] for i in full]
+    model.example_ids, model.labels = [ids[i] for i in full], [ys[i] for i in full]
     if full:
+        model.index = BlockMaxIndex([found[i] for i in full], len(weights))
+        del found, ts, xs
         learned = spark.sparkContext.broadcast(model)
 
         def without_itself(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known = learned.value
             for batch in batches:
-                ids = batch.column(0).to_pylist()
-                own = [vote for vote, _, _ in learned.value.votes([learned.value.vectors[i] for i in ids], ids)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.float64())], ["id", "vote"])
+                made = known.vectors(batch.column(1).to_pylist())
+                some = [i for i, (t, _) in enumerate(made) if len(t)]
+                own = [vote for vote, _, _ in known.votes([made[i] for i in some], batch.column(0).take(pa.array(some, pa.int64())).to_pylist())]
+                yield pa.RecordBatch.from_arrays([batch.column(2).take(pa.array(some, pa.int64())), pa.array(own, pa.float64())], ["y", "vote"])
 
-        parts = max(1, min(48, len(full) // 250))
-        votes = {r["id"]: r["vote"] for r in spark.range(0, len(full), 1, parts).mapInArrow(without_itself, "id long, vote double").collect()}
+        votes = texts.select("doc_id", "text", "y").mapInArrow(without_itself, "y int, vote double").toArrow()
         learned.destroy()
-        y = np.array(model.labels, dtype=float)
-        model.knots = isotonic(np.array([votes[i] for i in range(len(full))]), y, np.where(y == 1, rate1, rate0))
+        y = votes["y"].to_numpy().astype(float)
+        model.knots = isotonic(votes["vote"].to_numpy(), y, np.where(y == 1, rate1, rate0))
+    shared.destroy()
     return model
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, score, evidence`` of every whole text: the nearest examples' ids and cosines are the evidence.
 
+    A document that is an example itself is left out of its own neighbours, so that its label has no part in its score.
     Texts without any of the model's terms (null and empty ones too) have the rate of label 1 among such examples, or
     among all where there are none.
     Repeated rows are scored each.
@@ -320,12 +541,16 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
-        known.prepare().vectors = []  # the index has them
         for batch in batches:
-            found = list(known.scores(batch.column(1).to_pylist()))
-            evidence = [[{"example": i, "cosine": c} for i, c in zip(e, s, strict=True)] for _, e, s in found]
-            kind_of = pa.list_(pa.struct([("example", batch.column(0).type), ("cosine", pa.float64())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s for s, _, _ in found], pa.float64()), pa.array(evidence, kind_of)], ["doc_id", "score", "evidence"])
+            found, ids, cosines = list(known.scores(batch.column(1).to_pylist(), batch.column(0).to_pylist())), [], []
+            ends = [0]
+            for _, e, c in found:
+                ids += e
+                cosines += c
+                ends.append(len(ids))
+            evidence = pa.StructArray.from_arrays([pa.array(ids, batch.column(0).type), pa.array(cosines, pa.float64())], ["example", "cosine"])
+            evidence = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), evidence)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s for s, _, _ in found], pa.float64()), evidence], ["doc_id", "score", "evidence"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, f"doc_id {kind}, score double, evidence array<struct<example {kind}, cosine double>>")
