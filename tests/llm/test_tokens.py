@@ -116,3 +116,53 @@ def test_hashes_of_query(spark):
     want = {r.doc_id: t.encode(r.text or "", add_special_tokens=False).ids for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
     for r in __spark_entry__.queries()["op10_forced_boundary_bpe"](spark, d).collect():
         assert r.ids_sha256 == hashlib.sha256(packed(want[r.doc_id])).hexdigest() and r.n_tokens == len(want[r.doc_id])
+
+
+def test_files_follow_each_other_by_smallest_id(spark):
+    """``part-100000`` sorts before ``part-99999`` by name: starts go by the files' smallest ids; null ids come first."""
+    rows = [("part-99999", 1, 5, 0), ("part-100000", 7, 3, 0), ("part-100000", 9, 2, 0), ("part-0", None, 4, 0)]
+    found = spark.createDataFrame(rows, "file string, doc_id long, n_tokens long, ids_crc32 long")
+    assert {r.doc_id: r.start for r in tokens.starts(found).collect()} == {None: 0, 1: 4, 7: 9, 9: 12}
+
+
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_cuts_at_stops_commas_and_line_ends(path):
+    parts = [" ", "\n", ".", ",", "..", "...", "Word", "é", "İ", "क़", "_", "'s", "x,y", "3.14", "***", "\0", " .", "\r", "’t", "a" * 400]
+    r, t, e = random.Random(8), Tokenizer.from_file(path), Encoder(path)
+    for _ in range(4000):
+        x = "".join(r.choices(parts, k=r.randint(1, 10)))
+        assert e.encode(x) == packed(t.encode(x, add_special_tokens=False).ids), repr(x)
+
+
+def test_cache_is_bounded_by_bytes():
+    e = Encoder(BYTE, cache=240 * 50)
+    for i in range(2000):
+        e.encode(f"w{i} " + "x" * (i % 300))
+        assert len(e.cache) + len(e.cache.old) <= 100 and max(map(len, e.cache), default=0) <= e.cache.LONG
+
+
+def test_empty_tables(spark):
+    none = spark.createDataFrame([], "doc_id long, text string")
+    assert packing.pack(none, WORD, 2).count() == 0
+    assert bpe.decode_documents(bpe.encode_documents(none, BYTE), BYTE).count() == 0
+
+
+def test_assignment_against_brute_force():
+    """Each piece in descending order to the cheapest sequence with room for it, by plain loops."""
+    r = random.Random(5)
+    for _ in range(50):
+        sizes = [64] * r.randint(1, 6)
+        lengths, left = [], sum(sizes)
+        while left:
+            lengths.append(min(left, r.randint(1, 64)))
+            left -= lengths[-1]
+        free, cost, want = list(sizes), [0.0] * len(sizes), {k: [] for k in range(len(lengths))}
+        for k in sorted(want, key=lambda k: (-lengths[k], k)):
+            todo = lengths[k]
+            while todo:
+                some = [s for s in range(len(sizes)) if free[s] >= todo] or [s for s in range(len(sizes)) if free[s]]
+                s = min(some, key=lambda s: (cost[s], s))
+                n = min(todo, free[s])
+                want[k].append((s, n))
+                free[s], cost[s], todo = free[s] - n, cost[s] + n + n * n / 64, todo - n
+        assert packing.assign(lengths, 64, sizes) == [want[k] for k in range(len(lengths))]

@@ -55,7 +55,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, room: int = 4096, id_col:
     names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer, 200_000).encode
+        enc = encoder(tokenizer, 40 << 20).encode
         context = TaskContext.get()
         next_id = (context.partitionId() if context else 0) << 40
         held: list[tuple] = []  # doc_id, start, ids, doc_tokens

@@ -19,7 +19,7 @@ FLUSH = 8 << 20
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str, cache: int = 350_000) -> Encoder:
+def encoder(path: str, cache: int = 96 << 20) -> Encoder:
     """One encoder a worker process, so that its caches last over tasks."""
     return Encoder(path, cache)
 
@@ -68,6 +68,7 @@ def write_orc(docs: DataFrame, path: str, tokenizer: str, end_id: int | None, id
     (
         encode(ranged, tokenizer, end_id)
         .write.option("orc.compress", "ZSTD")
+        .option("orc.compression.zstd.level", "1")
         .option("orc.stripe.size", str(stripe_bytes))
         .option("orc.create.index", "true")
         .option("orc.row.index.stride", str(stride))
@@ -89,8 +90,9 @@ def checksums(rows: DataFrame) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column(2)
-            flat, ends = lists.values.to_numpy(zero_copy_only=False).astype("<u4", copy=False), lists.offsets.to_numpy()
-            crc = [zlib.crc32(flat[a:b].tobytes()) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            flat, ends = lists.values.to_numpy(zero_copy_only=False).astype("<i4", copy=False), lists.offsets.to_numpy()
+            data, at = memoryview(flat).cast("B"), (4 * ends.astype(np.int64)).tolist()
+            crc = [zlib.crc32(data[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(np.diff(ends), pa.int64()), pa.array(crc, pa.int64())], ["file", "doc_id", "n_tokens", "ids_crc32"]
             )
@@ -101,10 +103,12 @@ def checksums(rows: DataFrame) -> DataFrame:
 def starts(rows: DataFrame) -> DataFrame:
     """Add ``start``, the tokens of all documents before each: those of earlier files, and earlier ones in its file.
 
-    Only one row a file meets in one task; the order within a file is found in the task that holds the file's rows.
+    Files are in the order of their smallest ids, not of their names. The window over files has no key: one row a file
+    meets in one task, which is bounded by the number of files. The order within a file is found in the task that holds
+    the file's rows; rows that repeat an id follow each other by checksum.
     """
     inside = Window.partitionBy("file").orderBy(F.col("doc_id").asc_nulls_first(), "ids_crc32").rowsBetween(Window.unboundedPreceding, -1)
-    files = rows.groupBy("file").agg(F.sum("n_tokens").alias("n"))
-    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    files = rows.groupBy("file").agg(F.sum("n_tokens").alias("n"), F.min("doc_id").alias("least"))
+    before = Window.orderBy(F.col("least").asc_nulls_first(), "file").rowsBetween(Window.unboundedPreceding, -1)
     files = files.select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     return rows.withColumn("inside", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).join(files, "file").withColumn("start", F.col("base") + F.col("inside")).drop("base", "inside")
