@@ -99,3 +99,43 @@ def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "u long, v long")
     got = {r.id: r.component for r in components(links).collect()}
     assert all(got[i] == 0 for i in range(41)) and got[101] == 100
+
+
+@pytest.mark.parametrize("most", [0, 1 << 20])
+def test_common_elements_joined_or_sent(spark, monkeypatch, most):
+    """Elements that many sets share go last in the order, whether their list is sent to the tasks or joined."""
+    monkeypatch.setattr(jaccard, "LONG", 4)
+    monkeypatch.setattr(jaccard, "MOST_COMMON", most)
+    rows = corpus(11, 200)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.join(docs, 3, 90, 100).collect())
+    assert got == brute(rows, 3, 90, 100)
+
+
+def test_hot_key_without_links(spark, monkeypatch):
+    """Many sets of like size share half their elements and link with nothing: no link is made up or lost."""
+    monkeypatch.setattr(jaccard, "LONG", 1000)  # what they share stays at the front
+    r = random.Random(4)
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join([*base, *(f"v{r.randrange(10**6)}" for _ in range(50))])) for i in range(200)]
+    rows.append((900, rows[7][1].replace("w30", "changed")))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sorted((x.doc_id, x.n_shingles, x.component_id) for x in jaccard.join(docs, 3, 90, 100).collect())
+    assert got == brute(rows, 3, 90, 100) and got[-1][2] == 7
+
+
+def test_sketches_bound_the_difference():
+    r = random.Random(2)
+    import numpy as np
+
+    for size in (3, 300, 3000):
+        a = np.array([r.getrandbits(63) for _ in range(size)], dtype=np.int64)
+        b = np.concatenate([a[size // 4 :], np.array([r.getrandbits(63) for _ in range(size // 3)], dtype=np.int64)])
+        for bits in (jaccard.SKETCH, jaccard.WIDE):
+            x, y = jaccard.sketch(a, bits), jaccard.sketch(b, bits)
+            assert sum(int(v).bit_count() for v in (x ^ y).view("<u8").tolist()) <= len(set(a.tolist()) ^ set(b.tolist()))
+
+
+def test_columns_with_clashing_names(spark):
+    docs = spark.createDataFrame([(2, "a b c d e f", 1, 2, 3), (1, "a b c d e f", 1, 2, 3)], "doc_id long, text string, gone int, __gone int, Gone_ int")
+    assert [r.doc_id for r in jaccard.drop_near_copies(docs).collect()] == [1]

@@ -14,7 +14,7 @@ Size-aware heavy-light join over classes of documents with equal sets:
   lists of what is common are met only by sets that hold little else.
 
 Keys are not joined with themselves pair by pair either. Each member of a key is compared with the key's first set;
-pairs whose profiles (counts of elements by hash) differ too much are ruled out before whole sets are fetched; links found are contracted to components, and only keys whose members still lie in different components are gone
+pairs whose sketches (bits that each element turns over) differ too much are ruled out before whole sets are fetched; links found are contracted to components, and only keys whose members still lie in different components are gone
 through again, so large groups of near copies cost their size and not its square. No link between components is lost:
 the last round compares all members of different components that share a key.
 """
@@ -37,12 +37,13 @@ _WORDS = re.compile(rb"[^ \t-\r]+")
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: An element that more sets than this share is put last in the order.
 LONG = 64
+#: Common elements that may go to every task, 8 bytes each; where there are more, they are joined.
+MOST_COMMON = 1 << 20
 #: Rounds in which a member of a key meets one head of it: what a scan of a list costs a member at most, however long.
 ROUNDS = 4
-#: Counts in a profile.
-BUCKETS = 64
-#: Ids that may be broadcast, 8 bytes each: at most 16 MB.
-SMALL = 2_000_000
+#: Bits of the sketch that every set has, and of the wide one of sets of more than ``WIDE_FROM`` elements.
+SKETCH, WIDE = 512, 4096
+WIDE_FROM = 700
 #: Largest number of shared elements that a light set's keys combine.
 SUBSET = 2
 
@@ -104,16 +105,25 @@ def kept_size(n: int, num: int, den: int) -> int:
     return min(n, f + max(8, f // 2))
 
 
+def sketch(elements: np.ndarray, bits: int) -> np.ndarray:
+    """Each bit says whether an odd number of elements has its number for low bits, as 64-bit words.
+
+    Elements of both sets cancel out, so two sets differ in at least as many elements as their sketches do in bits.
+    """
+    odd = (np.bincount(elements & (bits - 1), minlength=bits) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view("<i8")
+
+
 def sets(docs: DataFrame, n: int, num: int, den: int, whole: bool) -> DataFrame:
-    """``doc_id, n, d1, d2`` (128-bit digest of the set) and either the whole ``elements`` or ``kept`` and ``profile``.
+    """``doc_id, n, d1, d2`` (128-bit digest of the set) and either the whole ``elements`` or ``kept, sketch, wide``.
 
-    ``profile`` counts the elements by their low bits. Two sets differ in at least as many elements as their profiles
-    do, so profiles rule out most pairs for good without the sets.
+    Sketches rule most pairs out for good without the sets; ``wide`` is empty for small sets.
     """
     from hashlib import blake2b
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    names = ["doc_id", "n", "d1", "d2", *(["elements"] if whole else ["kept", "profile"])]
+    names = ["doc_id", "n", "d1", "d2", *(["elements"] if whole else ["kept", "sketch", "wide"])]
+    nothing = np.zeros(0, dtype=np.int64)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = _shingler(n)
@@ -122,17 +132,18 @@ def sets(docs: DataFrame, n: int, num: int, den: int, whole: bool) -> DataFrame:
             for i, text in enumerate(batch.column(1)):
                 s = shingle(text.as_py())
                 d = np.frombuffer(blake2b(s.tobytes(), digest_size=16).digest(), dtype="<i8")
-                rows.append((len(s), d[0], d[1], s if whole else s[: kept_size(len(s), num, den)], s))
-                size += len(rows[-1][3])
+                if whole:
+                    rows.append((len(s), d[0], d[1], s))
+                else:
+                    rows.append((len(s), d[0], d[1], s[: kept_size(len(s), num, den)], sketch(s, SKETCH), sketch(s, WIDE) if len(s) > WIDE_FROM else nothing))
+                size += len(rows[-1][3]) + 8
                 if size > 1 << 20 or i == batch.num_rows - 1:
-                    a, b, c, e, all_of = zip(*rows, strict=True)
-                    columns = [batch.column(0).slice(at, len(rows)), *(pa.array(np.array(x, dtype=np.int64)) for x in (a, b, c)), _lists(list(e))]
-                    if not whole:
-                        columns.append(pa.array([np.minimum(np.bincount(x & (BUCKETS - 1), minlength=BUCKETS), 30_000).astype(np.int16) for x in all_of], pa.list_(pa.int16())))
-                    yield pa.RecordBatch.from_arrays(columns, names)
+                    a, b, c, *lists = zip(*rows, strict=True)
+                    numbers = (pa.array(np.array(x, dtype=np.int64)) for x in (a, b, c))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(rows)), *numbers, *(_lists(list(x)) for x in lists)], names)
                     at, rows, size = i + 1, [], 0
 
-    last = "elements array<long>" if whole else "kept array<long>, profile array<smallint>"
+    last = "elements array<long>" if whole else "kept array<long>, sketch array<long>, wide array<long>"
     return docs.mapInArrow(run, f"doc_id {kind}, n long, d1 long, d2 long, {last}")
 
 
@@ -185,13 +196,34 @@ class Join:
     def whole_sets(self, ids: DataFrame) -> DataFrame:
         """``id, n, elements`` of some documents, from their texts again: only these sets are carried whole.
 
-        Up to ``SMALL`` ids are broadcast, which their count has to show; more are joined by a shuffle.
+        Ids that fit are broadcast, which their count and width have to show; more are joined by a shuffle.
         """
         ids = ids.select(F.col("id").alias("doc_id"))
-        ids = F.broadcast(ids) if ids.count() <= SMALL else ids
+        ids = F.broadcast(ids) if common.fits(ids) else ids
         found = sets(self.docs.join(ids, "doc_id", "left_semi"), self.n, self.num, self.den, True)
         return common.save(found.select(F.col("doc_id").alias("id"), "n", "elements"), "jaccard-sets")
 
+    def reordered(self, ids: DataFrame, hot: DataFrame) -> DataFrame:
+        """``id, n, front`` of some documents with the ``hot`` elements (``MOST_COMMON`` at most) last, from their texts."""
+        spark, n, num, den = ids.sparkSession, self.n, self.num, self.den
+        last = spark.sparkContext.broadcast(np.sort(hot.toArrow()["e"].to_numpy()))
+        ids = ids.select(F.col("id").alias("doc_id"))
+        kind = ids.schema["doc_id"].dataType.simpleString()
+
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            shingle = _shingler(n)
+            for batch in batches:
+                sizes, fronts = [], []
+                for text in batch.column(1):
+                    s = shingle(text.as_py())
+                    is_last = np.isin(s, last.value)
+                    sizes.append(len(s))
+                    fronts.append(np.concatenate([s[~is_last], s[is_last]])[: front_size(len(s), num, den)])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), _lists(fronts)], ["id", "n", "front"])
+
+        docs = self.docs.join(F.broadcast(ids) if common.fits(ids) else ids, "doc_id", "left_semi")
+        return common.save(docs.mapInArrow(run, f"id {kind}, n long, front array<long>"), "jaccard-again")
+
     def ordered(self, classes: DataFrame) -> DataFrame:
         """``id, n, front``: fronts in the order that has common elements last.
 
@@ -208,6 +240,8 @@ class Join:
         done = (F.size("others") >= size) | (F.size("kept") >= F.col("n"))
         front = F.slice(F.concat("others", F.coalesce(F.array_sort("hot"), F.array().cast("array<long>"))), 1, size.cast("int"))
         moved = common.save(moved.select("id", "n", F.when(done, front).alias("front")), "jaccard-fronts")
+        if hot.count() <= MOST_COMMON:
+            return moved.where("front IS NOT NULL").unionByName(self.reordered(moved.where("front IS NULL").select("id"), hot))
         whole = self.whole_sets(moved.where("front IS NULL").select("id"))
         own = whole.select("id", F.explode("elements").alias("e")).join(hot, "e").groupBy("id").agg(F.collect_list("e").alias("hot"))
         again = whole.join(own, "id").select("id", "n", F.slice(F.concat(F.array_except("elements", "hot"), F.array_sort("hot")), 1, size.cast("int")).alias("front"))
@@ -228,63 +262,70 @@ class Join:
         shared = every.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
         return common.save(every.join(shared, "key"), "jaccard-keys")
 
-    def alike(self, pa: str, pb: str, na: str, nb: str) -> Column:
-        """Whether two profiles allow a link: sets differ in as many elements as their profiles do, at least."""
-        differ = F.aggregate(F.zip_with(pa, pb, lambda x, y: F.abs(x.cast("int") - y)), F.lit(0), lambda t, x: t + x)
+    def alike(self, x: str, y: str, bits: int, na: str, nb: str) -> Column:
+        """Whether two sketches allow a link: the sets differ in as many elements as their sketches do in bits, at least."""
+        differ = sum((F.bit_count(F.col(x)[i].bitwiseXOR(F.col(y)[i])) for i in range(bits // 64)), F.lit(0))
         return differ.cast("long") * (self.den + self.num) <= (F.col(na) + F.col(nb)) * (self.den - self.num)
 
-    def possible(self, pairs: DataFrame, profiles: DataFrame) -> DataFrame:
-        """Pairs ``a, b`` whose profiles don't rule a link out."""
-        left = profiles.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("profile").alias("pa"))
-        right = profiles.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("profile").alias("pb"))
-        return pairs.join(right, "b").join(left, "a").where(self.alike("pa", "pb", "na", "nb")).select("a", "b")
+    def possible(self, pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+        """Pairs ``a, b`` whose sketches don't rule a link out; the wide ones where both sets have one."""
+        left, right = (sketches.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"), F.col("wide").alias(f"w{x}")) for x in ("a", "b"))
+        wide = (F.size("wa") == 0) | (F.size("wb") == 0) | self.alike("wa", "wb", WIDE, "na", "nb")
+        return pairs.join(right, "b").join(left, "a").where(self.alike("sa", "sb", SKETCH, "na", "nb") & wide).select("a", "b")
 
     def verified(self, pairs: DataFrame, whole: DataFrame) -> DataFrame:
-        """Of pairs ``a, b`` those whose sets link."""
-        left = whole.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("elements").alias("ea"))
-        right = whole.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("elements").alias("eb"))
-        both = pairs.join(right, "b").join(left, "a").select("a", "b", "na", "nb", F.size(F.array_intersect("ea", "eb")).cast("long").alias("shared"))
+        """Of pairs ``a, b`` those whose sets link. The sets of ``b`` go to that of ``a``; pairs that fit are broadcast to
+        the written sets, so each set moves once a pair and none for pairs of other rounds."""
+        first = pairs.select("a").distinct()
+        small = F.broadcast if common.fits(pairs) else lambda x: x
+        left = whole.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("elements").alias("ea")).join(small(first), "a", "left_semi")
+        right = whole.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("elements").alias("eb")).join(small(pairs), "b")
+        both = right.join(left, "a").select("a", "b", "na", "nb", F.size(F.array_intersect("ea", "eb")).cast("long").alias("shared"))
         return both.where(F.lit(self.den) * F.col("shared") >= F.lit(self.num) * (F.col("na") + F.col("nb") - F.col("shared"))).select("a", "b")
 
-    def pairs(self, keys: DataFrame, label: DataFrame | None, step: str, profiles: DataFrame) -> DataFrame:
+    def pairs(self, keys: DataFrame, label: DataFrame | None, step: str, sketches: DataFrame) -> DataFrame:
         """Pairs of sets in different components that share a key and may link: each set and the head it shares most
         keys with (``first``), each set and the heads of all its keys (``heads``), or all sets (``all``; there the
-        profiles are compared within the join, so pairs that they rule out are no rows)."""
+        sketches are compared within the join, so pairs that they rule out are no rows)."""
         named = keys.withColumn("component", F.col("id")) if label is None else keys.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
         heads = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min(F.struct("component", "id", "n")).alias("head")).where("low <> high")
         heads = heads.select("key", F.col("low").alias("ca"), F.col("head.id").alias("a"), F.col("head.n").alias("na"))
-        if step == "all":
-            left = named.join(heads.select("key"), "key", "left_semi").join(profiles.select("id", F.col("profile").alias("pb")), "id")
-            other = left.select(F.col("key").alias("k"), F.col("component").alias("ca"), F.col("id").alias("a"), F.col("n").alias("na"), F.col("pb").alias("pa"))
-            near = F.lit(self.den) * F.least("n", "na") >= F.lit(self.num) * F.greatest("n", "na")
-            both = (F.col("key") == F.col("k")) & (F.col("ca") < F.col("component")) & near & self.alike("pa", "pb", "na", "n")
-            return left.join(other, both).select("a", F.col("id").alias("b")).distinct()
         near = F.lit(self.den) * F.least("n", "na") >= F.lit(self.num) * F.greatest("n", "na")
-        found = named.join(heads, "key").where((F.col("ca") < F.col("component")) & near).select("a", F.col("id").alias("b"))
+        if step == "all":
+            left = named.join(heads.select("key"), "key", "left_semi").join(sketches.select("id", F.col("sketch").alias("sb")), "id")
+            other = left.select(F.col("key").alias("k"), F.col("component").alias("ca"), F.col("id").alias("a"), F.col("n").alias("na"), F.col("sb").alias("sa"))
+            both = (F.col("key") == F.col("k")) & (F.col("ca") < F.col("component")) & near & self.alike("sa", "sb", SKETCH, "na", "n")
+            found = left.join(other, both).select("a", F.col("id").alias("b"))
+        else:
+            found = named.join(heads, "key").where((F.col("ca") < F.col("component")) & near).select("a", F.col("id").alias("b"))
         if step == "first":
             found = found.groupBy("a", "b").agg(F.count("*").alias("c")).groupBy("b").agg(F.max_by("a", "c").alias("a"))
-        return self.possible(found.distinct(), profiles)
+        return self.possible(found.distinct(), sketches)
 
     def run(self) -> DataFrame:
         spark = self.docs.sparkSession
         found = common.save(sets(self.docs, self.n, self.num, self.den, False), "jaccard-sets")
         members = common.save(found.select("doc_id", "n", "d1", "d2"), "jaccard-members")
-        classes = found.where("n > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("kept").alias("kept"), F.first("profile").alias("profile"))
+        first = [F.first(c).alias(c) for c in ("n", "kept", "sketch", "wide")]
+        classes = found.where("n > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2").agg(F.min("doc_id").alias("id"), *first)
         classes = common.save(classes, "jaccard-classes")
         common.drop(spark, found)
         keys = self.keys(classes)
-        profiles = classes.select("id", "n", "profile")
+        sketches = classes.select("id", "n", "sketch", "wide")
         links, label, whole, ids = None, None, None, None
         for step in ("first", "heads", "heads", "all"):
-            pairs = common.save(self.pairs(keys, label, step, profiles), "jaccard-pairs")
+            pairs = common.save(self.pairs(keys, label, step, sketches), "jaccard-pairs")
             need = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
             need = common.save(need if ids is None else need.join(ids, "id", "left_anti"), "jaccard-need")
             more = self.whole_sets(need)
             whole, ids = (more, need) if whole is None else (whole.unionByName(more), ids.unionByName(need))
             linked = common.save(self.verified(pairs, whole), "jaccard-links")
+            common.drop(spark, pairs)
             if linked.limit(1).count():
                 links = linked if links is None else links.unionByName(linked)
                 label = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+        for done in (keys, whole, ids):
+            common.drop(spark, done)
         named = classes.select("d1", "d2", "id").withColumn("component", F.col("id"))
         if label is not None:
             named = classes.select("d1", "d2", "id").join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
@@ -309,5 +350,4 @@ def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str
 def drop_near_copies(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of the documents that stay: those of the smallest id of each component, and all that link with nothing."""
     found = join(docs, n, num, den, id_col, text_col)
-    gone = found.where(F.col("component_id") < F.col("doc_id")).select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    return common.without(docs, found.where(F.col("component_id") < F.col("doc_id")).select("doc_id"), id_col)
