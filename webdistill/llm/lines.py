@@ -5,6 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from webdistill.llm import common
+
+
+#: Bytes of boilerplate hashes that may be broadcast.
+MOST_BROADCAST = 32 << 20
+
 
 def boilerplate(docs: DataFrame, ratio: float, least: int, host_col: str, text_col: str) -> DataFrame:
     """``host, drops``: per host the hashes of lines that more than ``ratio`` of its pages, and ``least`` or more, contain.
@@ -24,15 +30,19 @@ def drop_boilerplate(docs: DataFrame, ratio: float = 0.1, least: int = 5, host_c
     """All of ``docs`` with boilerplate lines taken out of the text, and ``n_lines``, ``n_dropped`` added.
 
     Lines are parted by line feeds. Null texts stay null and have no lines; a null host is a host of its own. Rows that
-    repeat are pages each. Input columns named like an added one are replaced.
+    repeat are pages each. Input columns named like an added one are replaced. Hosts of fewer than ``least`` pages lose
+    no line. Texts aren't shuffled: hosts with boilerplate and its hashes go to them, which their measured size allows;
+    where it doesn't, texts are joined by host, and Spark splits large hosts.
     """
-    found = boilerplate(docs, ratio, least, host_col, text_col).select(F.col("host").alias("__host"), F.col("drops").alias("__drops"))
-    keep = F.filter(F.split(text_col, "\n"), lambda x: ~F.coalesce(F.array_contains("__drops", F.xxhash64(x)), F.lit(False)))
-    out = docs.drop("n_lines", "n_dropped").join(found, F.col(host_col).eqNullSafe(F.col("__host")), "left")
-    out = out.withColumn("__kept", keep)
+    host, drops, kept = (common.unused(docs, x) for x in ("host", "drops", "kept"))
+    found = common.save(boilerplate(docs, ratio, least, host_col, text_col).select(F.col("host").alias(host), F.col("drops").alias(drops)), "boilerplate")
+    size = found.agg(F.sum(F.octet_length(F.coalesce(F.col(host).cast("string"), F.lit(""))) + 8 * F.size(drops) + 64)).first()[0] or 0
+    keep = F.filter(F.split(text_col, "\n"), lambda x: ~F.coalesce(F.array_contains(F.col(drops), F.xxhash64(x)), F.lit(False)))
+    out = docs.drop("n_lines", "n_dropped").join(F.broadcast(found) if size <= MOST_BROADCAST else found, F.col(host_col).eqNullSafe(F.col(host)), "left")
+    out = out.withColumn(kept, keep)
     n = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(F.split(text_col, "\n")))
-    out = out.withColumn("n_lines", n.cast("long")).withColumn("n_dropped", F.when(F.col(text_col).isNull(), 0).otherwise(F.col("n_lines") - F.size("__kept")).cast("long"))
-    return out.withColumn(text_col, F.array_join("__kept", "\n")).drop("__host", "__drops", "__kept")
+    out = out.withColumn("n_lines", n.cast("long")).withColumn("n_dropped", F.when(F.col(text_col).isNull(), 0).otherwise(F.col("n_lines") - F.size(kept)).cast("long"))
+    return out.withColumn(text_col, F.array_join(kept, "\n")).drop(host, drops, kept)
 
 
 #: DuckDB SQL of the same over ``documents``, with the lines themselves in place of their hashes.
