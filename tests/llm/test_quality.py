@@ -62,7 +62,7 @@ def test_estimate_equals_brute_force(spark):
     """Steps of concentration on one group against numpy."""
     r = np.random.default_rng(5)
     rows = [(i, " ".join("x" * int(k) + ("#" if r.random() < 0.02 else "") for k in r.integers(2, 9, 60)), "en", "s") for i in range(400)]
-    got = {x.doc_id: x.distance for x in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    got = {x.doc_id: x.distance for x in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), starts=1, steps=4).collect()}
     c = np.array([quality.counts(t) for _, t, _, _ in rows], dtype=float)
     mean = c[:, 1] / c[:, 0]
     mid = np.sort(mean)[199]
@@ -98,3 +98,40 @@ def test_menus_and_repeated_lines_go(spark, tmp_path):
     assert not any(x.base_failed for x in got)
     assert {x.doc_id for x in got if x.kept} == want
     assert {x.doc_id for x in corpus_pipeline.outliers(spark, docs, str(tmp_path)).collect()} == want
+
+
+def test_scatter_decides_and_smallest_determinant_wins(spark):
+    """Two statistics that go together: the same distance from the centre along them is common, across them an outlier,
+    which an estimate without scatter wouldn't tell apart. Of all starts the estimate of least determinant is used."""
+    r = np.random.default_rng(7)
+    rows = []
+    for i in range(600):
+        k = int(r.integers(0, 25))  # symbols and repeated lines rise together
+        lines = ["".join("x" * int(n) + " " for n in r.integers(2, 9, 8)) + f"u{j}" for j in range(40)]
+        lines[: k // 2] = ["same line | here"] * (k // 2)
+        rows.append((i, "\n".join(lines) + " |" * k, "en", "s"))
+    plain = ["".join("x" * int(n) + " " for n in r.integers(2, 9, 8)) + f"u{j}" for j in range(40)]
+    rows.append((1000, "\n".join(["another same line"] * 20 + plain[20:]), "en", "s"))  # repeated lines alone
+    rows += [(1001, None, "en", "s"), (1002, "", None, None), (1003, "word " * 200_000, "en", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3)
+    z = quality.judge(docs, floor=0.1)
+    got = {x.doc_id: x for x in z.collect()}
+    assert len(got) == len(rows) and not any(got[i].kept for i in (1001, 1002, 1003)) and got[1003].base_failed
+    assert not got[1000].kept and got[1000].distance > max(got[i].distance for i in range(600))
+    assert np.mean([got[i].kept for i in range(600)]) > 0.85
+
+
+def test_more_starts_never_raise_the_determinant(spark):
+    r = np.random.default_rng(2)
+    z = spark.createDataFrame([(i, "g", *(float(x) for x in r.normal(size=4) * (3 if i % 3 else 0.5))) for i in range(900)], ["doc_id", "grp", *quality.DIMS])
+    dets = []
+    for starts in (1, 4):
+        e = quality._starts(z, 0.1, starts)
+        for _ in range(3):
+            e = quality._concentrated(z, e, 0.75, 0.1, 1.0)
+        dets.append(quality._least(e).collect()[0].logdet)
+    assert dets[1] <= dets[0] + 1e-9
+
+
+def test_empty_table(spark):
+    assert quality.judge(spark.createDataFrame([], "doc_id long, text string, lang string, source string")).count() == 0
