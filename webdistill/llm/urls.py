@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from webdistill.llm import common
+
 #: Characters the models tell apart; any other is one further symbol, the start of a URL another.
 ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789-._~/:%+@,;=!$&'()*"
 SIZE = len(ALPHABET) + 2
@@ -82,13 +84,15 @@ def score(rows: DataFrame, model: DataFrame) -> DataFrame:
     """Add ``score`` to rows with a ``grams`` array: the mean value of its grams, null without any.
 
     The model has at most ``SIZE`` cubed rows (about 3 MB), which is why it may be broadcast. The exploded rows are
-    summed where they arise; one row a URL is shuffled.
+    summed where they arise, so one row a URL is shuffled, by the row's own columns: rows that repeat are one there, and
+    as many again after it.
     """
     kept = [c for c in rows.columns if c != "grams"]
-    keyed = rows.withColumn("__row", F.monotonically_increasing_id())
-    each = keyed.select("__row", *kept, F.explode_outer("grams").alias("gram")).join(F.broadcast(model), "gram", "left")
-    firsts = [F.first(c).alias(c) for c in kept]
-    return each.groupBy("__row").agg(*firsts, F.avg("value").alias("score")).drop("__row")
+    value, size, gram, copies = (common.unused(rows, x) for x in ("value", "size", "gram", "copies"))
+    each = rows.select(*kept, F.greatest(F.size("grams"), F.lit(1)).alias(size), F.explode_outer("grams").alias(gram))
+    each = each.join(F.broadcast(model.select(F.col("gram").alias(gram), F.col("value").alias(value))), gram, "left")
+    found = each.groupBy(*kept, size).agg(F.avg(value).alias("score"), (F.count("*") / F.col(size)).cast("int").alias(copies))
+    return found.withColumn(copies, F.explode(F.sequence(F.lit(1), copies))).select(*kept, "score")
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]], id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -104,14 +108,13 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], id_col: str = "pa
     base = base.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("ruled"), grams(F.concat("host", "path")).alias("grams"))
     ruled = base.where(F.col("ruled").isNotNull())
     counted = ruled.select(F.col("ruled").alias("verdict"), F.explode("grams").alias("gram")).groupBy("verdict", "gram").agg(F.count("*").alias("n"))
-    model = ratio_model(counted)
+    model = common.save(ratio_model(common.save(counted, "url-grams")), "url-model")  # two counts and one value a gram at most
     scored = score(base, model)
     # the ruled URLs' mean score follows from the counts: a mean over characters, as the scores are
     each = score(ruled.select("ruled", "grams"), model)
     of = lambda v, f: f(F.when(F.col("ruled") == v, F.col("score")))
     ma, mr, sa, sr = (of("allow", F.avg), of("block", F.avg), of("allow", F.stddev_pop), of("block", F.stddev_pop))
     weight = F.when(sa + sr > 0, sr / (sa + sr)).otherwise(F.lit(0.5))
-    limit = each.agg((mr - weight * (mr - ma)).alias("limit"))
-    blocked = F.coalesce(F.col("score") > F.col("limit"), F.lit(False))
-    scored = scored.crossJoin(F.broadcast(limit))  # one row
+    limit = each.agg((mr - weight * (mr - ma)).alias("limit")).scalar()
+    blocked = F.coalesce(F.col("score") > limit, F.lit(False))
     return scored.select("page_id", "host", "path", "rule", "score", F.coalesce("ruled", F.when(blocked, "block").otherwise("allow")).alias("verdict"))
