@@ -15,8 +15,7 @@ from webdistill.llm import common, jaccard, lines, packing, quality, toxicity
 
 def _kept(docs: DataFrame, verdicts: DataFrame, keep: str) -> DataFrame:
     """Documents without those whose verdict isn't ``keep``; only the rejected ids meet the documents."""
-    gone = verdicts.where(f"NOT ({keep})").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__gone")), "left_anti")
+    return common.without(docs, verdicts.where(f"NOT ({keep})").select("doc_id"), "doc_id")
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
