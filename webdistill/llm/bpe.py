@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +11,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from webdistill.llm import worker
 from webdistill.llm.encoding import SPACE, Encoder, byte_chars, packed
 
 FLUSH = 8 << 20
@@ -125,9 +125,8 @@ class ForcedBoundaryBPE:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, dtype="<u4").tolist())).decode("utf-8", "replace")
 
 
-@lru_cache(maxsize=2)
 def codec(path: str) -> ForcedBoundaryBPE:
-    return ForcedBoundaryBPE(path)
+    return worker.held("codec", path, lambda: ForcedBoundaryBPE(path))
 
 
 def _mapped(df: DataFrame, schema: str, source: str, target: str, make) -> DataFrame:

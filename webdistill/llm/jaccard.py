@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from webdistill.llm import common
+from webdistill.llm import common, worker
 from webdistill.llm.components import components
 
 _WORDS = re.compile(rb"[^ \t-\r]+")
@@ -147,13 +147,8 @@ def sets(docs: DataFrame, n: int, num: int, den: int, whole: bool) -> DataFrame:
     return docs.mapInArrow(run, f"doc_id {kind}, n long, d1 long, d2 long, {last}")
 
 
-_shinglers: dict[int, Shingler] = {}
-
-
 def _shingler(n: int) -> Shingler:
-    if n not in _shinglers:
-        _shinglers[n] = Shingler(n)
-    return _shinglers[n]
+    return worker.held("shingler", n, lambda: Shingler(n))
 
 
 def boundary(sizes: list[tuple[int, int]], num: int, den: int, entries: float) -> int:

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from webdistill.llm import common
+from webdistill.llm import common, worker
 
 _WORDS = re.compile(r"[^ \t-\r]+")
 _SYMBOLS = re.compile(r"[#*$%&|<>]")
@@ -70,6 +70,7 @@ def statistics(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sourc
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker.held("quality")
         for batch in batches:
             found = np.array([counts(t.as_py()) for t in batch.column(3)], dtype=np.int64).reshape(-1, len(names))
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(found[:, k]) for k in range(len(names)))], ["doc_id", "lang", "source", *names])

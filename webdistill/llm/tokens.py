@@ -4,24 +4,22 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from webdistill.llm import common
+from webdistill.llm import common, worker
 from webdistill.llm.encoding import Encoder
 
 #: Bytes of ids that a worker holds before it hands them on.
 FLUSH = 8 << 20
 
 
-@lru_cache(maxsize=4)
 def encoder(path: str, cache: int = 96 << 20) -> Encoder:
     """One encoder a worker process, so that its caches last over tasks."""
-    return Encoder(path, cache)
+    return worker.held("encoder", (path, cache), lambda: Encoder(path, cache))
 
 
 def int_lists(parts: list[bytes]) -> pa.ListArray:

@@ -13,10 +13,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from webdistill.llm import common
+from webdistill.llm import common, worker
 
 _TOKEN = re.compile(r"[^\W\d_]+")
 #: Lengths of word beginnings that are terms beside whole words.
@@ -74,11 +75,13 @@ class BlockMaxIndex:
     FREQUENT = 256
     WORTH = 4
 
-    def __init__(self, vectors: list[dict[int, float] | Vector], n_terms: int):
+    def __init__(self, vectors: list[dict[int, float] | Vector], n_terms: int, take: bool = False):
         found = [arrays(v) for v in vectors]
         sizes = np.array([len(t) for t, _ in found], dtype=np.int64)
         terms = np.concatenate([t for t, _ in found] or [np.zeros(0)]).astype(np.int32, copy=False)
         xs = np.concatenate([x for _, x in found] or [np.zeros(0)]).astype(np.float32, copy=False)
+        if take:  # the index is large, and so are they
+            vectors.clear()
         del found
         self.n, self.blocks = len(sizes), max(1, -(-len(sizes) // BLOCK))
         ids = np.repeat(np.arange(self.n, dtype=np.int32), sizes)
@@ -88,21 +91,25 @@ class BlockMaxIndex:
         self.place[self.order] = np.arange(self.n)
         members = np.bincount(group, minlength=len(self.centres))
         self.bounds = np.concatenate([[0], np.cumsum(members)])
-        posts = self.place[ids] << 32
-        posts |= xs.view(np.uint32)
-        del xs
         self.row = np.full((len(members), n_terms), -1, dtype=np.int32)
         dense = np.zeros(len(terms), dtype=bool)
-        of = group[ids]
-        del ids
+        of = group.astype(np.int8)[ids]
         for g, n in enumerate(members):
             df = np.bincount(terms[of == g], minlength=n_terms)
             common = np.flatnonzero((df * self.COMMON > n) & (df >= 8))
             self.row[g, common] = np.arange(len(common))
             dense |= (of == g) & (self.row[g][terms] >= 0)
-        self.common = self.row[of[dense], terms[dense]], posts[dense]
-        terms, posts = terms[~dense], posts[~dense]
-        del of, dense
+        rows = self.row[of[dense], terms[dense]]
+        del of
+        terms = terms[~dense]
+        made = []
+        for some in (dense, ~dense):
+            posts = self.place[ids[some]]
+            posts <<= 32
+            posts |= xs[some].view(np.uint32)
+            made.append(posts)
+        self.common, posts = (rows, made[0]), made[1]
+        del ids, xs, dense, made
         order = np.argsort(terms, kind="stable")  # places ascend within a term once sorted by them
         terms, posts = terms[order], posts[order]
         self.ends = np.concatenate([[0], np.cumsum(np.bincount(terms, minlength=n_terms))])
@@ -161,12 +168,12 @@ class BlockMaxIndex:
             self.sizes = np.diff(self.ends)
             ends = self.ends.tolist()
             self.lists = [self.posts[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
-            block = (self.posts >> 32) // BLOCK
+            block = (self.posts // (BLOCK << 32)).astype(np.int32)
             starts = np.zeros(len(block) + 1, dtype=bool)  # where each run of a term within a block begins
             starts[self.ends] = True
             starts[1:-1] |= block[1:] != block[:-1]
             first = np.flatnonzero(starts[:-1])
-            self.block = block[first].astype(np.int32)
+            self.block = block[first]
             self.most = np.maximum.reduceat(_weights(self.posts), first) if len(first) else np.zeros(0, dtype=np.float32)
             self.first = np.append(first, len(block)).astype(np.int32)
             self.runs = np.searchsorted(first, self.ends)  # where each term's runs begin
@@ -362,14 +369,19 @@ class Model:
     weights: np.ndarray
     example_ids: list
     labels: list[int]
-    index: BlockMaxIndex | None
+    sent: Broadcast | None
     k: int
     none_rate: float
     knots: tuple[np.ndarray, np.ndarray]
     own: dict | None = None
 
+    @property
+    def index(self) -> BlockMaxIndex | None:
+        """Sent to each worker once, for fitting and scoring alike; a task's function names it beside the model."""
+        return self.sent.value if self.sent else None
+
     def __getstate__(self):
-        return self.__dict__ | {"own": None}
+        return self.__dict__ | {"own": None, "sent": None}
 
     def vectors(self, texts: list[str | None]) -> list[Vector]:
         """Unit TF-IDF vectors over the model's terms: (1 + log tf) * weight. Texts are taken some at a time, each whole."""
@@ -413,14 +425,14 @@ class Model:
         examples and cosines. With ``ids``, a document's own examples are left out: its label has no say in its vote."""
         classes, none = np.array(self.labels), (self.none_rate, np.zeros(0, dtype=np.int64), np.zeros(0))
         for start in range(0, len(vectors), 1024):
-            part, out = vectors[start : start + 1024], {}
-            by_group = sorted(range(len(part)), key=[self.index.group_of(v) for v in part].__getitem__) if self.index else []
+            part, out, index = vectors[start : start + 1024], {}, self.index
+            by_group = sorted(range(len(part)), key=[index.group_of(v) for v in part].__getitem__) if index else []
             for at in range(0, len(by_group), 256):
                 batch = by_group[at : at + 256]
-                for j, (i, head) in enumerate(zip(batch, self.index.heads([part[i] for i in batch]), strict=True)):
+                for j, (i, head) in enumerate(zip(batch, index.heads([part[i] for i in batch]), strict=True)):
                     skip = self.examples_of(ids[start + i]) if ids is not None else -1
-                    prune = j % 16 == 0 or self.index.helped  # not where the last bounds left most blocks
-                    found, cosines = self.index.search(part[i], self.k, skip, head, prune)
+                    prune = j % 16 == 0 or index.helped  # not where the last bounds left most blocks
+                    found, cosines = index.search(part[i], self.k, skip, head, prune)
                     if len(found):
                         w = 1 / (np.sqrt(np.maximum(0, 2 - 2 * cosines)) + 0.1)
                         out[i] = float((w * classes[found]).sum() / w.sum()), found, cosines
@@ -457,6 +469,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, limit: int = 12_000,
     kind = docs.schema[id_col].dataType.simpleString()
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker.held("toxicity")
         kinds = (0, *STARTS)
         df = {(y, n): Counter() for y in (0, 1) for n in kinds}
         for batch in batches:
@@ -508,12 +521,16 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, limit: int = 12_000,
     model.none_rate = (rate1 * none[1] + rate1 * n1 / every) / (rate0 * none[0] + rate1 * none[1] + 1)
     model.example_ids, model.labels = [ids[i] for i in full], [ys[i] for i in full]
     if full:
-        model.index = BlockMaxIndex([found[i] for i in full], len(weights))
-        del found, ts, xs
-        learned = spark.sparkContext.broadcast(model)
+        found = [found[i] for i in full]
+        del ts, xs
+        model.sent = spark.sparkContext.broadcast(BlockMaxIndex(found, len(weights), take=True))
+        pa.default_memory_pool().release_unused()
+        learned, sent = spark.sparkContext.broadcast(model), model.sent
 
         def without_itself(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            worker.held("toxicity")
             known = learned.value
+            known.sent = sent
             for batch in batches:
                 made = known.vectors(batch.column(1).to_pylist())
                 some = [i for i, (t, _) in enumerate(made) if len(t)]
@@ -537,10 +554,12 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     Repeated rows are scored each.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the texts of `limit` examples
+    shared, sent = docs.sparkSession.sparkContext.broadcast(model), model.sent  # bounded by the texts of `limit` examples
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker.held("toxicity")
         known = shared.value
+        known.sent = sent
         for batch in batches:
             found, ids, cosines = list(known.scores(batch.column(1).to_pylist(), batch.column(0).to_pylist())), [], []
             ends = [0]
