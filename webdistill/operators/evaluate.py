@@ -18,10 +18,11 @@ def tokens(text: Column) -> Column:
 
 def reference_scores(pairs: DataFrame, id_col: str = "page_id", result_col: str = "result", reference_col: str = "reference") -> DataFrame:
     """Precision, recall and F1 of each row's result against its reference, over multisets of tokens; 1 where both are empty."""
-    each = lambda c, n: pairs.select(id_col, F.explode(tokens(F.col(c))).alias("token")).groupBy(id_col, "token").agg(F.count("*").alias(n))
-    both = each(result_col, "a").join(each(reference_col, "b"), [id_col, "token"], "full")
-    sums = both.groupBy(id_col).agg(F.sum(F.least(F.coalesce("a", F.lit(0)), F.coalesce("b", F.lit(0)))).alias("shared"), F.sum("a").alias("a"), F.sum("b").alias("b"))
-    out = pairs.select(id_col).join(sums, id_col, "left")
+    # both sides' tokens in one pass: a row without any keeps its place by a token of neither
+    side = lambda c, n: F.transform(tokens(F.col(c)), lambda t: F.struct(t.alias("token"), F.lit(n).alias("side")))
+    every = F.concat(side(result_col, 1), side(reference_col, 2), F.array(F.struct(F.lit("").alias("token"), F.lit(0).alias("side"))))
+    counts = pairs.select(id_col, F.inline(every)).groupBy(id_col, "token").agg(F.count_if(F.col("side") == 1).alias("a"), F.count_if(F.col("side") == 2).alias("b"))
+    out = counts.groupBy(id_col).agg(F.sum(F.least("a", "b")).alias("shared"), F.sum("a").alias("a"), F.sum("b").alias("b"))
     safe = lambda x, y: F.when(F.coalesce(y, F.lit(0)) == 0, F.when(F.coalesce(x, F.lit(0)) == 0, 1.0).otherwise(0.0)).otherwise(F.coalesce("shared", F.lit(0)) / y)
     out = out.select(id_col, safe(F.col("b"), F.col("a")).alias("precision"), safe(F.col("a"), F.col("b")).alias("recall"))
     f1 = F.when(F.col("precision") + F.col("recall") > 0, 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall"))).otherwise(0.0)

@@ -33,6 +33,19 @@ class PageFrame:
         """Deal pages out anew, for inputs whose files differ much in size."""
         return PageFrame(self.pages.repartition(partitions), self.id, self.url, self.html)
 
+    def balanced(self) -> PageFrame:
+        """Pages of fewer files than cores are dealt out over all cores, since a page costs milliseconds and a file is often
+        one piece to a scan; tables of more files stay as they are and no page is shuffled."""
+        cores = self.pages.sparkSession.sparkContext.defaultParallelism
+        return self.spread(4 * cores) if len(self.pages._jdf.inputFiles()) < cores else self
+
+    def texts_in(self, tag: str) -> DataFrame:
+        """A row for each text right below an element of the tag: from the nodes within the row, so pages are parsed once and nothing is joined."""
+        nodes = self.pages.select(self.id, K.page_nodes(F.col(self.html)).alias("nodes"))
+        owners = F.transform(F.filter("nodes", lambda x: x["tag"] == tag), lambda x: x["node_id"])
+        texts = F.filter("nodes", lambda x: (x["kind"] == "text") & F.array_contains("owners", x["parent_id"]))
+        return nodes.withColumn("owners", owners).select(self.id, F.inline(texts))
+
     def extract(self, options: Options | None = None, keep: list[str] | None = None) -> DataFrame:
         """The columns kept (the id and the address by default) and ``page``; each page is parsed once."""
         keep = [self.id, self.url] if keep is None else keep
@@ -124,8 +137,15 @@ def internal_links(links: DataFrame, pages: DataFrame, id_col: str = "page_id",
     return links.withColumn("bare", bare(F.col("href"))).join(to, "bare").select(id_col, "ord", "target_id")
 
 
-def canonical_duplicates(extracted: DataFrame, id_col: str = "page_id") -> DataFrame:
-    """Pages whose text equals that of a page of a smaller id, and that id. The text's hash is shuffled, not the text."""
-    hashed = extracted.where("page.error IS NULL").select(id_col, F.sha2(F.col("page.text"), 256).alias("h"))
-    first = hashed.groupBy("h").agg(F.min(id_col).alias("first_id"))
+def text_hashes(extracted: DataFrame, id_col: str = "page_id") -> DataFrame:
+    """``id, h``: the hash of each page's text; pages with errors have none."""
+    return extracted.where("page.error IS NULL").select(id_col, F.sha2(F.col("page.text"), 256).alias("h"))
+
+
+def canonical_duplicates(hashed: DataFrame, id_col: str = "page_id") -> DataFrame:
+    """Of ``text_hashes``, saved since it is read twice: pages whose text equals that of a page of a smaller id, and that id.
+
+    Hashes are shuffled, texts aren't; a hash that very many pages share is one row a task in the sum, and Spark splits it in the join.
+    """
+    first = hashed.groupBy("h").agg(F.min(id_col).alias("first_id"), F.count("*").alias("n")).where("n > 1").drop("n")
     return hashed.join(first, "h").where(F.col(id_col) > F.col("first_id")).select(id_col, "first_id")

@@ -16,8 +16,21 @@ from webdistill.operators import pages as P
 from webdistill.streaming import pages as streaming
 
 
+def _table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/pages.parquet")
+
+
 def _pages(spark: SparkSession, sf_dir: str) -> P.PageFrame:
-    return P.PageFrame(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    """Pages for the kernels, over all cores."""
+    return P.PageFrame(_table(spark, sf_dir)).balanced()
+
+
+def _shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share; a temporary one only where the master is local and none is set."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir names no shared folder")
+    return (found or "file://" + tempfile.mkdtemp(prefix="webdistill-")).rstrip("/")
 
 
 def extract_pages(spark, sf_dir):
@@ -45,15 +58,11 @@ def extract_diagnostics(spark, sf_dir):
 
 
 def raw_titles(spark, sf_dir):
-    n = _pages(spark, sf_dir).nodes()
-    titles = n.where("tag = 'title'").select("page_id", F.col("node_id").alias("parent_id"))
-    return n.where("kind = 'text'").join(titles, ["page_id", "parent_id"]).select("page_id", F.col("text").alias("title"))
+    return _pages(spark, sf_dir).texts_in("title").select("page_id", F.col("text").alias("title"))
 
 
 def headings(spark, sf_dir):
-    n = _pages(spark, sf_dir).nodes()
-    h = n.where("tag = 'h1'").select("page_id", F.col("node_id").alias("parent_id"))
-    return n.where("kind = 'text'").join(h, ["page_id", "parent_id"]).select("page_id", F.col("text").alias("heading"))
+    return _pages(spark, sf_dir).texts_in("h1").select("page_id", F.col("text").alias("heading"))
 
 
 def element_counts(spark, sf_dir):
@@ -89,7 +98,7 @@ def link_hosts(spark, sf_dir):
 
 def internal_links(spark, sf_dir):
     pages = _pages(spark, sf_dir)
-    return P.internal_links(pages.links(), pages.pages)
+    return P.internal_links(pages.links(), _table(spark, sf_dir))
 
 
 def page_blocks(spark, sf_dir):
@@ -113,34 +122,36 @@ def over_budget(spark, sf_dir):
 
 
 def within_budget(spark, sf_dir):
-    return _pages(spark, sf_dir).within(4096).pages.select("page_id", F.octet_length("html").cast("long").alias("bytes"))
+    return P.PageFrame(_table(spark, sf_dir)).within(4096).pages.select("page_id", F.octet_length("html").cast("long").alias("bytes"))
 
 
 def decoded_bytes(spark, sf_dir):
-    pages = _pages(spark, sf_dir).pages.select("page_id", "url", F.encode("html", "UTF-8").alias("body"), F.lit("text/html; charset=utf-8").alias("content_type"))
+    pages = _table(spark, sf_dir).select("page_id", "url", F.encode("html", "UTF-8").alias("body"), F.lit("text/html; charset=utf-8").alias("content_type"))
     return P.PageFrame.from_bytes(pages).pages.select("page_id", F.length("html").cast("long").alias("n_chars"), F.md5("html").alias("html_md5"))
 
 
 def url_parts(spark, sf_dir):
     u = F.col("url")
-    pages = _pages(spark, sf_dir).pages
+    pages = _table(spark, sf_dir)
     return pages.select("page_id", F.regexp_extract(u, "^([a-z]+):", 1).alias("scheme"), F.regexp_extract(u, "://([^/?#]*)", 1).alias("host"), (F.instr(u, "?") > 0).alias("has_query"), (F.instr(u, "#") > 0).alias("has_fragment"))
 
 
 def language_report(spark, sf_dir):
-    pages = _pages(spark, sf_dir).pages.withColumn("language", F.regexp_extract("html", '<html lang="([a-z]+)"', 1)).withColumn("bytes", F.octet_length("html").cast("double"))
+    pages = _table(spark, sf_dir).withColumn("language", F.regexp_extract("html", '<html lang="([a-z]+)"', 1)).withColumn("bytes", F.octet_length("html").cast("double"))
     return evaluate.report(pages, "language", ["bytes"])
 
 
 def longest_titles(spark, sf_dir):
-    pages = _pages(spark, sf_dir).pages
+    pages = _table(spark, sf_dir)
     t = pages.select("page_id", F.regexp_extract("url", "://([^/?#]*)", 1).alias("host"), F.length(F.regexp_extract("html", "<title>([^<]*)</title>", 1)).alias("n"))
     rank = F.row_number().over(Window.partitionBy("host").orderBy(F.desc("n"), "page_id"))
     return t.withColumn("rank", rank).where("rank <= 3").select("host", "rank", "page_id", F.col("n").cast("long").alias("title_chars"))
 
 
 def duplicate_texts(spark, sf_dir):
-    return P.canonical_duplicates(_pages(spark, sf_dir).extract())
+    path = f"{_shared_dir(spark)}/hashes-{uuid.uuid4().hex}"
+    P.text_hashes(_pages(spark, sf_dir).extract()).write.parquet(path)
+    return P.canonical_duplicates(spark.read.schema("page_id bigint, h string").parquet(path))
 
 
 def reference_scores(spark, sf_dir):
@@ -158,8 +169,7 @@ def structure_retention(spark, sf_dir):
 
 def streamed_pages(spark, sf_dir):
     """The pages read as a stream give the same rows as a batch."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="webdistill-stream-")
-    where = f"{where.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    where = f"{_shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     source = spark.readStream.schema(streaming.SCHEMA).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").parquet(f"{sf_dir}/pages.parquet*")
     found = streaming.extract_stream(source).select("page_id", "page.metadata.language")
     streaming.write_stream(found, f"{where}/out", f"{where}/checkpoint").awaitTermination()
