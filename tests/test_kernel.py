@@ -8,6 +8,7 @@ from webdistill.functions import text as T
 from webdistill.functions.compile import compile_content, tape
 from webdistill.functions.extract import Options, PageError, extract, hidden_style
 from webdistill.functions.parser import UNTRUSTED, Budget, LimitError, parse
+from webdistill.operators import kernels
 from webdistill.sources.decode import decode_html
 
 
@@ -185,3 +186,11 @@ def test_listing_tables_math_and_jobs():
     job = '<script type="application/ld+json">{"@context":"https://schema.org","@type":"JobPosting","title":"Baker","hiringOrganization":{"name":"Kitchen"},"jobLocation":{"address":{"addressLocality":"Bern"}},"baseSalary":{"currency":"CHF","value":{"minValue":5,"maxValue":6,"unitText":"HOUR"}}}</script>'
     p = extract(job + "<main><p>" + "We bake bread every night, and look for help. " * 5 + "</main>", "http://a.com/")
     assert p["markdown"].startswith("**Role:** Baker\n\n**Company:** Kitchen\n\n**Location:** Bern\n\n**Salary:** CHF 5–6 per hour"), p["markdown"]
+
+
+@pytest.mark.parametrize("depth", [300, 2000, 8000])
+def test_deep_nesting_loses_nothing(depth):
+    """Content below very many elements is kept; the text, Markdown and HTML are those of the flat page."""
+    body = "<p>Deep words of a real text, kept whole and in order. " * 12
+    made = [kernels.page(f"<html><head><title>T</title></head><body>{'<div>' * n}{body}{'</div>' * n}</body></html>", "http://a.example/x", Options()) for n in (1, depth)]
+    assert made[1]["error"] is None and made[1]["text"] == made[0]["text"] and made[1]["markdown"] == made[0]["markdown"]

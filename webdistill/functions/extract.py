@@ -209,7 +209,7 @@ def readability(body: Node, stats: Stats, weights: bool) -> dict[int, tuple[Node
     """Points of text seeds passed on to five ancestors, divided by 1, 2, 6, 9 and 12; links take their share off."""
     points: dict[int, tuple[Node, float]] = {}
     for seed in body.elements("p", "pre", "td", "div", "section", "h2", "h3", "h4", "h5", "h6"):
-        if seed.tag in ("div", "section") and any(x.tag in BLOCK_TAGS for x in seed.elements()):
+        if seed.tag in ("div", "section") and any(x.tag in BLOCK_TAGS for x in seed.walk() if x is not seed):
             continue
         if seed.tag == "td" and seed.elements("p", "div", "table"):
             continue
@@ -438,8 +438,10 @@ def clutter_cleanup(root: Node, stats: Stats, whole: int, discussion: bool) -> N
             for x in [head, *following]:
                 x.detach()
     seen: set[tuple] = set()
-    for node in root.elements("p", "div", "section", "ul"):
-        if node.parent is None:
+    nodes = root.elements("p", "div", "section", "ul")
+    alike = Counter((id(x.parent), x.tag) for x in nodes)
+    for node in nodes:
+        if node.parent is None or alike[id(node.parent), node.tag] < 2:  # nothing that it could repeat
             continue
         text = T.squeeze(node.raw_text())
         key = id(node.parent), node.tag, T.folded(text)
@@ -448,11 +450,16 @@ def clutter_cleanup(root: Node, stats: Stats, whole: int, discussion: bool) -> N
         seen.add(key)
 
 
+_MEDIA = ("img", "iframe", "video", "audio", "math", "input", "hr", "br", "table", "pre")
+
+
 def drop_empty(root: Node) -> None:
+    full: set[int] = set()  # elements that hold text or media, found from their children: those come first here
     for node in reversed(root.elements()):
-        if node.tag in ("p", "div", "section", "span", "ul", "ol", "li", "article", "aside", "header", "footer", "figure", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6") and node.parent is not None:
-            if not node.raw_text().strip() and not any(x.tag in ("img", "iframe", "video", "audio", "math", "input", "hr", "br", "table", "pre") for x in node.walk() if x is not node):
-                node.detach()
+        if any(id(x) in full or x.tag in _MEDIA or x.tag == "#text" and x.text.strip() for x in node.children):
+            full.add(id(node))
+        elif node.tag in ("p", "div", "section", "span", "ul", "ol", "li", "article", "aside", "header", "footer", "figure", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6") and node.parent is not None:
+            node.detach()
     for node in root.elements("p"):
         if re.fullmatch(r"[\s*•·|_\-–—~.]{1,40}", node.raw_text() or "x") and not node.elements("img", "hr"):
             node.detach()

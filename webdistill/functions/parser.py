@@ -30,6 +30,7 @@ CLOSES_P = frozenset(
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 HEAD_ONLY = frozenset("base basefont bgsound link meta noframes script style template title".split())
 SCOPE = frozenset("applet caption html table td th marquee object template".split())
+TABLE_PARTS = frozenset(("table", "caption", "colgroup", "tbody", "thead", "tfoot", "tr", "td", "th", "template"))
 IMPLIED = frozenset("dd dt li optgroup option p rb rp rt rtc".split())
 
 _TAG_NAME = re.compile(r"[A-Za-z][^\s/>]*")
@@ -82,6 +83,7 @@ class Parser:
         self.body: Node | None = None
         self.form: Node | None = None
         self.foster = False
+        self.seen: set[str] = set()  # tags of all elements made so far: what never was made needs no search of the stack
         self.nodes = self.n_elements = self.n_attributes = self.text_bytes = 0
 
     # -- counting
@@ -98,6 +100,7 @@ class Parser:
         self.over("elements", self.n_elements)
         self.over("attributes", self.n_attributes)
         self.over("attributes_per_element", len(attrs))
+        self.seen.add(tag)
         return Node(tag, attrs, ns=ns)
 
     # -- the stack of open elements
@@ -122,7 +125,7 @@ class Parser:
             pass
 
     def close_p(self) -> None:
-        if self.in_scope("p", barrier=SCOPE | {"button"}):
+        if "p" in self.seen and self.in_scope("p", barrier=SCOPE | {"button"}):
             self.implied("p")
             self.pop_to("p")
 
@@ -366,6 +369,8 @@ class Parser:
 
     def table_context(self) -> str:
         """The innermost part of a table that is open: table, section, row, caption or cell; empty outside."""
+        if self.seen.isdisjoint(TABLE_PARTS):
+            return ""
         for node in reversed(self.stack):
             if node.ns != "html":
                 continue

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable
 from typing import Any
 
@@ -17,6 +18,9 @@ from webdistill.functions.parser import Budget, LimitError, parse
 from webdistill.operators import schemas as S
 from webdistill.sources.decode import decode_html
 
+#: Blocks and renderers go down a page by calls of their own: as deep as pages are nested, not as Python's default allows.
+sys.setrecursionlimit(max(sys.getrecursionlimit(), 100_000))
+
 
 def page(html: str | None, url: str | None, options: X.Options) -> dict[str, Any]:
     """A page as a row; what goes wrong is its ``error``."""
