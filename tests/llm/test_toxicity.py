@@ -133,3 +133,10 @@ def test_scores_against_brute_force(spark):
         assert abs(got[i].score - np.clip(np.interp(vote, *model.knots), 0, 1)) < 1e-3
         assert np.allclose(sorted(e.cosine for e in got[i].evidence), sorted(c for c, _ in near), atol=1e-5)
         assert i not in [e.example for e in got[i].evidence]
+
+
+def test_index_is_exact_where_bounds_are_used(monkeypatch):
+    """The same with block maxima made and used however few postings a block has."""
+    monkeypatch.setattr(toxicity.BlockMaxIndex, "WORTH", 0)
+    test_index_is_exact()
+    test_index_is_exact_with_common_and_rare_terms()

@@ -168,17 +168,32 @@ class BlockMaxIndex:
             self.sizes = np.diff(self.ends)
             ends = self.ends.tolist()
             self.lists = [self.posts[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
-            block = (self.posts // (BLOCK << 32)).astype(np.int32)
-            starts = np.zeros(len(block) + 1, dtype=bool)  # where each run of a term within a block begins
-            starts[self.ends] = True
-            starts[1:-1] |= block[1:] != block[:-1]
-            first = np.flatnonzero(starts[:-1])
-            self.block = block[first]
-            self.most = np.maximum.reduceat(_weights(self.posts), first) if len(first) else np.zeros(0, dtype=np.float32)
-            self.first = np.append(first, len(block)).astype(np.int32)
-            self.runs = np.searchsorted(first, self.ends)  # where each term's runs begin
+            self.runs = None
+            if self._n_runs() * self.WORTH <= len(self.posts):
+                self._bounds()
         return self
 
+    def _n_runs(self) -> int:
+        """Runs of a term's postings within a block, counted a piece at a time."""
+        total = len(np.unique(self.ends[:-1][self.sizes > 0]))
+        for a in range(0, len(self.posts) - 1, 1 << 18):
+            block = self.posts[a : a + (1 << 18) + 1] // (BLOCK << 32)
+            inner = np.flatnonzero(block[1:] != block[:-1]) + a + 1
+            total += len(inner) - np.count_nonzero(np.isin(inner, self.ends))
+        return total
+
+    def _bounds(self) -> None:
+        """Each block's largest weight of each term; not made where blocks hold too few postings of a term for bounds to pay."""
+        block = (self.posts // (BLOCK << 32)).astype(np.int32)
+        starts = np.zeros(len(block) + 1, dtype=bool)  # where each run of a term within a block begins
+        starts[self.ends] = True
+        starts[1:-1] |= block[1:] != block[:-1]
+        first = np.flatnonzero(starts[:-1])
+        self.block = block[first]
+        self.most = np.maximum.reduceat(_weights(self.posts), first) if len(first) else np.zeros(0, dtype=np.float32)
+        self.first = np.append(first, len(block)).astype(np.int32)
+        self.runs = np.searchsorted(first, self.ends)  # where each term's runs begin
+
     @property
     def dense(self) -> np.ndarray:
         """Terms that some group has a weight of for each of its examples."""
@@ -235,6 +250,8 @@ class BlockMaxIndex:
 
     def _pruned(self, head: np.ndarray, terms: np.ndarray, weights: np.ndarray, k: int, skip: np.ndarray) -> tuple[np.ndarray | None, np.ndarray | None]:
         """Places and scores of the blocks that can hold the k best; None if that is over half of the blocks, or bounds would cost more than scores."""
+        if self.runs is None:
+            return None, None
         sizes = self.runs[terms + 1] - self.runs[terms]
         if sizes.sum() * self.WORTH > self.sizes[terms].sum():  # too few postings a block: bounds cost more than scores
             return None, None
