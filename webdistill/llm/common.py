@@ -84,6 +84,10 @@ def unused(df: DataFrame, name: str) -> str:
 
 
 def without(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
-    """``docs`` without the rows whose id is in the one column of ``ids`` (null like any other); only ids meet the documents."""
+    """``docs`` without the rows whose id is in the one column of ``ids`` (null like any other).
+
+    The ids are written first; those that fit are broadcast, so that texts aren't shuffled to lose a few of them.
+    """
     gone = unused(docs, "gone")
-    return docs.join(ids.toDF(gone), F.col(id_col).eqNullSafe(F.col(gone)), "left_anti")
+    ids = save(ids.toDF(gone), "rejected")
+    return docs.join(F.broadcast(ids) if fits(ids) else ids, F.col(id_col).eqNullSafe(F.col(gone)), "left_anti")

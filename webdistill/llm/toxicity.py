@@ -463,8 +463,9 @@ class Model:
             score = float(np.clip(np.interp(vote, xs, ys) if len(xs) else vote, 0, 1)) if len(found) else self.none_rate
             yield score, [self.example_ids[i] for i in found.tolist()], cosines.tolist()
 
-    def score(self, text: str | None) -> tuple[float, list, list[float]]:
-        return next(self.scores([text]))
+    def score(self, text: str | None, doc_id=None) -> tuple[float, list, list[float]]:
+        """Of one text; with its id, an example of that id is left out of its neighbours."""
+        return next(self.scores([text], None if doc_id is None else [doc_id]))
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, limit: int = 12_000, least_df: int = 5, k: int = 15, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
