@@ -1,7 +1,8 @@
-"""The queries of this subpackage: op1 to op10 and the pipeline."""
+"""The queries of this subpackage: op1 to op13 and the pipeline."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import corpus_pipeline
@@ -9,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webdistill.llm import bpe, common, jaccard, lines, packing, quality, tokens, topk, toxicity, urls, warc
+from webdistill.llm import bpe, common, digests, infill, jaccard, lines, packing, periods, quality, tokens, topk, toxicity, urls, warc
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,12 +82,43 @@ def op9_url_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(common.table(spark, sf_dir, "pages"), RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    planted = docs.withColumn("words", F.when(h % 10 == 0, common.words(F.col("text")))).withColumn("n", F.size("words")).withColumn("g", F.floor(h / 10))
+    planted = planted.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n"))).withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)))
+    word = lambda w, i: F.when(i >= F.col("a"), F.get("words", (F.col("a") + (i - F.col("a")) % F.col("p")).cast("int"))).otherwise(w)
+    text = F.when(F.col("a").isNotNull(), F.array_join(F.transform("words", word), " ")).otherwise(F.col("text"))
+    found = planted.select("doc_id", periods.find(text).alias("found")).select("doc_id", "found.*").withColumn("top", periods.longest(F.col("runs")))
+    lines = F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n")))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "top.start", "top.length", "top.period", F.expr("1000 * top.length DIV top.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_digest_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two loads of an index, long texts first: what the index has is then never shorter than what comes."""
+    index = digests.DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}", common.new_path(spark, "digest-index"))
+    return digests.dedup(common.table(spark, sf_dir, "documents"), index, [F.col("n_chars") >= 2000, F.col("n_chars") < 2000])
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h1, h2, h3, h4 = infill.draws(F.col("doc_id"), seed=1)
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text", infill.form(F.col("text"), h3, h4).alias("form"), infill.cut(F.col("text"), h1, h2).alias("parts"))
+    docs = docs.select("doc_id", "form", "parts", infill.arrange(F.col("form"), F.col("text"), F.col("parts")).alias("output"))
+    moved = lambda part: F.when(F.col("form") != "plain", F.length(f"parts.{part}").cast("long")).alias(f"{part}_chars")
+    digest = lambda text: F.sha2(text.cast("binary"), 256)
+    restored = infill.restore(F.col("form"), F.col("output"))
+    return docs.select("doc_id", "parts.n", "form", moved("prefix"), moved("middle"), digest(F.col("output")).alias("output_sha256"), digest(restored).alias("restored_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_cost_balanced_packing, op3_orc_token_ids, op4_robust_outliers, op5_toxicity_neighbours, op6_warc_revisits, op7_line_dedup, op8_exact_top_k, op9_url_language_model, op10_forced_boundary_bpe, pipeline)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_cost_balanced_packing, op3_orc_token_ids, op4_robust_outliers, op5_toxicity_neighbours, op6_warc_revisits, op7_line_dedup, op8_exact_top_k, op9_url_language_model, op10_forced_boundary_bpe, op11_periodic_runs, op12_digest_index, op13_fill_in_middle, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -94,6 +126,8 @@ def oracle_sql() -> dict[str, str]:
         "op6_warc_revisits": WARC_SQL,
         "op8_exact_top_k": topk.SQL.format(scale=64, k=20),
         "op7_line_dedup": lines.SQL.format(ratio=0.1, least=5),
+        "op12_digest_index": digests.SQL,
+        "op13_fill_in_middle": infill.SQL,
     }
 
 
