@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 from webdistill.functions import text as T
 from webdistill.functions.dom import Node
+from webdistill.functions.lists import ordered_markers, role_items
 
 BLOCK_TAGS = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre "
@@ -57,6 +58,7 @@ class Compiler:
         self.base = base
         self.notes: dict[str, str] = {}  # fragment -> label
         self.definitions: list[Block] = []
+        self.flattened = 0  # tables that only lay out
 
     # -- inline content
     def inline(self, nodes: list[Node], under: frozenset[str] = frozenset()) -> list[Block]:
@@ -159,7 +161,7 @@ class Compiler:
         if tag == "blockquote":
             inside = self.blocks(node.children)
             return [Block("BlockQuote", inside)] if inside else []
-        if tag in ("ul", "ol", "menu") or node.get("role") == "list":
+        if tag in ("ul", "ol", "menu") or "list" in node.tokens("role"):
             return self.list(node)
         if tag == "table":
             return self.table(node)
@@ -213,8 +215,13 @@ class Compiler:
 
     def list(self, node: Node) -> list[Block]:
         items, ordered = [], node.tag == "ol"
+        start = _number(node.get("start")) if ordered else None
+        if node.tag not in ("ul", "ol") and (markers := ordered_markers(role_items(node))):
+            ordered, start = True, markers[0][0]  # numbers that the texts show become the list's own
+            for _, text, rest in markers:
+                text.text = rest
         for x in node.children:
-            if x.tag == "li" or x.get("role") == "listitem":
+            if x.tag == "li" or "listitem" in x.tokens("role"):
                 inside = self.blocks(x.children)
                 marker = next((b for p in inside[:1] for b in p.inside if b.op == "TaskMarker"), None)
                 if marker is not None:
@@ -227,7 +234,6 @@ class Compiler:
                 inside = self.blocks([x])
                 if inside:
                     items.append(Block("ListItem", inside, checked=None))
-        start = _number(node.get("start")) if ordered else None
         return [Block("List", items, ordered=ordered, start=1 if start is None else start)] if items else []
 
     def table(self, node: Node) -> list[Block]:
@@ -242,6 +248,7 @@ class Compiler:
         declared = any(c.tag == "th" for c in cells) or any(x.tag in ("caption", "thead", "col") for x in node.children) or node.get("summary") or node.get("role") in ("table", "grid")
         layout = node.get("role") in ("presentation", "none") or node.get("datatable") == "0" or node.elements("table")
         if layout or not declared and (len(rows) == 1 or max(map(len, rows)) == 1):
+            self.flattened += 1
             return [b for c in cells for b in self.blocks(c.children)]
         if (listing := self.listing(rows)) is not None:
             return listing
@@ -392,18 +399,34 @@ def tidy(blocks: list[Block]) -> list[Block]:
 
 def compile_content(root: Node, base: str | None) -> list[Block]:
     """The blocks of a cleaned root; footnotes come last."""
+    return compile_counted(root, base)[0]
+
+
+def compile_counted(root: Node, base: str | None) -> tuple[list[Block], int]:
+    """``compile_content``, and the number of tables that were taken for layout."""
     c = Compiler(base)
     c.collect_notes(root)
-    return c.blocks(root.children if root.tag not in ("pre", "table", "ul", "ol", "dl", "figure", "blockquote") else [root]) + c.definitions
+    blocks = c.blocks(root.children if root.tag not in ("pre", "table", "ul", "ol", "dl", "figure", "blockquote") else [root]) + c.definitions
+    return blocks, c.flattened
 
 
 def tape(blocks: list[Block]) -> list[dict]:
-    """Blocks as one flat array of opening and closing operations, leaves once."""
+    """Blocks as one flat array of opening and closing operations, leaves once; each knows the item and the list around it, and whether a figure is."""
     out: list[dict] = []
-    for b in blocks:
-        leaf = not b.inside
-        out.append({"op": b.op, "close": False, **{k: v for k, v in b.attrs.items() if v is not None}})
-        if not leaf:
-            out += tape(b.inside)
-            out.append({"op": b.op, "close": True})
+    stack: list[tuple[Block, bool, int | None, int | None, bool]] = [(b, False, None, None, False) for b in reversed(blocks)]
+    while stack:
+        b, closing, item, within, figure = stack.pop()
+        around = {"item_ord": item, "list_ord": within, "in_figure": figure}
+        if closing:
+            out.append({"op": b.op, "close": True, "leaf": False, **around})
+            continue
+        at = len(out)
+        if b.op == "ListItem":
+            item = around["item_ord"] = at
+        out.append({"op": b.op, "close": False, "leaf": not b.inside, **around, **{k: v for k, v in b.attrs.items() if v is not None}})
+        if b.inside:
+            stack.append((b, True, item, within, figure))
+            within, item = (at, None) if b.op == "List" else (within, item)
+            figure = figure or b.op == "Figure"
+            stack.extend((x, False, item, within, figure) for x in reversed(b.inside))
     return out

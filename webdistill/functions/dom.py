@@ -104,3 +104,14 @@ class Node:
                 if child.children:
                     stack.append((child, made))
         return top
+
+
+def intervals(root: Node) -> tuple[list[Node], dict[int, int], dict[int, int]]:
+    """All nodes in document order, and by identity each one's place and where its subtree ends."""
+    order = list(root.walk())
+    place = {id(x): i for i, x in enumerate(order)}
+    end: dict[int, int] = {}
+    for i in range(len(order) - 1, -1, -1):
+        node = order[i]
+        end[id(node)] = end[id(node.children[-1])] if node.children else i + 1
+    return order, place, end

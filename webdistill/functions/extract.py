@@ -9,9 +9,11 @@ from dataclasses import dataclass, field
 from typing import Any
 
 from webdistill.functions import metadata as M
-from webdistill.functions import render, specialised
+from webdistill.functions import coverage as C
+from webdistill.functions import render, scoring, shell, specialised, terminal
+from webdistill.functions import structured as D
 from webdistill.functions import text as T
-from webdistill.functions.compile import BLOCK_TAGS, Block, compile_content, tape
+from webdistill.functions.compile import BLOCK_TAGS, Block, compile_content, compile_counted, tape
 from webdistill.functions.dom import Node
 from webdistill.functions.parser import Budget, LimitError, parse, parse_fragment
 
@@ -34,7 +36,6 @@ _CLUTTER = re.compile(
     r"sidebar|skyscraper|popup|modal|outbrain|taboola|comment-?list|comments?|disqus\w*|author-?bio|toc-?rail|print-?link|login|account)(?:$|[\s_\-])",
     re.I,
 )
-_RELATED = re.compile(r"^(?:related|recommended|more (?:from|stories|on)|you (?:may|might) also like|read (?:more|next)|see also|trending|popular|most read|share this|à lire aussi|mehr zum thema)\b", re.I)
 _READING_TIME = re.compile(r"^\d+\s*min(?:ute)?s?\s+read$|^reading time\b.{0,20}$", re.I)
 _PAGER = re.compile(r"^(?:(?:previous|prev|next|older|newer|first|last|page|of|\d+|[«»‹›<>|…./-])\s*)+$", re.I)
 _JS_NOTICE = re.compile(r"(?:enable|requires?|turn on|activate[rz]?)\s+javascript|javascript\s+(?:is\s+)?(?:required|disabled)", re.I)
@@ -43,6 +44,8 @@ _PERMISSION = re.compile(r"permission to access|unusual (?:traffic|activity)|aut
 _LOADING = re.compile(r"^(?:loading|please wait|chargement)[\s.…]*$", re.I)
 _EMBED = re.compile(r"//(?:www\.)?(?:(?:dailymotion|youtube|youtube-nocookie|player\.vimeo|v\.qq|bilibili|live\.bilibili)\.com|(?:archive|upload\.wikimedia)\.org|player\.twitch\.tv)", re.I)
 
+_CONTENT_NAME = re.compile(r"(?:^|[\s_\-])(?:article-?body|post-?content|entry-?content|article-?content|story-?body|main-?content)(?:$|[\s_\-])", re.I)
+
 _DIGIT, _END = re.compile(r"\d"), re.compile(r"[.!?](?=\s|$)")
 STRATEGIES = ("Normal", "RelaxedCleanup", "BroadContent", "StructuredDataHint", "RelaxedVisibility", "BodyFallback")
 
@@ -205,40 +208,37 @@ class Candidate:
     score: float = 0.0
 
 
-def readability(body: Node, stats: Stats, weights: bool) -> dict[int, tuple[Node, float]]:
-    """Points of text seeds passed on to five ancestors, divided by 1, 2, 6, 9 and 12; links take their share off."""
-    points: dict[int, tuple[Node, float]] = {}
-    for seed in body.elements("p", "pre", "td", "div", "section", "h2", "h3", "h4", "h5", "h6"):
-        if seed.tag in ("div", "section") and any(x.tag in BLOCK_TAGS for x in seed.walk() if x is not seed):
-            continue
-        if seed.tag == "td" and seed.elements("p", "div", "table"):
-            continue
-        n = stats.chars(seed)
-        if n < 25:
-            continue
-        value = 2 + stats.commas(seed) + min(n / 100, 3)
-        for level, node in enumerate(list(seed.ancestors())[:5]):
-            if node.tag == "html":
-                break
-            if id(node) not in points:
-                base = {"div": 5, "pre": 3, "td": 3, "blockquote": 3}.get(node.tag, 0)
-                base -= 3 * (node.tag in ("address", "ol", "ul", "dl", "dd", "dt", "li", "form")) + 5 * (node.tag in ("h1", "h2", "h3", "h4", "h5", "h6", "th"))
-                points[id(node)] = node, base + (class_weight(node) if weights else 0)
-            points[id(node)] = node, points[id(node)][1] + value / (1, 2, 6, 9, 12)[level]
-    return {k: (node, p * (1 - stats.density(node))) for k, (node, p) in points.items()}
-
-
-def features(node: Node, stats: Stats) -> dict[str, float]:
-    seen = Counter(x.tag for x in node.walk())
-    count = lambda *tags: sum(seen[t] for t in tags)
-    name = node.name()
-    inherited = any(NEGATIVE.search(x.name()) and not POSITIVE.search(x.name()) for x in list(node.ancestors())[:3])
+class Names:
+    """What the names of elements and of those around them say, each looked at once."""
+
+    def __init__(self, view: scoring.View):
+        self.clutter: set[int] = set()
+        self.poor: set[int] = set()
+        for node in view.order:
+            name = node.name() if "class" in node.attrs or "id" in node.attrs else ""
+            if id(node.parent) in self.clutter or name and node.tag not in ("body", "html") and _CLUTTER.search(name):
+                self.clutter.add(id(node))
+            if name and NEGATIVE.search(name) and not POSITIVE.search(name):
+                self.poor.add(id(node))
+
+    def inherited(self, node: Node) -> bool:
+        """Whether one of the three elements next around has a name that speaks against content."""
+        for _ in range(3):
+            node = node.parent
+            if node is None or node.tag == "#document":
+                return False
+            if id(node) in self.poor:
+                return True
+        return False
+
+
+def features(node: Node, view: scoring.View, names: Names) -> dict[str, float]:
+    stats, name = view.stats, node.name()
     return {
-        "word_count": stats.words(node), "text_chars": stats.chars(node), "paragraph_count": stats.paragraphs(node), "heading_count": count("h1", "h2", "h3", "h4", "h5", "h6"),
-        "list_item_count": count("li"), "code_block_count": count("pre"), "table_count": count("table"), "figure_count": count("figure"), "image_count": count("img"),
+        "word_count": stats.words(node), "text_chars": stats.chars(node), "paragraph_count": stats.paragraphs(node), **{k: view.count(node, k) for k in scoring.COUNTED},
         "link_density": stats.density(node), "link_text_chars": stats.of[id(node)][2], "digit_chars": stats.digits(node), "sentence_end_count": stats.ends(node), "comma_count": stats.commas(node),
-        "protected_block_count": count("pre", "table", "figure", "blockquote"), "positive_name": 25.0 * bool(POSITIVE.search(name)), "negative_name": 25.0 * bool(NEGATIVE.search(name) or inherited),
-        "utility_name": float(any(_CLUTTER.search(x.name()) for x in [node, *node.ancestors()] if x.tag not in ("body", "html"))),
+        "positive_name": 25.0 * bool(POSITIVE.search(name)), "negative_name": 25.0 * bool(NEGATIVE.search(name) or names.inherited(node)),
+        "utility_name": float(id(node) in names.clutter),
     }
 
 
@@ -263,21 +263,32 @@ def rank(readability_score: float, prior: float, f: dict[str, float]) -> float:
     )
 
 
-def discover(body: Node, stats: Stats, weights: bool, hint: tuple[str, str] | None) -> list[Candidate]:
-    """Candidates of all sources with features and scores, best first; five are kept."""
+def discover(body: Node, stats: Stats, weights: bool, hint: tuple[str, str] | None, evidence: scoring.Evidence | None = None, located: Node | None = None) -> list[Candidate]:
+    """Candidates of all sources with features and scores, best first; five are kept.
+
+    ``located`` is the element that shows the text of the page's structured data, ``evidence`` what the page says else.
+    """
+    evidence = evidence or scoring.Evidence()
     found: dict[int, Candidate] = {}
-    points = readability(body, stats, weights)
-    order = {id(x): i for i, x in enumerate(body.walk())}
+    view = scoring.View(body, stats)
+    names = Names(view)
+    points = scoring.readability(view, class_weight if weights else lambda _: 0)
 
     def add(node: Node, source: str, prior: float) -> None:
         if id(node) in found:
-            found[id(node)].sources.add(source)
-            found[id(node)].prior = max(found[id(node)].prior, prior)
+            old = found[id(node)]
+            again = source == "Semantic" and source in old.sources
+            old.sources.add(source)
+            old.prior = max(old.prior, prior)
+            if again:  # further signs of the same kind add little
+                old.prior = max(old.prior, min(old.prior + 0.00025, 0.004))
         else:
-            found[id(node)] = Candidate(node, {source}, prior, points.get(id(node), (node, 0.0))[1], features(node, stats), order[id(node)])
+            found[id(node)] = Candidate(node, {source}, prior, points.get(id(node), (node, 0.0))[1], features(node, view, names), view.place[id(node)])
 
-    aside = {id(x) for top in body.elements("nav", "footer", "aside") for x in top.walk()}
-    for node in body.walk():
+    aside: set[int] = set()
+    for node in view.order:
+        if node.tag in ("nav", "footer", "aside") or id(node.parent) in aside:
+            aside.add(id(node))
         if node.tag[0] == "#" or not stats.chars(node) or id(node) in aside:
             continue
         if node.tag == "article":
@@ -288,22 +299,41 @@ def discover(body: Node, stats: Stats, weights: bool, hint: tuple[str, str] | No
             add(node, "Semantic", 0.00275)
         if "articleBody" in node.tokens("itemprop"):
             add(node, "Semantic", 0.0035)
-        if re.search(r"(?:^|[\s_\-])(?:article-?body|post-?content|entry-?content|article-?content|story-?body|main-?content)(?:$|[\s_\-])", node.name(), re.I):
+        if ("class" in node.attrs or "id" in node.attrs) and _CONTENT_NAME.search(node.name()):
             add(node, "Semantic", 0.0025)
-        if node.tag in ("section", "td", "div") and any(c.tag in ("ul", "ol", "pre", "table", "figure") for c in node.children):
+        if node.tag in ("section", "td", "div") and any(view.tag(c) in ("ul", "ol", "pre", "table", "figure") for c in node.children):
             add(node, "Generic", 0.0)
         if hint and matches(node, hint):
             add(node, "CallerHint", 0.02)
     for node, p in points.values():
         if p > 0 and not (UNLIKELY.search(node.name()) and not re.search(r"and|article|body|column|main|shadow|content", node.name(), re.I)):
             add(node, "Readability", 0.0)
-    for c in found.values():
-        c.score = rank(c.readability, c.prior, c.features)
-        strong = "Semantic" in c.sources and c.node.tag in ("article", "main")
-        nested = any(id(x) in found and "Semantic" in found[id(x)].sources for x in [*c.node.ancestors(), *c.node.elements()])
-        if strong and not nested:
-            c.score += 25 * (1 - min(c.features["text_chars"], 100) / 100) if c.features["text_chars"] >= 20 else 0
-    return sorted(found.values(), key=lambda c: (-c.score, c.order))[:5]
+    if located is not None:  # what the page itself says is its text has no name that speaks against it
+        add(located, "StructuredData", 40.0)
+        found[id(located)].features |= {"negative_name": 0.0, "utility_name": 0.0}
+    if not any(scoring.authoritative(c.node) and c.features["word_count"] >= 80 for c in found.values()) and id(body) not in found:
+        whole = features(body, view, names)
+        if scoring.complete_root_bonus(evidence, whole):
+            add(body, "Generic", 0.0)
+    everything = list(found.values())
+    kept = []
+    for c, standing in zip(everything, scoring.standings(view, everything), strict=True):
+        semantic, own, f = "Semantic" in c.sources, scoring.authoritative(c.node), c.features
+        full, distinct = standing.points_within or scoring.meaningful(f), scoring.distinct(f)
+        if semantic and not own and not full:
+            continue
+        only_generic = c.sources == {"Generic"} and c.node is not body
+        if only_generic and not (distinct or c.node.tag == "td" and full):
+            continue
+        c.score = rank(c.readability, c.prior, f) + 0.01 * only_generic
+        if own and full and not standing.under and standing.within <= 1:
+            c.score += 25 * (1 - min(f["text_chars"], 100) / 100)
+        if (c.node.tag == "main" or "main" in c.node.tokens("role")) and f["text_chars"] <= 1000 and standing.peers >= 2:
+            c.score += standing.peer_points + 0.1
+        if c.node is body or own and any(hidden(x) for x in [c.node, *c.node.ancestors()]):
+            c.score += scoring.complete_root_bonus(evidence, f)
+        kept.append(c)
+    return sorted(kept, key=lambda c: (-c.score, c.order))[:5]
 
 
 def matches(node: Node, target: tuple[str, str]) -> bool:
@@ -311,12 +341,21 @@ def matches(node: Node, target: tuple[str, str]) -> bool:
     return node.get("id") == value if kind == "id" else value in node.tokens("class") if kind == "class" else node.tag == value.lower()
 
 
-def choose(body: Node, ranked: list[Candidate], stats: Stats) -> tuple[list[Node], str]:
-    """The content's roots and the source that chose them."""
-    usable = [c for c in ranked if not c.features["utility_name"]]
+def choose(body: Node, ranked: list[Candidate], stats: Stats, texts: list[str] | None = None) -> tuple[list[Node], str]:
+    """The content's roots and the source that chose them; ``texts`` are those of the page's structured data."""
+    usable = [c for c in ranked if not c.features["utility_name"] or "StructuredData" in c.sources]
     if not usable:
         return [body], "Body"
     top = usable[0]
+    if texts:
+        # of candidates that are as good the one that agrees clearly better with the structured data
+        agrees = lambda c: max(D.agreement(c.node.raw_text(), x) for x in texts)
+        own = agrees(top)
+        tied = [(agrees(c), -c.order, c) for c in usable[1:] if c.node is not body and c.score >= top.score - max(0.03 * abs(top.score), 1)]
+        if tied and (best := max(tied, key=lambda x: x[:2]))[0] >= max(0.6, own + 0.1):
+            return [best[2].node], "StructuredData"
+    if "StructuredData" in top.sources:
+        return [top.node], "StructuredData"
     bar = top.score - max(0.25 * abs(top.score), 5)
     for c in usable:
         if "CallerHint" in c.sources and c.score >= bar:
@@ -423,20 +462,6 @@ def clutter_cleanup(root: Node, stats: Stats, whole: int, discussion: bool) -> N
             node.detach()
         elif short and not protected and (_READING_TIME.match(text) or links and len(text) <= 120 and _PAGER.match(text)):
             node.detach()
-    for head in root.elements("h2", "h3", "h4", "h5", "h6"):
-        if head.parent is None or not _RELATED.match(T.squeeze(head.raw_text())):
-            continue
-        rest = head.parent.children[head.index() + 1 :]
-        following = []
-        for x in rest:
-            if re.fullmatch("h[1-6]", x.tag):
-                break
-            following.append(x)
-        linked = sum(len(T.squeeze(a.raw_text())) for x in following for a in [y for y in x.walk() if y.tag == "a"])
-        total = sum(len(T.squeeze(x.raw_text())) for x in following)
-        if following and total < 1200 and linked >= 0.35 * total and sum(y.tag == "a" for x in following for y in x.walk()) >= 2:
-            for x in [head, *following]:
-                x.detach()
     seen: set[tuple] = set()
     nodes = root.elements("p", "div", "section", "ul")
     alike = Counter((id(x.parent), x.tag) for x in nodes)
@@ -512,7 +537,7 @@ def barrier(body: Node, text: str) -> bool:
     return len(text.split()) <= 150 and any(_DENIED.match(h) for h in [*heads, text[:60]]) and bool(_PERMISSION.search(text))
 
 
-def shell(body: Node, text: str) -> bool:
+def waits(body: Node, text: str) -> bool:
     """Whether the page only waits for a program."""
     n = len(text.split())
     if n <= 20 and len(text) <= 200 and _JS_NOTICE.search(text) or n <= 12 and _LOADING.match(text):
@@ -520,23 +545,6 @@ def shell(body: Node, text: str) -> bool:
     return n <= 20 and len(body.elements("button", "input", "select", "textarea")) >= 2 and not body.elements("p")
 
 
-def coverage(source: Node, found: list[Block]) -> dict[str, float]:
-    """Per kind of structure the share of the source's items that the result has, as multisets."""
-    result: dict[str, Counter] = {}
-    kinds = {"Heading": "heading", "CodeBlock": "code", "ListItem": "list_item", "TableCell": "table", "Image": "image"}
-    for b in [x for y in found for x in y.walk()]:
-        if b.op in kinds:
-            key = b.attrs.get("src") or b.attrs.get("text") or render.plain_text([b])
-            result.setdefault(kinds[b.op], Counter())[T.squeeze(key)] += 1
-    tags = {"heading": ("h1", "h2", "h3", "h4", "h5", "h6"), "code": ("pre",), "list_item": ("li",), "table": ("td", "th"), "image": ("img",)}
-    out = {}
-    for kind, names in tags.items():
-        own = Counter(T.squeeze(x.get("src") if kind == "image" else x.raw_text()) for x in source.elements(*names))
-        if sum(own.values()) >= (3 if kind == "heading" else 1):
-            out[kind] = sum((own & result.get(kind, Counter())).values()) / sum(own.values())
-    return out
-
-
 # -- the whole
 def _body(document: Node) -> Node:
     body = document.first("body")
@@ -561,9 +569,12 @@ def extract(html: str | None, url: str | None = None, options: Options | None =
     base_node = next((x for x in document.elements("base") if x.get("href")), None)
     base = T.resolve(url, base_node.get("href"), ("http", "https")) if base_node is not None else url
     body = _body(document)
-    items = M.json_items(document, o.budget.json_ld_bytes or 1 << 40, o.budget.json_ld_items or 1 << 40, o.budget.json_ld_depth or 128) if o.structured_data else []
+    items = M.json_items(document, o.budget.json_ld_bytes, o.budget.json_ld_items, o.budget.json_ld_depth) if o.structured_data else []
     found = M.candidates(document, url, base, items)
     meta = M.resolved(found)
+    if any(x.tag in ("template", "noscript") for x in body.walk()):
+        shell.splice(body)
+        shell.reveal(body, hidden)
     prepare(body)
     kind, special = specialised.find(document, url)
     attempts: list[dict[str, Any]] = []
@@ -589,39 +600,54 @@ def extract(html: str | None, url: str | None = None, options: Options | None =
     else:
         if barrier(body, everything):
             raise PageError("NoContent", "the page is an access barrier")
-        if shell(body, everything):
+        if waits(body, everything):
             raise PageError("NoContent", "the page is an application shell")
         probe = body.copy()
         gone = strip_hidden(probe, False)
         visible = len(T.squeeze(probe.raw_text()))
         best: tuple[float, list[Block], dict, dict] | None = None
+        texts = [x for x in D.texts_of(M.described(document, url, items)[0]) if len(T.words(x)) >= 5]
+        evidence = scoring.Evidence(len(meta["title"] or ""), len(meta["description"] or ""), len(items), gone > 0 and strip_hidden(body.copy(), True) < gone)
         recover = gone >= 2 * visible and gone >= 100 and (visible <= 200 or len(probe.raw_text().split()) <= 30)
         for strategy in sorted(STRATEGIES, key=lambda x: x != "RelaxedVisibility") if recover else STRATEGIES:
             if strategy == "RelaxedVisibility" and not recover:
                 continue
-            if strategy == "StructuredDataHint" and not any("articleBody" in x for x in items):
+            if strategy == "StructuredDataHint" and not texts:
                 continue
             work = body.copy()
             strip_hidden(work, strategy == "RelaxedVisibility")
+            located = D.locate(work, texts, hidden) if texts else None
+            if strategy == "StructuredDataHint" and located is None:
+                continue
             stats = Stats(work)
             words, chars = source_measure(work, stats)
-            ranked = discover(work, stats, strategy not in ("BroadContent", "BodyFallback"), o.content_hint) if strategy != "BodyFallback" else []
-            roots, source = choose(work, ranked, stats) if strategy != "BodyFallback" else ([work], "Body")
+            if strategy == "BodyFallback":
+                roots, source = [work], "Body"
+            elif strategy == "StructuredDataHint":
+                roots, source = [located[0]], "StructuredData"
+            else:
+                ranked = discover(work, stats, strategy != "BroadContent", o.content_hint, evidence, located[0] if located else None)
+                roots, source = choose(work, ranked, stats, texts)
             holder = Node("div")
             holder_chars = sum(stats.chars(r) for r in roots)
             for r in [x for x in roots]:
                 holder.append(r)
             hard_cleanup(holder)
+            whole = C.measure(compile_content(holder.copy(), base)) if o.diagnostics else None
             chrome_cleanup(holder, stats, holder_chars)
             if strategy in ("Normal", "StructuredDataHint", "RelaxedVisibility"):
+                terminal.drop_terminal(holder)
                 clutter_cleanup(holder, stats, holder_chars, kind == "Discussion")
             drop_title(holder, meta["title"])
             drop_empty(holder)
-            blocks = compile_content(holder, base)
+            blocks, flattened = compile_counted(holder, base)
             m = render.metrics(blocks)
             good = is_good(m, words, chars)
             score = attempt_score(m, chars, source not in ("Body",))
             note = {"strategy": strategy, "root": roots[0].tag, "source": source, "accepted": good, "rejection": None if good else "Empty" if not m["text_chars"] else "LowQuality", "score": score}
+            if whole is not None:
+                categories = C.coverage(whole, C.measure(blocks))
+                note |= {"coverage": C.score(categories), "categories": categories, "normalization": C.normalization(blocks, flattened)}
             attempts.append(note)
             if m["text_chars"] and m["has_alphanumeric_text"] and (best is None or score > best[0]):
                 best = score, blocks, m, note

@@ -7,6 +7,7 @@ import re
 from dataclasses import dataclass
 from typing import Any
 
+from webdistill.functions import structured as D
 from webdistill.functions import text as T
 from webdistill.functions.dom import Node
 
@@ -74,12 +75,13 @@ def _normal(field: str, value: str | None) -> str | None:
     return value
 
 
-def json_items(document: Node, max_bytes: int = 4 << 20, max_items: int = 10_000, max_depth: int = 128) -> list[dict[str, Any]]:
-    """Typed objects of the page's JSON-LD in order; texts that aren't JSON or too deep are skipped."""
+def json_items(document: Node, max_bytes: int = 0, max_items: int = 0, max_depth: int = 0) -> list[dict[str, Any]]:
+    """Typed objects of the page's JSON-LD in order; texts that aren't JSON or too deep are skipped. Limits of 0 are none (of depth: 128)."""
     out: list[dict[str, Any]] = []
+    max_depth = max_depth or 128
 
     def visit(value: Any, depth: int) -> None:
-        if depth > max_depth or len(out) >= max_items:
+        if depth > max_depth or max_items and len(out) >= max_items:
             return
         if isinstance(value, list):
             for x in value:
@@ -95,7 +97,7 @@ def json_items(document: Node, max_bytes: int = 4 << 20, max_items: int = 10_000
     for script in document.elements("script"):
         if script.get("type").split(";")[0].strip().lower() == "application/ld+json":
             body = re.sub(r"^\s*(?://)?\s*<!\[CDATA\[|(?://)?\s*\]\]>\s*$", "", script.raw_text())
-            if len(body) <= max_bytes:
+            if not max_bytes or len(body) <= max_bytes:
                 try:
                     visit(json.loads(body), 0)
                 except (ValueError, RecursionError):
@@ -116,43 +118,58 @@ def _names(value: Any) -> list[str]:
     return [n for x in value for n in _names(x)] if isinstance(value, list) else []
 
 
-def _address(value: Any) -> str | None:
-    if isinstance(value, list):
-        return next((a for x in value if (a := _address(x))), None)
-    if isinstance(value, dict):
-        return _address(value.get("url") or value.get("@id"))
-    return value if isinstance(value, str) else None
+def described(document: Node, url: str | None, items: list[dict[str, Any]]) -> tuple[dict[str, Any] | None, bool]:
+    """The item of the structured data that describes the page itself, and whether it is an article."""
+    if not items:
+        return None, False
+    raw = next((x for x in document.walk() if x.tag == "title" and x.ns == "html"), None)
+    title = D.identity_title(document, T.page_title(raw.raw_text(), None) if raw is not None else "")
+    kinds = [(x, _types(x)) for x in items]
+    return D.primary([x for x, k in kinds if k & ARTICLES], [x for x, k in kinds if k & D.GENERAL and not k & ARTICLES], title, url)
+
+
+def _item_titles(item: dict[str, Any], article: bool, title: str) -> list[tuple[str, int]]:
+    """``headline`` and ``name`` with their confidences; where they differ the one like the page's title counts more."""
+    headline, name = (next(iter(_names(item.get(k))), None) for k in ("headline", "name"))
+    if headline and name and headline != name:
+        like = [T.similarity(x, title) > 0.75 for x in (headline, name)]
+        name_first = like == [False, True]
+        high, low = (98, 91) if article else (90 if name_first else 94, 88)
+        return [(name, high), (headline, low)] if name_first else [(headline, high), (name, low)]
+    return [(headline, 98 if article else 94)] if headline else [(name, 98 if article else 90)] if name else []
 
 
 def candidates(document: Node, url: str | None, base: str | None, items: list[dict[str, Any]]) -> list[Candidate]:
     """All candidates in the order of the page: structured data, meta and link elements, visible elements, what the address says."""
     c = Collector()
-    for item in items:
-        kinds = _types(item)
-        article = bool(kinds & ARTICLES)
-        general = bool(kinds & {"WebPage", "Product", "Recipe", "Event", "Book", "Movie", "VideoObject", "JobPosting"})
-        if "WebSite" in kinds:
-            for n in _names(item.get("name")):
-                c.add("site_name", n, "json_ld", 86)
-        if not article and not general:
-            continue
-        high = lambda a, b: a if article else b  # noqa: B023, E731
-        c.add("title", next(iter(_names(item.get("headline"))), None), "json_ld", high(98, 94))
-        c.add("title", next(iter(_names(item.get("name"))), None), "json_ld", high(91, 90))
+    item, article = described(document, url, items)
+    if item is not None:
+        high = lambda a, b: a if article else b
+        raw = next((x for x in document.walk() if x.tag == "title" and x.ns == "html"), None)
+        for value, confidence in _item_titles(item, article, D.identity_title(document, raw.raw_text() if raw is not None else "")):
+            c.add("title", value, "json_ld", confidence)
         c.add("description", next(iter(_names(item.get("description"))), None), "json_ld", high(92, 88))
         for n in _names(item.get("author")):
             c.add("authors", n, "json_ld", high(96, 90))
-        for n in _names(item.get("publisher")):
-            c.add("site_name", n, "json_ld", high(94, 88))
+        for key, confidence in (("publisher", high(94, 88)), ("sourceOrganization", high(90, 86)), ("isPartOf", high(88, 84))):
+            for n in _names(item.get(key)):
+                c.add("site_name", n, "json_ld", confidence)
         c.add("published_time", next(iter(_names(item.get("datePublished"))), None), "json_ld", high(98, 92))
         c.add("modified_time", next(iter(_names(item.get("dateModified"))), None), "json_ld", high(98, 92))
         c.add("language", next(iter(_names(item.get("inLanguage"))), None), "json_ld", high(90, 86))
-        c.add("section", next(iter(_names(item.get("articleSection"))), None), "json_ld", 92)
-        c.add("image", T.resolve(base, _address(item.get("image")) or "", ("http", "https")), "json_ld", high(88, 84))
-        c.add("canonical_url", T.resolve(base, _address(item.get("mainEntityOfPage")) or "", ("http", "https")), "json_ld", 90)
+        if article:
+            c.add("section", next(iter(_names(item.get("articleSection"))), None), "json_ld", 92)
+        c.add("image", T.resolve(base, D.address_of(item.get("image")) or "", ("http", "https")), "json_ld", high(88, 84))
+        c.add("canonical_url", T.resolve(base, D.address_of(item.get("url")) or "", ("http", "https")), "json_ld", high(82, 80))
+        if article:
+            c.add("canonical_url", T.resolve(base, D.address_of(item.get("mainEntityOfPage")) or "", ("http", "https")), "json_ld", 90)
         for k in _names(item.get("keywords")):
             for tag in k.split(","):
                 c.add("tags", tag, "json_ld", 88)
+    for site in items:
+        if "WebSite" in _types(site):
+            for n in _names(site.get("name")):
+                c.add("site_name", n, "json_ld", 86)
     for node in document.walk():
         tag = node.tag
         if tag == "meta" and node.get("content"):
@@ -182,7 +199,9 @@ def candidates(document: Node, url: str | None, base: str | None, items: list[di
     for h in headings:
         if any(x.tag in ("nav", "footer", "aside") for x in h.ancestors()):
             continue
-        value = T.squeeze(h.raw_text())
+        value = D.heading_text(h)
+        if not value:
+            continue
         confidence = 82 if h.has_ancestor("article") else 80 if h.has_ancestor("main") else 78
         confidence += 2 * (len(value.split()) >= 4) + 4 * ("p-name" in h.tokens("class"))
         if best is None or confidence > best[0]:

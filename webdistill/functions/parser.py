@@ -168,6 +168,14 @@ class Parser:
         node.parent = parent
         parent.children.insert(at, node)
 
+    def comment(self, data: str) -> None:
+        self.nodes += 1
+        self.over("nodes", self.nodes)
+        node = Node("#comment", text=data)
+        parent, at = self.place()
+        node.parent = parent
+        parent.children.insert(at, node)
+
     # -- active formatting elements
     def reconstruct(self) -> None:
         i = len(self.active)
@@ -677,6 +685,8 @@ class Parser:
             if nxt == "!":
                 if source.startswith("<!--", at):
                     end = re.compile(r"--!?>|\Z").search(source, at + (2 if source[at + 4 : at + 5] == ">" else 4))
+                    if source.startswith(("<!--$", "<!--/$"), at) and self.stack:  # bounds of streamed parts; other comments say nothing
+                        self.comment(source[at + 4 : end.start()])
                     at = end.end()
                 elif source.startswith("<![CDATA[", at) and self.stack and self.current.ns != "html":
                     end = source.find("]]>", at)

@@ -6,7 +6,6 @@ import re
 import unicodedata
 from urllib.parse import quote, urljoin, urlsplit, urlunsplit
 
-_SPACE = re.compile(r"\s+")
 _SEPARATED = re.compile(r"\s[|\-–—\\/>»·]\s")
 _PLACEHOLDER = re.compile(r"\{\{.*\}\}|\$\{.*\}|<%.*%>", re.S)
 STOCK = frozenset(("null", "undefined", "none", "n/a", "untitled", "[object object]"))
@@ -14,7 +13,7 @@ STOCK = frozenset(("null", "undefined", "none", "n/a", "untitled", "[object obje
 
 def squeeze(text: str) -> str:
     """White space runs as one space, none at the ends."""
-    return _SPACE.sub(" ", text).strip()
+    return " ".join(text.split())
 
 
 def collapse(text: str) -> str:

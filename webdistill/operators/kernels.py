@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from webdistill.functions import extract as X
 from webdistill.functions import metadata as M
+from webdistill.functions import structured as D
 from webdistill.functions import text as T
 from webdistill.functions.compile import tape
 from webdistill.functions.parser import Budget, LimitError, parse
@@ -33,7 +34,7 @@ def page(html: str | None, url: str | None, options: X.Options) -> dict[str, Any
         return empty | {"error": {"kind": "Parse", "message": f"{type(e).__name__}: {e}"[:500], "resource": None, "limit": None}}
     attempts = found["diagnostics"]
     if attempts is not None:
-        found["diagnostics"] = [{"source": None, "rejection": None} | x for x in attempts]
+        found["diagnostics"] = [dict.fromkeys(("source", "rejection", "coverage", "categories", "normalization")) | x for x in attempts]
     return empty | {k: v for k, v in found.items() if k in empty}
 
 
@@ -94,16 +95,25 @@ def nodes_of(html: str | None, budget: Budget) -> list[dict[str, Any]]:
         return []
     out: list[dict[str, Any]] = []
     stack: list[tuple[Any, int, int]] = [(document, -1, 0)]
+    body, chars = None, 0
     while stack:
         node, parent, depth = stack.pop()
         if depth < 0:
-            out[parent]["subtree_end"] = len(out)
+            out[parent] |= {"subtree_end": len(out), "text_to": chars}
             continue
         at = len(out)
+        if node.tag == "body" and body is None:
+            body = at
         kind = {"#document": "document", "#text": "text", "#comment": "comment"}.get(node.tag, "element")
-        out.append({"node_id": at, "parent_id": parent if parent >= 0 else None, "pre": at, "subtree_end": at + 1, "depth": depth, "kind": kind, "tag": node.tag if kind == "element" else None, "attrs": node.attrs, "text": node.text if kind == "text" else None})
+        out.append({"node_id": at, "parent_id": parent if parent >= 0 else None, "pre": at, "subtree_end": at + 1, "depth": depth, "kind": kind, "tag": node.tag if kind == "element" else None, "attrs": node.attrs, "text": node.text if kind == "text" else None, "text_from": chars})
+        if kind == "text":
+            chars += len(T.squeeze(node.text))
         stack.append((node, at, -1))
         stack.extend((c, at, depth + 1) for c in reversed(node.children))
+    found = out[body] if body is not None else dict.fromkeys(("pre", "subtree_end", "text_from", "text_to"))
+    around = {"body_pre": found["pre"], "body_end": found["subtree_end"], "body_from": found["text_from"], "body_to": found["text_to"]}
+    for x in out:
+        x |= around
     return out
 
 
@@ -142,6 +152,24 @@ def meta_candidates(html: Column | str, url: Column | str) -> Column:
     return _column(f"array<{S.CANDIDATE}>", candidates_of, html, url)
 
 
+def located_of(html: str | None, url: str | None) -> dict[str, Any]:
+    """Where the text of the structured data that describes a page stands; nulls if nowhere."""
+    none = {"tag": None, "name": None, "agreement": None}
+    try:
+        document = parse(html or "")
+    except LimitError:
+        return none
+    body = document.first("body")
+    item, _ = M.described(document, url, M.json_items(document))
+    found = D.locate(body, D.texts_of(item), X.hidden) if body is not None else None
+    return {"tag": found[0].tag, "name": found[0].get("class") or None, "agreement": found[1]} if found else none
+
+
+def structured_root(html: Column | str, url: Column | str) -> Column:
+    """Column of the element that shows the text of the page's structured data: tag, class and how well it agrees."""
+    return _column(S.LOCATED, located_of, html, url, once=True)
+
+
 def ranked_of(html: str | None) -> list[dict[str, Any]]:
     document = parse(html or "")
     body = document.first("body")

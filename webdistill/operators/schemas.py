@@ -10,7 +10,12 @@ METRICS = (
     "link_density double, has_alphanumeric_text boolean, has_contextual_structure boolean>"
 )
 ERROR = "struct<kind string, message string, resource string, limit bigint>"
-ATTEMPT = "struct<strategy string, root string, source string, accepted boolean, rejection string, score double>"
+COVERAGE = "struct<category string, source_count int, result_count int, coverage double>"
+NORMALIZATION = "struct<code_blocks int, footnote_references int, footnote_definitions int, math_expressions int, images int, tables int, flattened_layout_tables int>"
+ATTEMPT = (
+    "struct<strategy string, root string, source string, accepted boolean, rejection string, score double, "
+    f"coverage double, categories array<{COVERAGE}>, normalization {NORMALIZATION}>"
+)
 CANDIDATE = "struct<field string, value string, source string, confidence int, ord int>"
 SELECTED = "struct<field string, value string, source string, confidence int, score int, ord int, selected boolean>"
 PAGE = (
@@ -19,12 +24,13 @@ PAGE = (
 ).replace(": ", " ")
 BLOCK = (
     "struct<op string, close boolean, level int, text string, href string, title string, src string, alt string, language string, ordered boolean, start bigint, header boolean, "
-    "colspan int, rowspan int, align string, kind string, label string, checked boolean>"
+    "colspan int, rowspan int, align string, kind string, label string, checked boolean, leaf boolean, item_ord int, list_ord int, in_figure boolean>"
 )
-NODE = "struct<node_id int, parent_id int, pre int, subtree_end int, depth int, kind string, tag string, attrs map<string,string>, text string>"
+NODE = "struct<node_id int, parent_id int, pre int, subtree_end int, depth int, kind string, tag string, attrs map<string,string>, text string, text_from int, text_to int, body_pre int, body_end int, body_from int, body_to int>"
 LINK = "struct<ord int, href string, text string, rel string>"
 RANKED = (
     "struct<pre int, tag string, sources array<string>, prior double, readability double, word_count double, text_chars double, paragraph_count double, heading_count double, "
     "list_item_count double, code_block_count double, table_count double, figure_count double, image_count double, link_density double, link_text_chars double, digit_chars double, "
     "sentence_end_count double, comma_count double, protected_block_count double, positive_name double, negative_name double, utility_name double, score double>"
 )
+LOCATED = "struct<tag string, name string, agreement double>"
