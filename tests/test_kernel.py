@@ -194,3 +194,51 @@ def test_deep_nesting_loses_nothing(depth):
     body = "<p>Deep words of a real text, kept whole and in order. " * 12
     made = [kernels.page(f"<html><head><title>T</title></head><body>{'<div>' * n}{body}{'</div>' * n}</body></html>", "http://a.example/x", Options()) for n in (1, depth)]
     assert made[1]["error"] is None and made[1]["text"] == made[0]["text"] and made[1]["markdown"] == made[0]["markdown"]
+
+
+SHAPES = {
+    "div": lambda n: "<div>" * n, "article": lambda n: "<article>" * n, "blockquote": lambda n: "<blockquote>" * n, "li": lambda n: "<ul><li>" * n, "span": lambda n: "<span>" * n,
+    "b": lambda n: "<div><b>" * n, "td": lambda n: "<table><tr><td>" * (n // 8), "details": lambda n: "<details><summary>s</summary>" * n, "dl": lambda n: "<dl><dd>" * n,
+}
+
+
+@pytest.mark.parametrize("shape", sorted(SHAPES))
+def test_any_deep_nesting_keeps_the_text(shape):
+    """No depth and no kind of element makes an error of a page or costs its text."""
+    body = "".join(f"<p>Deep words {k} of a real text, kept whole and in order.</p>" for k in range(30))
+    for n in (30, 8000):
+        row = kernels.page(f"<html><head><title>T</title></head><body>{SHAPES[shape](n)}{body}", "http://a.example/x", Options())
+        assert row["error"] is None
+        at = [row["text"].find(f"Deep words {k} of") for k in range(30)]
+        assert at == sorted(at) and at[0] >= 0 and all(f"Deep words {k} of" in row["markdown"] and f"Deep words {k} of" in row["html"] for k in range(30))
+
+
+def test_time_grows_in_proportion():
+    """Text at each of many levels, and levels of many kinds: twice the page takes less than three times the time."""
+    import time
+
+    def took(html):
+        best = 1e9
+        for _ in range(3):
+            start = time.perf_counter()
+            kernels.page(html, "http://a.example/x", Options())
+            best = min(best, time.perf_counter() - start)
+        return best
+
+    for unit in ("<div><p>Text of this level, some words to count.", "<article>x y z", "<ul><li>item of the list", "<table><tr><td>cell", "<blockquote><p>quoted words here"):
+        a, b = took(unit * 1000), took(unit * 2000)
+        assert b < 3 * a, (unit, a, b)
+
+
+def test_shallow_trees():
+    from webdistill.functions.compile import BLOCK_TAGS
+    from webdistill.functions.dom import shallow
+
+    d = parse("<body><nav><a href=/x>n</a></nav>" + "<div>a<i>b</i>" * 300 + "<table><tr><td>t</table><p>end" + "</div>c" * 300).first("body")
+    said = d.raw_text()
+    assert shallow(d, 100, BLOCK_TAGS, lambda x: False) > 150 and d.raw_text() == said
+    assert max(sum(1 for _ in x.ancestors()) for x in d.walk()) <= 110 and d.first("nav") and d.first("table").first("td").raw_text() == "t"
+    assert shallow(d, 200, BLOCK_TAGS, lambda x: False) == 0
+    e = parse("<body>" + "<div>" * 60 + "<div hidden>" + "<div>" * 300 + "secret" + "</div>" * 301 + "shown").first("body")
+    shallow(e, 100, BLOCK_TAGS, lambda x: "hidden" in x.attrs)
+    assert e.raw_text() == "shown"

@@ -115,3 +115,59 @@ def intervals(root: Node) -> tuple[list[Node], dict[int, int], dict[int, int]]:
         node = order[i]
         end[id(node)] = end[id(node.children[-1])] if node.children else i + 1
     return order, place, end
+
+
+def shallow(root: Node, most: int, blocks: frozenset[str], hidden: Callable[[Node], bool]) -> int:
+    """Bring a tree to at most about ``most`` levels without losing text; returns how many elements went.
+
+    Elements on paths that are too deep are kept in the upper half of the levels; below it their content takes their
+    place, bare inline content of a block within a ``div``. Elements beside those paths stay whole. What a hidden element
+    holds there goes with it.
+    """
+    order, _, _ = intervals(root)
+    height: dict[int, int] = {}
+    for node in reversed(order):
+        height[id(node)] = 1 + max((height[id(c)] for c in node.children), default=0)
+    if height[id(root)] <= most:
+        return 0
+    gone = 0
+    stack: list[tuple[Node, int]] = [(root, 0)]
+    while stack:
+        node, depth = stack.pop()
+        if depth < most // 2 or node.tag in ("table", "thead", "tbody", "tfoot", "tr", "ul", "ol", "menu", "dl"):  # parts of a table or list hold no text themselves
+            stack.extend((c, depth + 1) for c in node.children if depth + 1 + height[id(c)] > most)
+            continue
+        kept: list[Node] = []
+        run: list[Node] = []  # inline content of a block that went
+
+        def flush() -> None:
+            if any(x.tag != "#text" or x.text.strip() for x in run):  # noqa: B023
+                holder = Node("div")
+                for x in run:  # noqa: B023
+                    x.parent = holder
+                holder.children = list(run)  # noqa: B023
+                kept.append(holder)  # noqa: B023
+            run.clear()  # noqa: B023
+
+        inner: list[Node | None] = list(reversed(node.children))  # None: a block's bounds
+        while inner:
+            x = inner.pop()
+            if x is None:
+                flush()
+            elif height[id(x)] <= most // 2:
+                if x.tag in blocks:
+                    flush()
+                    kept.append(x)
+                else:
+                    run.append(x)
+            else:
+                gone += 1
+                if hidden(x):
+                    continue
+                bounds = [None] if x.tag in blocks else []
+                inner.extend([*bounds, *reversed(x.children), *bounds])
+        flush()
+        for x in kept:
+            x.parent = node
+        node.children = kept
+    return gone

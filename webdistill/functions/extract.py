@@ -14,7 +14,7 @@ from webdistill.functions import render, scoring, shell, specialised, terminal
 from webdistill.functions import structured as D
 from webdistill.functions import text as T
 from webdistill.functions.compile import BLOCK_TAGS, Block, compile_content, compile_counted, tape
-from webdistill.functions.dom import Node
+from webdistill.functions.dom import Node, shallow
 from webdistill.functions.parser import Budget, LimitError, parse, parse_fragment
 
 # Name patterns that speak for and against content.
@@ -46,6 +46,9 @@ _EMBED = re.compile(r"//(?:www\.)?(?:(?:dailymotion|youtube|youtube-nocookie|pla
 
 _CONTENT_NAME = re.compile(r"(?:^|[\s_\-])(?:article-?body|post-?content|entry-?content|article-?content|story-?body|main-?content)(?:$|[\s_\-])", re.I)
 
+#: Pages of more levels are made less deep first: what is looked up around an element then takes bounded time.
+MOST_LEVELS = 100
+
 _DIGIT, _END = re.compile(r"\d"), re.compile(r"[.!?](?=\s|$)")
 STRATEGIES = ("Normal", "RelaxedCleanup", "BroadContent", "StructuredDataHint", "RelaxedVisibility", "BodyFallback")
 
@@ -569,6 +572,7 @@ def extract(html: str | None, url: str | None = None, options: Options | None =
     base_node = next((x for x in document.elements("base") if x.get("href")), None)
     base = T.resolve(url, base_node.get("href"), ("http", "https")) if base_node is not None else url
     body = _body(document)
+    shallow(body, MOST_LEVELS, BLOCK_TAGS, hidden)
     items = M.json_items(document, o.budget.json_ld_bytes, o.budget.json_ld_items, o.budget.json_ld_depth) if o.structured_data else []
     found = M.candidates(document, url, base, items)
     meta = M.resolved(found)

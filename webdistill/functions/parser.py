@@ -78,6 +78,7 @@ class Parser:
         self.budget = budget or Budget()
         self.document = Node("#document")
         self.stack: list[Node] = []
+        self.no_p: tuple[int, Node | None] = (0, None)
         self.active: list[Node | None] = []
         self.head: Node | None = None
         self.body: Node | None = None
@@ -125,9 +126,20 @@ class Parser:
             pass
 
     def close_p(self) -> None:
-        if "p" in self.seen and self.in_scope("p", barrier=SCOPE | {"button"}):
-            self.implied("p")
-            self.pop_to("p")
+        if "p" not in self.seen:
+            return
+        stack, (known, top) = self.stack, self.no_p
+        # no p is in scope at the place that was looked at last, if that still is as it was: look above it only
+        for i in range(len(stack) - 1, known - 1 if known <= len(stack) and (not known or stack[known - 1] is top) else -1, -1):
+            node = stack[i]
+            if node.tag == "p" and node.ns == "html":
+                self.implied("p")
+                self.pop_to("p")
+                return
+            if node.tag in SCOPE or node.tag == "button" or node.ns != "html" and node.tag in ("foreignObject", "desc", "title", "mi", "mo", "mn", "ms", "mtext", "annotation-xml"):
+                break
+        if stack:
+            self.no_p = len(stack), stack[-1]
 
     # -- insertion
     def place(self) -> tuple[Node, int]:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import sys
 from collections.abc import Callable
 from typing import Any
 
@@ -19,10 +18,6 @@ from webdistill.functions.parser import Budget, LimitError, parse
 from webdistill.operators import schemas as S
 from webdistill.sources.decode import decode_html
 
-#: Blocks and renderers go down a page by calls of their own: as deep as pages are nested, not as Python's default allows.
-sys.setrecursionlimit(max(sys.getrecursionlimit(), 100_000))
-
-
 def page(html: str | None, url: str | None, options: X.Options) -> dict[str, Any]:
     """A page as a row; what goes wrong is its ``error``."""
     empty = dict.fromkeys(("metadata", "markdown", "html", "text", "metrics", "kind", "diagnostics", "metadata_diagnostics", "structured_data", "error"))
@@ -75,7 +70,7 @@ def decode(body: Column | str, content_type: Column | str) -> Column:
 def blocks_of(html: str | None, url: str | None, options: X.Options) -> list[dict[str, Any]]:
     try:
         found = tape(X.extract(html, url, options)["blocks"])
-    except (X.PageError, RecursionError):
+    except X.PageError:
         return []
     names = [f.split(" ")[0] for f in S.BLOCK[7:-1].split(", ")]
     return [{n: b.get(n) for n in names} for b in found]
