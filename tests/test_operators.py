@@ -62,11 +62,36 @@ def test_native_ranking_equals_kernel(spark):
     assert rows and all(abs(r.rank_score - r.score) < 1e-9 for r in rows)
 
 
+ODD_METADATA = [
+    "<html lang=en><title>A long title of words</title><meta property=og:title content='Other title'><meta name=twitter:title content='other title'><meta name=author content='A B'><p>x",
+    "<meta name=author content='Ann Lee'><meta property=article:author content='ann lee'><p itemprop=author>Bob Ray</p><a rel=author>Ann Lee</a><h1>T",
+    "<meta property=og:site_name content='The (Site) \\\\E+'><title>Words of a long title | The (Site) \\\\E+</title><meta name=keywords content='the site e, Bread,bread , b-r'>",
+    "<meta property=og:site_name content='Site'><meta property=og:title content='site — All of it'>", "<meta property=og:site_name content='Site'><meta property=og:title content='Site'>",
+    "<meta name=author content='n/a'><meta name=author content='By Élan Ö'><meta name=citation_author content='ÉLAN Ö'>" + "".join(f"<meta name=citation_author content='Writer {i}'>" for i in range(14)),
+    "", None, "<html lang=de_AT dir=RTL><link rel=canonical href=/c><meta property=og:url content=http://b.com/><meta property=og:image content=/i.png>",
+    "<script type='application/ld+json'>" + '{"@type":"Article","name":"N","headline":"H","keywords":["a","b, A"],"author":["X","Y"],"publisher":{"name":"P"}}' + "</script>",
+]
+
+
 def test_native_metadata_equals_kernel(spark):
-    pages = P.PageFrame(frame(spark, [(1, "http://x.com/a", "<html lang=en><title>A long title of words</title><meta property=og:title content='Other title'><meta name=twitter:title content='other title'><meta name=author content='A B'><p>x")]))
-    native = P.resolve_metadata(pages.meta_candidates()).first()
-    kernel = pages.extract().first().page.metadata
-    assert (native.title, native.language, native.authors) == (kernel.title, kernel.language, kernel.authors) == ("Other title", "en", ["A B"])
+    pages = P.PageFrame(frame(spark, [(i, "http://x.com/a", h) for i, h in enumerate(ODD_METADATA)]))
+    from webdistill.functions import metadata as M
+    from webdistill.functions.parser import parse
+
+    in_rows = {r.page_id: r.asDict() for r in P.resolve_metadata(pages.meta_candidates()).collect()}
+    for r in pages.metadata().collect():
+        html = ODD_METADATA[r.page_id] or ""
+        d = parse(html)
+        want = M.resolved(M.candidates(d, "http://x.com/a", "http://x.com/a", M.json_items(d)))
+        got = r.asDict()
+        assert in_rows[got["page_id"]] == got
+        assert {k: v for k, v in got.items() if k != "page_id"} == want
+    assert len(in_rows) == len(ODD_METADATA) and in_rows[1]["authors"] == ["Ann Lee", "Bob Ray"] and in_rows[2]["title"] == "Words of a long title" and in_rows[2]["tags"] == ["Bread", "b-r"]
+
+
+def test_metadata_is_resolved_within_rows(spark):
+    plan = P.PageFrame(Q._table(spark, D)).metadata()._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan and plan.count("ArrowEvalPython") == 1
 
 
 def test_subtree_text(spark):

@@ -15,7 +15,8 @@ BLOCK_TAGS = frozenset(
 )
 CALLOUTS = ("note", "warning", "tip", "important", "caution", "info")
 _LANGUAGE = re.compile(r"(?:^|\s)(?:language-|lang-|highlight-source-|brush:\s*)([\w+#.\-]+)")
-_VIDEO = re.compile(r"//(?:www\.)?(?:youtube(?:-nocookie)?\.com/embed/|player\.vimeo\.com/video/|dailymotion\.com/embed/|player\.twitch\.tv)", re.I)
+#: Players of videos that are kept. Own choice.
+VIDEO = re.compile(r"//(?:www\.)?(?:youtube(?:-nocookie)?\.com/embed/|player\.vimeo\.com/video/|dailymotion\.com/embed/|player\.twitch\.tv)", re.I)
 _ORDERED = re.compile(r"^\s*(\d+)[.)]\s+")
 
 
@@ -186,7 +187,7 @@ class Compiler:
             return [Block("DefinitionList", inside)] if inside else []
         if tag in ("iframe", "video", "audio"):
             source = T.resolve(self.base, node.get("src") or next((x.get("src") for x in node.elements("source")), ""), ("http", "https"))
-            if source and (tag != "iframe" or _VIDEO.search(source)):
+            if source and (tag != "iframe" or VIDEO.search(source)):
                 source = re.sub(r"//(?:www\.)?youtube(?:-nocookie)?\.com/embed/([\w\-]+).*", r"//www.youtube.com/watch?v=\1", source)
                 return [Block("Media", kind="video" if tag == "iframe" else tag, src=source, title=T.squeeze(node.get("title"))[:200] or None)]
             return []

@@ -13,7 +13,7 @@ from webdistill.functions import coverage as C
 from webdistill.functions import render, scoring, shell, specialised, terminal
 from webdistill.functions import structured as D
 from webdistill.functions import text as T
-from webdistill.functions.compile import BLOCK_TAGS, Block, compile_content, compile_counted, tape
+from webdistill.functions.compile import BLOCK_TAGS, VIDEO, Block, compile_content, compile_counted, tape
 from webdistill.functions.dom import Node, shallow
 from webdistill.functions.parser import Budget, LimitError, parse, parse_fragment
 
@@ -42,8 +42,6 @@ _JS_NOTICE = re.compile(r"(?:enable|requires?|turn on|activate[rz]?)\s+javascrip
 _DENIED = re.compile(r"^(?:access denied|attention required|just a moment|are you (?:a )?(?:human|robot)|verify you are human|403 forbidden|accès refusé|pardon our interruption)", re.I)
 _PERMISSION = re.compile(r"permission to access|unusual (?:traffic|activity)|automated (?:traffic|requests)|checking your browser|security check|reference (?:#|id)|ray id|trafic automatisé", re.I)
 _LOADING = re.compile(r"^(?:loading|please wait|chargement)[\s.…]*$", re.I)
-_EMBED = re.compile(r"//(?:www\.)?(?:(?:dailymotion|youtube|youtube-nocookie|player\.vimeo|v\.qq|bilibili|live\.bilibili)\.com|(?:archive|upload\.wikimedia)\.org|player\.twitch\.tv)", re.I)
-
 _CONTENT_NAME = re.compile(r"(?:^|[\s_\-])(?:article-?body|post-?content|entry-?content|article-?content|story-?body|main-?content)(?:$|[\s_\-])", re.I)
 
 #: Pages of more levels are made less deep first: what is looked up around an element then takes bounded time.
@@ -412,7 +410,7 @@ def hard_cleanup(root: Node) -> None:
             node.replace(Node("#text", text=label)) if label else node.detach()
         elif tag == "input" and not (node.get("type").lower() == "checkbox" and any(x.tag == "li" for x in node.ancestors())):
             node.detach()
-        elif tag == "iframe" and not _EMBED.search(node.get("src")):
+        elif tag == "iframe" and not VIDEO.search(node.get("src")):
             node.detach()
         elif tag == "img":
             size = [int(v) for k in ("width", "height") if (v := node.get(k)).isdigit()]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections import Counter
 from dataclasses import dataclass
 from typing import Any
 
@@ -49,6 +50,11 @@ class Candidate:
     confidence: int
     order: int
 
+    @property
+    def key(self) -> str:
+        """What equal values have in common, whatever their case."""
+        return T.folded(self.value)
+
 
 class Collector:
     def __init__(self):
@@ -237,12 +243,9 @@ def candidates(document: Node, url: str | None, base: str | None, items: list[di
 
 def scored(found: list[Candidate]) -> list[tuple[int, Candidate]]:
     """Each candidate's score: its confidence and 5 for each other source's equal value, three at most."""
-    out = []
-    for x in found:
-        key = T.folded(x.value)
-        agree = sum(1 for y in found if y.field == x.field and y.source != x.source and T.folded(y.value) == key)
-        out.append((x.confidence + 5 * min(agree, 3), x))
-    return out
+    every = Counter((x.field, x.key) for x in found)
+    of_source = Counter((x.field, x.key, x.source) for x in found)
+    return [(x.confidence + 5 * min(every[x.field, x.key] - of_source[x.field, x.key, x.source], 3), x) for x in found]
 
 
 def resolved(found: list[Candidate]) -> dict[str, Any]:

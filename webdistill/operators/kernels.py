@@ -139,7 +139,7 @@ def candidates_of(html: str | None, url: str | None) -> list[dict[str, Any]]:
     document = parse(html or "")
     base_node = next((x for x in document.elements("base") if x.get("href")), None)
     base = T.resolve(url, base_node.get("href"), ("http", "https")) if base_node is not None else url
-    return [{"field": c.field, "value": c.value, "source": c.source, "confidence": c.confidence, "ord": c.order} for c in M.candidates(document, url, base, M.json_items(document))]
+    return [{"field": c.field, "value": c.value, "source": c.source, "confidence": c.confidence, "ord": c.order, "key": c.key} for c in M.candidates(document, url, base, M.json_items(document))]
 
 
 def meta_candidates(html: Column | str, url: Column | str) -> Column:

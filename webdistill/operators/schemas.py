@@ -16,7 +16,7 @@ ATTEMPT = (
     "struct<strategy string, root string, source string, accepted boolean, rejection string, score double, "
     f"coverage double, categories array<{COVERAGE}>, normalization {NORMALIZATION}>"
 )
-CANDIDATE = "struct<field string, value string, source string, confidence int, ord int>"
+CANDIDATE = "struct<field string, value string, source string, confidence int, ord int, key string>"
 SELECTED = "struct<field string, value string, source string, confidence int, score int, ord int, selected boolean>"
 PAGE = (
     f"struct<metadata {METADATA}, markdown string, html string, text string, metrics {METRICS}, kind string, diagnostics array<{ATTEMPT}>, "

@@ -79,8 +79,7 @@ def site_names(spark, sf_dir):
 
 
 def metadata_native(spark, sf_dir):
-    resolved = P.resolve_metadata(_pages(spark, sf_dir).meta_candidates())
-    return resolved.select("page_id", "language", "site_name", "canonical_url")
+    return _pages(spark, sf_dir).metadata().select("page_id", "language", "site_name", "canonical_url")
 
 
 def metadata_candidates(spark, sf_dir):
