@@ -2,11 +2,15 @@
 
 import hashlib
 import math
+import random
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
+import pytest
 
 from webdistill.llm import common, lines, urls, warc
+from webdistill.llm import queries as Q
 from webdistill.llm.queries import RULES
 
 
@@ -93,6 +97,35 @@ def test_url_filter(spark):
         assert got[i].verdict == (verdict[got[i].rule] if got[i].rule else "block" if s is not None and s > limit else "allow")
 
 
+def test_url_filter_calibrates_on_urls(spark):
+    """Many URLs of few lengths: scores and threshold are those of single URLs, not of groups that share a length."""
+    r = random.Random(3)
+    hosts = ["a.com", "b.com", "www.example.com", "c.net", "x.example.net", "d.org", "e.example.org"]
+    given = [f"http://{r.choice(hosts)}/{r.choice(('en', 'de', 'es', 'fr'))}/{''.join(r.choice('78ab-xyzq') for _ in range(r.choice((1, 2, 4))))}" for _ in range(500)]
+    pages = spark.createDataFrame(list(enumerate(given)), "page_id long, url string").repartition(5)
+    got = {x.page_id: x for x in urls.judge(pages, RULES).collect()}
+    verdict = {f"{h}{p}": v for v, h, p in RULES}
+    scores = brute(RULES, [(got[i].host, got[i].path, verdict.get(got[i].rule)) for i in range(500)])
+    assert max(abs(got[i].score - s) for i, s in enumerate(scores)) < 1e-9
+    of = {v: [s for i, s in enumerate(scores) if got[i].rule and verdict[got[i].rule] == v] for v in ("allow", "block")}
+    assert min(map(len, of.values())) > 20
+    mean, spread = ({v: f(x) for v, x in of.items()} for f in (np.mean, np.std))
+    limit = mean["block"] - spread["block"] / (spread["allow"] + spread["block"]) * (mean["block"] - mean["allow"])
+    free = [i for i in range(500) if not got[i].rule]
+    want = {i: "block" if scores[i] > limit else "allow" for i in free}
+    assert {i: got[i].verdict for i in free} == want and len(set(want.values())) == 2
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_url_filter_equals_sql(spark, sf):
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW pages AS SELECT * FROM '/root/testdata/{sf}/pages.parquet'")
+    want = db.execute(urls.sql(RULES))
+    columns = [x[0] for x in want.description]
+    got = Q.op9_url_language_model(spark, f"/root/testdata/{sf}").select(*columns).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(want.fetchall(), key=repr)
+
+
 def test_url_filter_without_rules(spark):
     pages = spark.createDataFrame([(1, "http://a/b")], "page_id long, url string")
     assert urls.judge(pages, []).collect()[0].verdict == "allow"

@@ -126,6 +126,7 @@ def oracle_sql() -> dict[str, str]:
         "op6_warc_revisits": WARC_SQL,
         "op8_exact_top_k": topk.SQL.format(scale=64, k=20),
         "op7_line_dedup": lines.SQL.format(ratio=0.1, least=5),
+        "op9_url_language_model": urls.sql(RULES),
         "op12_digest_index": digests.SQL,
         "op13_fill_in_middle": infill.SQL,
     }

@@ -81,40 +81,68 @@ def ratio_model(ruled: DataFrame) -> DataFrame:
 
 
 def score(rows: DataFrame, model: DataFrame) -> DataFrame:
-    """Add ``score`` to rows with a ``grams`` array: the mean value of its grams, null without any.
+    """Add ``score`` to rows with a ``grams`` array and a ``row`` number of their own: the mean value of its grams, null without any.
 
     The model has at most ``SIZE`` cubed rows (about 3 MB), which is why it may be broadcast. The exploded rows are
-    summed where they arise, so one row a URL is shuffled, by the row's own columns: rows that repeat are one there, and
-    as many again after it.
+    summed where they arise, so one row a URL is shuffled, by its number: URLs that very many rows share are no hot key.
     """
     kept = [c for c in rows.columns if c != "grams"]
-    value, size, gram, copies = (common.unused(rows, x) for x in ("value", "size", "gram", "copies"))
-    each = rows.select(*kept, F.greatest(F.size("grams"), F.lit(1)).alias(size), F.explode_outer("grams").alias(gram))
-    each = each.join(F.broadcast(model.select(F.col("gram").alias(gram), F.col("value").alias(value))), gram, "left")
-    found = each.groupBy(*kept, size).agg(F.avg(value).alias("score"), (F.count("*") / F.col(size)).cast("int").alias(copies))
-    return found.withColumn(copies, F.explode(F.sequence(F.lit(1), copies))).select(*kept, "score")
+    each = rows.select(*kept, F.explode_outer("grams").alias("gram")).join(F.broadcast(model), "gram", "left")
+    return each.groupBy("row").agg(*(F.first(c).alias(c) for c in kept if c != "row"), F.avg("value").alias("score"))
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]], id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """``page_id, host, path, rule, score, verdict`` of every URL.
 
     The verdict is the longest fitting rule's, or else the models': block if ``score`` lies above the calibrated
-    threshold (between the classes' mean scores, nearer the class that varies less), allow otherwise. Where the ruled
+    threshold (between the means of the ruled URLs' scores by class, nearer the class that varies less), allow otherwise. Where the ruled
     URLs lack a class, or a URL has no host and path, the models can't tell and allow. Repeated rows are judged each.
     """
     host, path = host_path(F.col(url_col))
-    base = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
+    base = pages.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
     rule, verdict = match(rules, F.col("host"), F.col("path"))
-    base = base.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("ruled"), grams(F.concat("host", "path")).alias("grams"))
+    base = base.select("row", "page_id", "host", "path", rule.alias("rule"), verdict.alias("ruled"), grams(F.concat("host", "path")).alias("grams"))
     ruled = base.where(F.col("ruled").isNotNull())
     counted = ruled.select(F.col("ruled").alias("verdict"), F.explode("grams").alias("gram")).groupBy("verdict", "gram").agg(F.count("*").alias("n"))
     model = common.save(ratio_model(common.save(counted, "url-grams")), "url-model")  # two counts and one value a gram at most
-    scored = score(base, model)
-    # the ruled URLs' mean score follows from the counts: a mean over characters, as the scores are
-    each = score(ruled.select("ruled", "grams"), model)
+    scored = common.save(score(base, model), "url-scores")
     of = lambda v, f: f(F.when(F.col("ruled") == v, F.col("score")))
     ma, mr, sa, sr = (of("allow", F.avg), of("block", F.avg), of("allow", F.stddev_pop), of("block", F.stddev_pop))
     weight = F.when(sa + sr > 0, sr / (sa + sr)).otherwise(F.lit(0.5))
-    limit = each.agg((mr - weight * (mr - ma)).alias("limit")).scalar()
+    limit = scored.where(F.col("ruled").isNotNull()).agg((mr - weight * (mr - ma)).alias("limit")).scalar()
     blocked = F.coalesce(F.col("score") > limit, F.lit(False))
     return scored.select("page_id", "host", "path", "rule", "score", F.coalesce("ruled", F.when(blocked, "block").otherwise("allow")).alias("verdict"))
+
+
+#: DuckDB SQL of the same over ``pages``.
+SQL = """
+WITH t AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS t FROM pages),
+h AS (SELECT page_id, t, regexp_extract(t, '^[^/?#]*') AS h FROM t),
+b AS (SELECT row_number() OVER () AS row, page_id, translate(h, '{upper}', lower('{upper}')) AS host, regexp_extract(substr(t, length(h) + 1), '^[^?#]*') AS path FROM h),
+r AS (SELECT *, {rule} AS rule, {ruled} AS ruled FROM b),
+x AS (SELECT row, ruled, list_transform(string_split(translate(host || path, '{upper}', lower('{upper}')), ''), lambda c: instr('{alphabet}', c)) AS k FROM r WHERE host || path <> ''),
+g AS (SELECT row, ruled, CASE WHEN i > 2 THEN k[i - 2] ELSE {start} END AS a, CASE WHEN i > 1 THEN k[i - 1] ELSE {start} END AS b, k[i] AS c FROM x, unnest(range(1, len(k) + 1)) AS t(i)),
+n AS (SELECT ruled AS v, a, b, c, count(*) AS n FROM g WHERE ruled IS NOT NULL GROUP BY ALL),
+n0 AS (SELECT v, sum(n) AS n0 FROM n GROUP BY ALL), o0 AS (SELECT v, c, sum(n) AS o0 FROM n GROUP BY ALL),
+o1 AS (SELECT v, b, c, sum(n) AS o1 FROM n GROUP BY ALL), m1 AS (SELECT v, b, sum(o1) AS n1, count(*) AS t1 FROM o1 GROUP BY ALL),
+m2 AS (SELECT v, a, b, sum(n) AS n2, count(*) AS t2 FROM n GROUP BY ALL),
+d AS (SELECT DISTINCT unnest(['allow', 'block']) AS v, a, b, c FROM g),
+p0 AS (SELECT v, a, b, c, (coalesce(o0, 0) + 1) / (coalesce(n0, 0) + {size}) AS p FROM d LEFT JOIN n0 USING (v) LEFT JOIN o0 USING (v, c)),
+p1 AS (SELECT v, a, b, c, CASE WHEN n1 > 0 THEN (coalesce(o1, 0) + t1 * p) / (n1 + t1) ELSE p END AS p FROM p0 LEFT JOIN o1 USING (v, b, c) LEFT JOIN m1 USING (v, b)),
+p2 AS (SELECT v, a, b, c, CASE WHEN n2 > 0 THEN (coalesce(n, 0) + t2 * p) / (n2 + t2) ELSE p END AS p FROM p1 LEFT JOIN n USING (v, a, b, c) LEFT JOIN m2 USING (v, a, b)),
+f AS (SELECT a, b, c, sum(CASE WHEN v = 'block' THEN ln(p) ELSE -ln(p) END) AS value FROM p2 GROUP BY ALL),
+s AS (SELECT row, avg(value) AS score FROM g JOIN f USING (a, b, c) GROUP BY ALL),
+m AS (SELECT avg(score) FILTER (ruled = 'allow') AS ma, avg(score) FILTER (ruled = 'block') AS mr, stddev_pop(score) FILTER (ruled = 'allow') AS sa, stddev_pop(score) FILTER (ruled = 'block') AS sr
+  FROM s JOIN r USING (row)),
+l AS (SELECT mr - CASE WHEN sa + sr > 0 THEN sr / (sa + sr) ELSE 0.5 END * (mr - ma) AS lim FROM m)
+SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN score > lim THEN 'block' ELSE 'allow' END) AS verdict
+FROM r LEFT JOIN s USING (row), l
+"""
+
+
+def sql(rules: list[tuple[str, str, str]]) -> str:
+    """``SQL`` for rules; of rules of equal length the first given wins."""
+    order = sorted(rules, key=lambda r: -len(r[1]) - len(r[2]))
+    fits = "WHEN (host = '{1}' OR ends_with(host, '.{1}')) AND starts_with(path, '{2}') THEN "
+    case = lambda value: "CASE " + " ".join(fits.format(*r) + f"'{value(r)}'" for r in order) + " END"
+    return SQL.format(upper=_UPPER, alphabet=ALPHABET.replace("'", "''"), start=START, size=SIZE, rule=case(lambda r: r[1] + r[2]), ruled=case(lambda r: r[0]))
