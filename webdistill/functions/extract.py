@@ -15,6 +15,7 @@ from webdistill.functions import structured as D
 from webdistill.functions import text as T
 from webdistill.functions.compile import BLOCK_TAGS, VIDEO, Block, compile_content, compile_counted, tape
 from webdistill.functions.dom import Node, shallow
+from webdistill.functions.visibility import hidden, hidden_style
 from webdistill.functions.parser import Budget, LimitError, parse, parse_fragment
 
 # Name patterns that speak for and against content.
@@ -29,7 +30,6 @@ NEGATIVE = re.compile(
     r"revision-history|scroll|share|shoutbox|sidebar|skyscraper|sponsor|shopping|tags|widget",
     re.I,
 )
-HIDDEN_CLASSES = frozenset(("hidden", "d-none", "display-none", "u-hidden", "invisible", "visually-hidden", "sr-only"))
 # Clutter by name, role and words. Own choice of patterns.
 _CLUTTER = re.compile(
     r"(?:^|[\s_\-])(?:ads?|advert\w*|sponsor\w*|promo\w*|newsletter\w*|subscri\w+|signup|cookie\w*|consent|gdpr|share\w*|sharing|social\w*|breadcrumbs?|pagination|pager|related\w*|recommend\w*|"
@@ -126,27 +126,6 @@ def class_weight(node: Node) -> int:
     return out
 
 
-def hidden_style(style: str) -> bool:
-    """Whether declarations hide; later ones win unless an earlier one is important."""
-    state: dict[str, tuple[bool, bool]] = {}
-    for part in style.lower().split(";"):
-        name, _, value = part.partition(":")
-        important, value = "!important" in value, value.replace("!important", "").strip()
-        name = name.strip()
-        if name in ("display", "visibility", "opacity") and (important or not state.get(name, (False, False))[1]):
-            state[name] = value == {"display": "none", "visibility": "hidden"}.get(name, "0"), important
-    return any(h for h, _ in state.values())
-
-
-def hidden(node: Node) -> bool:
-    if "hidden" in node.attrs or node.get("style") and hidden_style(node.get("style")):
-        return True
-    if node.get("aria-hidden").lower() == "true" and "fallback-image" not in node.get("class") and node.tag not in ("math", "svg", "img"):
-        return True
-    tokens = set(node.tokens("class"))
-    return bool(tokens & HIDDEN_CLASSES) and not any(re.match(r"(?:sm|md|lg|xl|d-(?:sm|md|lg|xl))[:\-]?(?:block|flex|grid|inline)", t) for t in tokens)
-
-
 # -- preparation
 def prepare(body: Node) -> None:
     """Reveal noscript images, drop scripts and styles, breaks in a row to paragraphs, fonts to spans."""
@@ -690,4 +669,4 @@ def extract(html: str | None, url: str | None = None, options: Options | None =
     }
 
 
-__all__ = ["Options", "PageError", "extract", "tape"]
+__all__ = ["Options", "PageError", "extract", "hidden", "hidden_style", "tape"]

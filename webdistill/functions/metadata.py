@@ -5,12 +5,14 @@ from __future__ import annotations
 import json
 import re
 from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from typing import Any
 
+from webdistill.functions import dates, people
 from webdistill.functions import structured as D
 from webdistill.functions import text as T
 from webdistill.functions.dom import Node
+from webdistill.functions.visibility import hidden
 
 SINGLE = ("title", "description", "site_name", "canonical_url", "image", "favicon", "published_time", "modified_time", "language", "direction", "section")
 MANY = ("authors", "tags")
@@ -39,7 +41,6 @@ ARTICLES = frozenset(
     "ReviewNewsArticle Report SatiricalArticle ScholarlyArticle MedicalScholarlyArticle SocialMediaPosting BlogPosting LiveBlogPosting DiscussionForumPosting TechArticle APIReference".split()
 )
 _BYLINE = re.compile(r"byline|author|dateline|writtenby|p-author", re.I)
-_DATE = re.compile(r"^\d{4}($|-)")
 
 
 @dataclass(frozen=True)
@@ -145,6 +146,28 @@ def _item_titles(item: dict[str, Any], article: bool, title: str) -> list[tuple[
     return [(headline, 98 if article else 94)] if headline else [(name, 98 if article else 90)] if name else []
 
 
+def split_authors(c: Collector) -> None:
+    """Author lists of general meta fields become one candidate a person.
+
+    A list of two that may be one name is split only where another candidate names one of the two. Another source's
+    equal text is split alike.
+    """
+    authors = [x for x in c.found if x.field == "authors"]
+    parts: dict[str, list[str]] = {}
+    for x in authors:
+        names, sure = people.people(x.value) if x.source in ("html_meta", "open_graph") else ([], False)
+        keys = {T.folded(n) for n in names}
+        if names and (sure or any(y.order != x.order and y.key in keys for y in authors)):
+            parts[x.key] = names
+    if not parts:
+        return
+    found, c.found = c.found, []
+    for x in found:
+        values = parts.get(x.key, [x.value]) if x.field == "authors" else [x.value]
+        c.found += [Candidate(x.field, v, x.source, x.confidence, 0) for v in values]
+    c.found = [replace(x, order=i) for i, x in enumerate(c.found)]
+
+
 def candidates(document: Node, url: str | None, base: str | None, items: list[dict[str, Any]]) -> list[Candidate]:
     """All candidates in the order of the page: structured data, meta and link elements, visible elements, what the address says."""
     c = Collector()
@@ -201,7 +224,7 @@ def candidates(document: Node, url: str | None, base: str | None, items: list[di
     raw = next((x for x in document.walk() if x.tag == "title" and x.ns == "html"), None)
     if raw is not None and T.squeeze(raw.raw_text()):
         c.add("title", T.page_title(raw.raw_text(), only), "html_element", 84)
-    best: tuple[int, str] | None = None
+    best: tuple[int, str, Node] | None = None
     for h in headings:
         if any(x.tag in ("nav", "footer", "aside") for x in h.ancestors()):
             continue
@@ -211,7 +234,7 @@ def candidates(document: Node, url: str | None, base: str | None, items: list[di
         confidence = 82 if h.has_ancestor("article") else 80 if h.has_ancestor("main") else 78
         confidence += 2 * (len(value.split()) >= 4) + 4 * ("p-name" in h.tokens("class"))
         if best is None or confidence > best[0]:
-            best = confidence, value
+            best = confidence, value, h
     if best:
         c.add("title", best[1], "html_element", best[0])
     for node in body.walk():
@@ -230,8 +253,9 @@ def candidates(document: Node, url: str | None, base: str | None, items: list[di
             c.add("published_time", node.get("datetime") or node.get("content") or node.raw_text(), "html_element", 82)
         elif "datemodified" in prop:
             c.add("modified_time", node.get("datetime") or node.get("content") or node.raw_text(), "html_element", 82)
-        elif node.tag == "time" and _DATE.match(node.get("datetime")) and node.has_ancestor("article", "main", "header"):
-            c.add("published_time", node.get("datetime"), "inferred", 48)
+    for field, value, source, confidence in dates.candidates(body, best[2] if best else None, hidden):
+        c.add(field, value, source, confidence)
+    split_authors(c)
     root = document.first("html")
     if root is not None:
         c.add("language", root.get("lang") or root.get("xml:lang"), "html_element", 100)

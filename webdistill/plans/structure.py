@@ -127,6 +127,28 @@ def aria_headings(spark, sf_dir):
     return nodes.groupBy("page_id").agg(F.count_if(S.seen_as(F.col("tag"), F.col("attrs")) == "h1").alias("n_h1"), F.count_if(F.col("tag") == "h1").alias("n_raw_h1"))
 
 
+_LABELS = (("Published ", "Updated "), ("Veröffentlicht am ", "Aktualisiert am "), ("Publié le ", "Mis à jour le "), ("Publicado el ", "Actualizado el "))
+_MONTHS = (
+    "January February March April May June July August September October November December".split(), "Januar Februar März April Mai Juni Juli August September Oktober November Dezember".split(),
+    "janvier février mars avril mai juin juillet août septembre octobre novembre décembre".split(), "enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre".split(),
+)
+
+
+def written_dates(spark, sf_dir):
+    """Pages with a line of two dates below their heading, in four languages: when they were published, and changed."""
+    of = lambda values: F.element_at(F.array(*map(F.lit, values)), (F.col("page_id") % 4 + 1).cast("int"))
+    first = F.date_add(F.lit("2020-01-01").cast("date"), (F.col("page_id") % 1000).cast("int"))
+
+    def said(day: Column) -> Column:
+        month = F.element_at(F.element_at(F.array(*(F.array(*map(F.lit, m)) for m in _MONTHS)), (F.col("page_id") % 4 + 1).cast("int")), F.month(day))
+        d, y = F.dayofmonth(day).cast("string"), F.year(day).cast("string")
+        forms = F.array(F.concat(month, F.lit(" "), d, F.lit(", "), y), F.concat(d, F.lit(". "), month, F.lit(" "), y), F.concat(d, F.lit(" "), month, F.lit(" "), y), F.concat(d, F.lit(" de "), month, F.lit(" de "), y))
+        return F.element_at(forms, (F.col("page_id") % 4 + 1).cast("int"))
+
+    line = F.concat(F.lit("</h1><p>"), of([a for a, _ in _LABELS]), said(first), F.lit(" · "), of([b for _, b in _LABELS]), said(F.date_add(first, 30)), F.lit("</p>"))
+    return _rewritten(_table(spark, sf_dir), F.replace(F.col("html"), F.lit("</h1>"), line)).metadata().select("page_id", "published_time", "modified_time")
+
+
 def semantic_standing(spark, sf_dir):
     return S.semantic_standing(P.PageFrame(_table(spark, sf_dir)).balanced().nodes()).select("page_id", "tag", "under", "within")
 
@@ -154,7 +176,7 @@ def tape_faults(spark, sf_dir):
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         structured_agreement, structured_roots, page_items, page_items_kernel, json_duplicates, streamed_segments, streamed_places, shell_pages, ordered_lists, aria_headings,
-        semantic_standing, edge_elements, semantic_coverage, tape_faults,
+        written_dates, semantic_standing, edge_elements, semantic_coverage, tape_faults,
     )
     return {f.__name__: f for f in found}
 
@@ -181,6 +203,8 @@ def oracle_sql() -> dict[str, str]:
             SELECT page_id, CASE WHEN coalesce(list_contains(near, k), false) THEN '' ELSE 'Author ' || page_id END AS authors FROM n""",
         "json_duplicates": "SELECT page_id, unnest([0, 2])::BIGINT AS ord FROM pages",
         "streamed_places": "SELECT page_id, '0' AS key, 'B' AS place_kind, page_id % 3 <> 0 AS filled FROM pages",
+        "written_dates": """WITH d AS (SELECT page_id, DATE '2020-01-01' + CAST(page_id % 1000 AS INTEGER) AS d FROM pages)
+            SELECT page_id, strftime(d, '%B %-d, %Y') AS published_time, strftime(d + 30, '%B %-d, %Y') AS modified_time FROM d""",
         "ordered_lists": "SELECT page_id, len(regexp_extract_all(html, '<li>')) AS n_items, CAST(3 AS BIGINT) AS start FROM pages WHERE contains(html, '<li>')",
         "aria_headings": "SELECT page_id, len(regexp_extract_all(html, '<h1>')) AS n_h1, CAST(0 AS BIGINT) AS n_raw_h1 FROM pages",
         "semantic_standing": f"SELECT page_id, 'article' AS tag, false AS under, CAST(1 AS INTEGER) AS within FROM pages WHERE {host} IS NOT NULL",
