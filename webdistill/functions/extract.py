@@ -10,7 +10,7 @@ from typing import Any
 
 from webdistill.functions import metadata as M
 from webdistill.functions import coverage as C
-from webdistill.functions import render, scoring, shell, specialised, terminal
+from webdistill.functions import render, repeats, scoring, shell, specialised, terminal
 from webdistill.functions import structured as D
 from webdistill.functions import text as T
 from webdistill.functions.compile import BLOCK_TAGS, VIDEO, Block, compile_content, compile_counted, tape
@@ -399,6 +399,8 @@ def hard_cleanup(root: Node) -> None:
             node.tag, node.attrs = "span", {}
         for name in [k for k in node.attrs if k.startswith("on")]:
             del node.attrs[name]
+    repeats.drop_gutters(root)
+    repeats.drop_views(root)
 
 
 def chrome_cleanup(root: Node, stats: Stats, whole: int) -> None:
@@ -501,6 +503,31 @@ def is_good(m: dict, words: int, chars: int) -> bool:
     return coverage >= 0.6 or m["word_count"] >= 80 and coverage >= 0.3 or long_enough or bool(structured) and m["word_count"] >= 20 and coverage >= 0.25
 
 
+#: Names of elements that are never the content. Fixed values.
+BOILERPLATE = frozenset(
+    "accessdenied applicationshell captcha consent cookie forbidden login maintenance newsletter notfound paywall signin subscribe subscription verify verification".split()
+)
+
+
+def boilerplate_root(node: Node) -> bool:
+    """Whether an element's class or id, letters and digits alone, names a notice of the site."""
+    return any("".join(c for c in node.get(k).lower() if c.isascii() and c.isalnum()) in BOILERPLATE for k in ("id", "class"))
+
+
+def link_only(m: dict) -> bool:
+    """Whether a semantic root is a list of links and no more."""
+    parts = m["paragraph_count"] + m["code_block_count"] + m["table_count"] + m["figure_count"]
+    return m["text_chars"] >= 60 and m["link_density"] >= 0.75 and not parts and m["heading_count"] <= 1 and m["list_item_count"] < 3
+
+
+def incoherent(m: dict, text: str) -> bool:
+    """Whether a very short result has values, but no words or structure that say what they are."""
+    if m["text_chars"] > 200 or m["word_count"] > 20 or m["has_contextual_structure"]:
+        return False
+    letters, digits = sum(c.isalpha() for c in text), sum(c.isdigit() for c in text)
+    return not letters or letters <= 16 and digits >= max(2 * letters, 4)
+
+
 def suspiciously_small(m: dict, words: int, chars: int) -> bool:
     return not m["text_chars"] or words >= 80 and m["word_count"] < 15 or chars >= 1000 and m["text_chars"] < 0.15 * chars
 
@@ -617,20 +644,22 @@ def extract(html: str | None, url: str | None = None, options: Options | None =
             whole = C.measure(compile_content(holder.copy(), base)) if o.diagnostics else None
             chrome_cleanup(holder, stats, holder_chars)
             if strategy in ("Normal", "StructuredDataHint", "RelaxedVisibility"):
+                repeats.drop_toc(holder)
                 terminal.drop_terminal(holder)
                 clutter_cleanup(holder, stats, holder_chars, kind == "Discussion")
             drop_title(holder, meta["title"])
             drop_empty(holder)
             blocks, flattened = compile_counted(holder, base)
             m = render.metrics(blocks)
-            good = is_good(m, words, chars)
+            gate = "BoilerplateRoot" if all(map(boilerplate_root, roots)) else "Incoherent" if incoherent(m, render.plain_text(blocks)) else "LinkOnly" if source == "Semantic" and link_only(m) else None
+            good = gate is None and is_good(m, words, chars)
             score = attempt_score(m, chars, source not in ("Body",))
-            note = {"strategy": strategy, "root": roots[0].tag, "source": source, "accepted": good, "rejection": None if good else "Empty" if not m["text_chars"] else "LowQuality", "score": score}
+            note = {"strategy": strategy, "root": roots[0].tag, "source": source, "accepted": good, "rejection": None if good else "Empty" if not m["text_chars"] else gate or "LowQuality", "score": score}
             if whole is not None:
                 categories = C.coverage(whole, C.measure(blocks))
                 note |= {"coverage": C.score(categories), "categories": categories, "normalization": C.normalization(blocks, flattened)}
             attempts.append(note)
-            if m["text_chars"] and m["has_alphanumeric_text"] and (best is None or score > best[0]):
+            if m["text_chars"] and m["has_alphanumeric_text"] and gate is None and (best is None or score > best[0]):
                 best = score, blocks, m, note
             if good:
                 best = score, blocks, m, note

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from urllib.parse import urlsplit
 
+from webdistill.functions import discussion
 from webdistill.functions import text as T
 from webdistill.functions.dom import Node
 
@@ -103,6 +104,9 @@ def find(document: Node, url: str | None) -> tuple[str | None, Node | None]:
         turns = [x for x in body.elements() if x.get("data-message-author-role")]
         if turns:
             return "Discussion", build(None, None, [(0, x.get("data-message-author-role"), x.copy()) for x in turns])
+    if (found := discussion.thread(body)) is not None:
+        _, opening, replies = found
+        return "Discussion", build(None, opening.copy(), [(depth, author, said.copy()) for depth, author, said in replies])
     return None, None
 
 

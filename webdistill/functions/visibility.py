@@ -27,4 +27,4 @@ def hidden(node: Node) -> bool:
     if node.get("aria-hidden").lower() == "true" and "fallback-image" not in node.get("class") and node.tag not in ("math", "svg", "img"):
         return True
     tokens = set(node.tokens("class"))
-    return bool(tokens & HIDDEN_CLASSES) and not any(re.match(r"(?:sm|md|lg|xl|d-(?:sm|md|lg|xl))[:\-]?(?:block|flex|grid|inline)", t) for t in tokens)
+    return bool(tokens & HIDDEN_CLASSES) and not any(re.match(r"(?:sm|md|lg|xl|2xl|d-(?:sm|md|lg|xl|xxl))[:\-]?(?:block|table|flex|grid|inline)", t) for t in tokens)
