@@ -321,6 +321,26 @@ def matches(node: Node, target: tuple[str, str]) -> bool:
     return node.get("id") == value if kind == "id" else value in node.tokens("class") if kind == "class" else node.tag == value.lower()
 
 
+def single_article(top: Candidate, usable: list[Candidate], stats: Stats) -> Node | None:
+    """The one article of a page whose best candidate lies around it, if it has half or more of that one's text outside navigation and clutter."""
+    own = [c.node for c in usable if scoring.authoritative(c.node)]
+    outer = [x for x in own if not any(y in own for y in x.ancestors())]
+    if len(outer) != 1 or scoring.authoritative(top.node) or not any(x is top.node for x in outer[0].ancestors()):
+        return None
+    around = {id(x) for x in outer[0].ancestors()}
+    chars = stats.chars(top.node)
+    stack = list(top.node.children)
+    while stack:
+        x = stack.pop()
+        if x is outer[0] or x.tag[0] == "#":
+            continue
+        if id(x) not in around and (x.tag in ("nav", "footer", "aside") or ("class" in x.attrs or "id" in x.attrs) and _CLUTTER.search(x.name())):
+            chars -= stats.chars(x)
+        else:
+            stack.extend(x.children)
+    return outer[0] if stats.paragraphs(outer[0]) and 2 * stats.chars(outer[0]) >= chars else None
+
+
 def choose(body: Node, ranked: list[Candidate], stats: Stats, texts: list[str] | None = None) -> tuple[list[Node], str]:
     """The content's roots and the source that chose them; ``texts`` are those of the page's structured data."""
     usable = [c for c in ranked if not c.features["utility_name"] or "StructuredData" in c.sources]
@@ -336,6 +356,8 @@ def choose(body: Node, ranked: list[Candidate], stats: Stats, texts: list[str] |
             return [best[2].node], "StructuredData"
     if "StructuredData" in top.sources:
         return [top.node], "StructuredData"
+    if (single := single_article(top, usable, stats)) is not None:
+        return [single], "Semantic"
     bar = top.score - max(0.25 * abs(top.score), 5)
     for c in usable:
         if "CallerHint" in c.sources and c.score >= bar:
@@ -483,12 +505,24 @@ def drop_title(root: Node, title: str | None) -> None:
 
 
 # -- quality
-def source_measure(body: Node, stats: Stats) -> tuple[int, int]:
-    """Words and characters of the page outside its chrome."""
+def source_measure(body: Node, stats: Stats, title: str | None = None) -> tuple[int, int]:
+    """Words and characters of the page outside its chrome, small clutter and the heading that repeats its title."""
     words, chars = stats.words(body), stats.chars(body)
-    for node in body.elements("nav", "footer", "aside", "header"):
-        if not any(x.tag in ("nav", "footer", "aside", "header", "article", "main") for x in node.ancestors()):
+    most = chars / 2
+    stack = list(reversed(body.children))
+    heading = title
+    while stack:
+        node = stack.pop()
+        if node.tag[0] == "#":
+            continue
+        own = node.tag in ("nav", "footer", "aside", "header") and not any(x.tag in ("article", "main") for x in node.ancestors())
+        own = own or ("class" in node.attrs or "id" in node.attrs) and stats.chars(node) < most and bool(_CLUTTER.search(node.name()))
+        if heading and node.tag in ("h1", "h2") and T.matches_title(node.raw_text(), heading):
+            own, heading = True, None
+        if own:
             words, chars = words - stats.words(node), chars - stats.chars(node)
+        else:
+            stack.extend(reversed(node.children))
     return max(words, 0), max(chars, 0)
 
 
@@ -628,7 +662,7 @@ def extract(html: str | None, url: str | None = None, options: Options | None =
             if strategy == "StructuredDataHint" and located is None:
                 continue
             stats = Stats(work)
-            words, chars = source_measure(work, stats)
+            words, chars = source_measure(work, stats, meta["title"])
             if strategy == "BodyFallback":
                 roots, source = [work], "Body"
             elif strategy == "StructuredDataHint":

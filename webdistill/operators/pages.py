@@ -78,8 +78,7 @@ class PageFrame:
 
     def metadata(self) -> DataFrame:
         """A row a page with its metadata, resolved natively from the candidates in the row: nothing is shuffled."""
-        found = self.pages.select(self.id, K.meta_candidates(F.col(self.html), F.col(self.url)).alias("found"))
-        return found.select(self.id, resolved(F.col("found")).alias("m")).select(self.id, "m.*")
+        return resolved(self.pages.select(self.id, K.meta_candidates(F.col(self.html), F.col(self.url)).alias("found")), self.id)
 
     def rank_features(self) -> DataFrame:
         return self.pages.select(self.id, F.inline(K.rank_features(F.col(self.html))))
@@ -92,37 +91,41 @@ def agreement(candidates: DataFrame, id_col: str = "page_id") -> DataFrame:
     return candidates.withColumn("score", (F.col("confidence") + 5 * F.least(same, F.lit(3))).cast("int"))
 
 
-def resolved(found: Column) -> Column:
-    """``found``, an array of a page's candidates in order, as one struct of metadata: what the kernel resolves, as an expression on the row.
+def resolved(rows: DataFrame, id_col: str = "page_id", found_col: str = "found") -> DataFrame:
+    """``rows`` with arrays of candidates in order, as metadata: what the kernel resolves, by expressions on the row.
 
     Of each field the value of the highest score (confidence and 5 for each candidate of another source with an equal
     value, three at most), the earliest of equal ones. Authors within 8 of the surest one, ten at most, and tags but for
     the site's name, each once. A title loses the site's name at its ends.
     """
-    of = lambda f: F.filter(found, lambda c: c["field"] == f)
+    of = lambda f: F.filter(found_col, lambda c: c["field"] == f)
 
-    def best(field: str) -> Column:
-        own = of(field)
+    def best(own: Column) -> Column:
         score = lambda c: c["confidence"] + 5 * F.least(F.size(F.filter(own, lambda o: (o["key"] == c["key"]) & (o["source"] != c["source"]))), F.lit(3))
         return F.array_max(F.transform(own, lambda c: F.struct(score(c).alias("score"), (-c["ord"]).alias("first"), c["value"].alias("value"), c["key"].alias("key"))))
 
-    once = lambda own: F.transform(F.filter(own, lambda c, i: F.array_position(F.transform(own, lambda o: o["key"]), c["key"]) == i + 1), lambda c: c["value"])
+    once = lambda own, keys: F.transform(F.filter(own, lambda c, i: F.array_position(keys, c["key"]) == i + 1), lambda c: c["value"])
+    keys = lambda own: F.transform(own, lambda c: c["key"])
     compact = lambda key: F.regexp_replace(key, "[^\\p{L}\\p{N}]", "")
-    single = {f: best(f)["value"] for f in SINGLE}
-    site = best("site_name")
+    parts = rows.select(id_col, *(of(f).alias(f) for f in (*SINGLE, *MANY)))
+    sure = F.array_max(F.transform("authors", lambda a: a["confidence"])) - 8
+    parts = parts.select(id_col, *(best(F.col(f)).alias(f) for f in SINGLE), "authors", sure.alias("sure"), "tags")
+    site = F.col("site_name")
+    authors = F.filter("authors", lambda c: c["confidence"] >= F.col("sure"))
+    tags = F.filter("tags", lambda c: F.col("site").isNull() | (compact(c["key"]) != F.col("site")))
+    parts = parts.withColumn("site", compact(site["key"])).select(id_col, *SINGLE, authors.alias("authors"), tags.alias("tags"))
     quoted = F.concat(F.lit("\\Q"), F.replace(site["value"], F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
-    bare = F.regexp_replace(single["title"], F.concat(F.lit("(?iu)\\s+[|\\-–—·»]\\s+"), quoted, F.lit("$|^"), quoted, F.lit("\\s+[|\\-–—·»]\\s+")), F.lit(""))
-    single["title"] = F.when(site["value"].isNotNull() & (bare != ""), bare).otherwise(single["title"])
-    authors = of("authors")
-    sure = F.filter(authors, lambda c: c["confidence"] >= F.array_max(F.transform(authors, lambda a: a["confidence"])) - 8)
-    tags = F.filter(of("tags"), lambda c: site["key"].isNull() | (compact(c["key"]) != compact(site["key"])))
-    return F.struct(*(v.alias(k) for k, v in single.items()), F.slice(once(sure), 1, 10).alias("authors"), once(tags).alias("tags"))
+    affix = F.concat(F.lit("(?iu)\\s+[|\\-–—·»]\\s+"), quoted, F.lit("$|^"), quoted, F.lit("\\s+[|\\-–—·»]\\s+"))
+    bare = F.regexp_replace(F.col("title")["value"], affix, F.lit(""))
+    title = F.when(site["value"].isNotNull() & (bare != ""), bare).otherwise(F.col("title")["value"])
+    single = [(title if f == "title" else F.col(f)["value"]).alias(f) for f in SINGLE]
+    return parts.select(id_col, *single, F.slice(once(F.col("authors"), keys(F.col("authors"))), 1, 10).alias("authors"), once(F.col("tags"), keys(F.col("tags"))).alias("tags"))
 
 
 def resolve_metadata(candidates: DataFrame, id_col: str = "page_id") -> DataFrame:
     """One row a page with its ``resolved`` candidates, for candidates that lie in rows of their own."""
-    found = candidates.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("ord", "field", "value", "source", "confidence", "key"))).alias("found"))
-    return found.select(id_col, resolved(F.col("found")).alias("m")).select(id_col, "m.*")
+    found = F.array_sort(F.collect_list(F.struct("ord", "field", "value", "source", "confidence", "key"))).alias("found")
+    return resolved(candidates.groupBy(id_col).agg(found), id_col)
 
 
 def ranking_score() -> Column:

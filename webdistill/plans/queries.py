@@ -96,8 +96,12 @@ def link_hosts(spark, sf_dir):
 
 
 def internal_links(spark, sf_dir):
-    pages = _pages(spark, sf_dir)
-    return P.internal_links(pages.links(), _table(spark, sf_dir))
+    """Links within the table; each page is given one to the page of the next id."""
+    pages = _table(spark, sf_dir)
+    following = pages.select((F.col("page_id") - 1).alias("page_id"), F.col("url").alias("to"))
+    linked = pages.join(following, "page_id", "left")
+    html = F.replace(F.col("html"), F.lit("<body>"), F.concat(F.lit('<body><a href="'), F.coalesce("to", F.lit("/")), F.lit('">next</a>')))
+    return P.internal_links(P.PageFrame(linked.withColumn("html", html)).balanced().links(), pages)
 
 
 def page_blocks(spark, sf_dir):
@@ -191,6 +195,11 @@ _COUNT = "CAST((length(html) - length(replace(html, '<{0}>', ''))) / (length('{0
 def oracle_sql() -> dict[str, str]:
     host = "regexp_extract(url, '://([^/?#]*)', 1)"
     language = "regexp_extract(html, '<html lang=\"([a-z]+)\"', 1)"
+    # blocks of the article's text as lines, their white space run together
+    said = "list_transform(regexp_split_to_array(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '</?(?:p|h1)>'), lambda x: {})".format(
+        "trim(regexp_replace({}, '\\s+', ' ', 'g'))".format(_TEXT.format("regexp_replace(x, '<[^>]*>', ' ', 'g')"))
+    )
+    lines = f"array_to_string(list_filter({said}, lambda x: x <> ''), chr(10))"
     counts = ", ".join(f"{_COUNT.format(t)} AS n_{t}" for t in ("p", "li", "nav", "article", "footer"))
     return {
         "raw_titles": f"SELECT page_id, {_TEXT.format("regexp_extract(html, '<title>([^<]*)</title>', 1)")} AS title FROM pages",
@@ -203,6 +212,11 @@ def oracle_sql() -> dict[str, str]:
             SELECT page_id, CAST(unnest(range(len(t))) AS INTEGER) AS ord, {_TEXT.format('unnest(t)')} AS text FROM l""",
         "link_hosts": f"""WITH l AS (SELECT page_id, {host} AS host, len(regexp_extract_all(html, '<a href="/')) AS n FROM pages)
             SELECT host, CAST(sum(n) AS BIGINT) AS n_links, count(DISTINCT page_id) AS n_pages FROM l WHERE n > 0 GROUP BY host""",
+        "extract_content_root": f"SELECT page_id, {lines} AS text, CASE WHEN {lines} = '' THEN 'NoContent' END AS error_kind FROM pages",
+        "internal_links": """WITH p AS (SELECT page_id, url, regexp_replace(url, '#.*$', '') AS bare FROM pages)
+            SELECT a.page_id, CAST(0 AS INTEGER) AS ord, c.page_id AS target_id FROM p a JOIN p b ON b.page_id = a.page_id + 1 JOIN p c ON c.bare = b.bare""",
+        "duplicate_texts": f"""WITH t AS (SELECT page_id, {lines} AS t FROM pages), f AS (SELECT page_id, min(page_id) OVER (PARTITION BY t) AS first_id FROM t WHERE t <> '')
+            SELECT page_id, first_id FROM f WHERE page_id > first_id""",
         "over_budget": "SELECT page_id, 'ResourceLimit' AS kind, 'input_bytes' AS resource, CAST(4096 AS BIGINT) AS \"limit\" FROM pages WHERE octet_length(encode(html)) > 4096",
         "within_budget": "SELECT page_id, octet_length(encode(html)) AS bytes FROM pages WHERE octet_length(encode(html)) <= 4096",
         "decoded_bytes": "SELECT page_id, length(html) AS n_chars, md5(html) AS html_md5 FROM pages",

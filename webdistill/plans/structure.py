@@ -173,10 +173,49 @@ def tape_faults(spark, sf_dir):
     return pages.join(faults, "page_id", "left").select("page_id", "n_operations", "n_opening", "n_closing", F.coalesce("n", F.lit(0)).cast("long").alias("n_faults"))
 
 
+def _below_heading(html: Column) -> Column:
+    return F.replace(F.col("html"), F.lit("</h1>"), F.concat(F.lit("</h1>"), html))
+
+
+def line_numbers(spark, sf_dir):
+    """Code with a column of numbers beside it: the code alone is kept."""
+    code = F.concat(F.lit("<table class=highlight><tr><td class=gutter><pre>1\n2\n3</pre></td><td><pre>x = "), F.col("page_id").cast("string"), F.lit("\n  y\nz</pre></td></tr></table>"))
+    return _rewritten(_table(spark, sf_dir), _below_heading(code)).blocks().where("op = 'CodeBlock'").select("page_id", "text")
+
+
+def contents_lists(spark, sf_dir):
+    """A list of the page's own parts goes, the parts stay."""
+    parts = F.lit("<div class=toc><ul><li><a href='#a'>First part</a><li><a href='#b'>Second part</a></ul></div><h2 id=a>First part</h2><p>Some words of the first part of it.</p><h2 id=b>Second part</h2>")
+    ops = _rewritten(_table(spark, sf_dir), _below_heading(parts)).blocks().where("NOT close")
+    return ops.groupBy("page_id").agg(F.count_if((F.col("op") == "Link") & F.startswith("href", F.lit("#"))).alias("n_links"), F.count_if(F.col("op") == "Heading").alias("n_headings"))
+
+
+def screen_views(spark, sf_dir):
+    """Of a table and its list for narrow screens the table stays."""
+    rows = [("Alpha", "one"), ("Beta", "two"), ("Gamma", "three")]
+    table = "".join(f"<tr><td>{a}<td>{b}</tr>" for a, b in rows)
+    cards = "".join(f"<li>{a}: {b}</li>" for a, b in rows)
+    both = F.lit(f"<div class='md:hidden'><ul>{cards}</ul></div><div class='hidden md:block'><table><tr><th>Name<th>Value</tr>{table}</table></div>")
+    ops = _rewritten(_table(spark, sf_dir), _below_heading(both)).blocks().where("NOT close")
+    return ops.groupBy("page_id").agg(F.count_if(F.col("op") == "Table").alias("n_tables"), F.count_if(F.col("op") == "List").alias("n_lists"))
+
+
+def forum_threads(spark, sf_dir):
+    """Pages made into a question with replies, one of them twice: their kind and how deep quotes go."""
+    reply = lambda i, who, inside="": f"<div class=comment data-shortid={i}><a class=author>{who}</a><div class=comment_text><p>Reply {i} by {who}.</p></div>{inside}</div>"
+    replies = reply("a", "ann", reply("b", "bob", reply("c", "cy"))) + reply("d", "di") + reply("d", "di")
+    html = F.regexp_replace(F.col("html"), _ARTICLE, f"$1<article class=h-entry><div class=e-content>$2</div></article>{replies}$3")
+    html = F.replace(F.replace(html, F.lit("<h1>"), F.lit("</div><h1 class=u-url>")), F.lit("</h1>"), F.lit("</h1><div class=e-content>"))
+    pages = _rewritten(_table(spark, sf_dir), html)
+    quotes = pages.blocks().where("op = 'BlockQuote'").groupBy("page_id").agg(F.count_if(~F.col("close")).alias("n_quotes"))
+    return pages.extract().select("page_id", "page.kind").join(quotes, "page_id").select("page_id", "kind", "n_quotes")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         structured_agreement, structured_roots, page_items, page_items_kernel, json_duplicates, streamed_segments, streamed_places, shell_pages, ordered_lists, aria_headings,
         written_dates, semantic_standing, edge_elements, semantic_coverage, tape_faults,
+        line_numbers, contents_lists, screen_views, forum_threads,
     )
     return {f.__name__: f for f in found}
 
@@ -205,6 +244,10 @@ def oracle_sql() -> dict[str, str]:
         "streamed_places": "SELECT page_id, '0' AS key, 'B' AS place_kind, page_id % 3 <> 0 AS filled FROM pages",
         "written_dates": """WITH d AS (SELECT page_id, DATE '2020-01-01' + CAST(page_id % 1000 AS INTEGER) AS d FROM pages)
             SELECT page_id, strftime(d, '%B %-d, %Y') AS published_time, strftime(d + 30, '%B %-d, %Y') AS modified_time FROM d""",
+        "line_numbers": "SELECT page_id, 'x = ' || page_id || chr(10) || '  y' || chr(10) || 'z' AS text FROM pages",
+        "contents_lists": "SELECT page_id, CAST(0 AS BIGINT) AS n_links, CAST(2 AS BIGINT) AS n_headings FROM pages",
+        "screen_views": "SELECT page_id, CAST(1 AS BIGINT) AS n_tables, CAST(0 AS BIGINT) AS n_lists FROM pages",
+        "forum_threads": "SELECT page_id, 'Discussion' AS kind, CAST(4 AS BIGINT) AS n_quotes FROM pages",
         "ordered_lists": "SELECT page_id, len(regexp_extract_all(html, '<li>')) AS n_items, CAST(3 AS BIGINT) AS start FROM pages WHERE contains(html, '<li>')",
         "aria_headings": "SELECT page_id, len(regexp_extract_all(html, '<h1>')) AS n_h1, CAST(0 AS BIGINT) AS n_raw_h1 FROM pages",
         "semantic_standing": f"SELECT page_id, 'article' AS tag, false AS under, CAST(1 AS INTEGER) AS within FROM pages WHERE {host} IS NOT NULL",
