@@ -106,7 +106,7 @@ def test_vectors_hold_every_term_of_whole_texts():
     df = Counter(t for x in texts for w in set(toxicity.tokens(x)) for t in toxicity.terms_of(w))
     terms = sorted(t for t, n in df.items() if n >= 3)
     number = {t: i for i, t in enumerate(terms)}
-    model = toxicity.Model(toxicity.Vocabulary(terms), np.arange(1.0, len(terms) + 1), [], [], None, 5, 0.0, (np.zeros(0), np.zeros(0)))
+    model = toxicity.Model(toxicity.Vocabulary(terms), np.arange(1.0, len(terms) + 1), [], [], [], None, 5, 0.0, (np.zeros(0), np.zeros(0)))
     for text, (got, x) in zip(texts, model.vectors(texts), strict=True):
         tf = Counter(number[t] for w in toxicity.tokens(text) for t in toxicity.terms_of(w) if t in number)
         want = toxicity.unit({t: (1 + np.log(n)) * (t + 1.0) for t, n in sorted(tf.items())})
@@ -126,7 +126,7 @@ def test_scores_against_brute_force(spark):
     got = {x.doc_id: x for x in toxicity.score(docs, model).collect()}
     for i, text in rows[::3]:
         q = dict(zip(*(a.tolist() for a in model.vector(text)), strict=True))
-        cosines = [(-round(sum(w * v.get(t, 0.0) for t, w in q.items()), 6), j) for j, v in enumerate(vectors) if model.example_ids[j] != i]
+        cosines = [(-round(sum(w * v.get(t, 0.0) for t, w in q.items()), 6), j) for j, v in enumerate(vectors) if texts[model.example_ids[j]] != text]
         near = [(-c, j) for c, j in sorted(cosines)[: model.k] if c < -1e-6]
         weight = [1 / (np.sqrt(max(0, 2 - 2 * c)) + 0.1) for c, _ in near]
         vote = sum(w * model.labels[j] for w, (_, j) in zip(weight, near, strict=True)) / sum(weight)
@@ -140,3 +140,19 @@ def test_index_is_exact_where_bounds_are_used(monkeypatch):
     monkeypatch.setattr(toxicity.BlockMaxIndex, "WORTH", 0)
     test_index_is_exact()
     test_index_is_exact_with_common_and_rare_terms()
+
+
+def test_ids_have_no_say(spark):
+    """Equal texts have equal scores under any id, those of examples too; so do all texts when ids change places."""
+    r = np.random.default_rng(4)
+    word = lambda: "".join(r.choice(list("aeioutn"), r.integers(2, 6)))
+    rows = [(i, " ".join([word() for _ in range(r.integers(8, 40))] + ["grumble"] * (i % 5 == 0))) for i in range(300)]
+    rows += [(1000 + i, t.upper() if i % 2 else t) for i, t in rows[:60]]  # copies that aren't labelled
+    schema = "doc_id long, text string"
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(300)], "doc_id long, toxic int")
+    model = toxicity.fit(spark.createDataFrame(rows, schema), labels, ~toxicity.held_out(F.col("doc_id")), least_df=2)
+    assert model.example_keys == sorted(model.example_keys) and len(model.example_ids) > 150
+    own = {x.doc_id: x.score for x in toxicity.score(spark.createDataFrame(rows, schema), model).collect()}
+    assert all(own[1000 + i] == own[i] for i in range(60))
+    moved = {x.doc_id: x.score for x in toxicity.score(spark.createDataFrame([(5000 - i, t) for i, t in rows], schema), model).collect()}
+    assert moved == {5000 - i: x for i, x in own.items()}

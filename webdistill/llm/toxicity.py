@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -378,6 +380,16 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
     return xs, np.maximum.accumulate(ys) if len(ys) else ys
 
 
+def sliced(batches: Iterable[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """Batches of at most so many rows, so that few texts lie in a worker as Python's own objects at a time."""
+    return (batch.slice(at, rows) for batch in batches for at in range(0, batch.num_rows, rows))
+
+
+def text_key(text: str | None) -> int:
+    """The same for texts that differ in case at most: 64 bits of a digest."""
+    return int.from_bytes(hashlib.blake2b((text or "").lower().encode("utf-8", "surrogatepass"), digest_size=8).digest(), signed=True)
+
+
 @dataclass
 class Model:
     """What ``fit`` learns: an index of at most ``limit`` examples and the vocabulary of their texts, whatever the corpus."""
@@ -385,12 +397,12 @@ class Model:
     terms: Vocabulary
     weights: np.ndarray
     example_ids: list
+    example_keys: list[int]  # of equal texts equal, in order
     labels: list[int]
     sent: Broadcast | None
     k: int
     none_rate: float
     knots: tuple[np.ndarray, np.ndarray]
-    own: dict | None = None
 
     @property
     def index(self) -> BlockMaxIndex | None:
@@ -398,7 +410,7 @@ class Model:
         return self.sent.value if self.sent else None
 
     def __getstate__(self):
-        return self.__dict__ | {"own": None, "sent": None}
+        return self.__dict__ | {"sent": None}
 
     def vectors(self, texts: list[str | None]) -> list[Vector]:
         """Unit TF-IDF vectors over the model's terms: (1 + log tf) * weight. Texts are taken some at a time, each whole."""
@@ -429,17 +441,15 @@ class Model:
     def vector(self, text: str | None) -> Vector:
         return self.vectors([text])[0]
 
-    def examples_of(self, doc_id) -> tuple[int, int]:
-        """From which to before which example an id's own ones are; examples are in the order of their ids."""
-        if self.own is None:
-            self.own = {}
-            for i, d in enumerate(self.example_ids):
-                self.own[d] = (self.own.get(d, (i, i))[0], i + 1)
-        return self.own.get(doc_id, (0, 0))
+    def examples_of(self, text: str | None) -> tuple[int, int]:
+        """From which to before which example those of an equal text are."""
+        key = text_key(text)
+        return bisect_left(self.example_keys, key), bisect_right(self.example_keys, key)
 
-    def votes(self, vectors: list[Vector], ids: list | None = None) -> Iterator[tuple[float, np.ndarray, np.ndarray]]:
+    def votes(self, vectors: list[Vector], texts: list[str | None]) -> Iterator[tuple[float, np.ndarray, np.ndarray]]:
         """Of each vector the share of label 1 among the nearest examples, each weighing the inverse of its distance; the
-        examples and cosines. With ``ids``, a document's own examples are left out: its label has no say in its vote."""
+        examples and cosines. Examples of an equal text are left out: a document's own label has no say in its vote, and equal
+        texts have equal votes whatever their ids."""
         classes, none = np.array(self.labels), (self.none_rate, np.zeros(0, dtype=np.int64), np.zeros(0))
         for start in range(0, len(vectors), 1024):
             part, out, index = vectors[start : start + 1024], {}, self.index
@@ -447,7 +457,7 @@ class Model:
             for at in range(0, len(by_group), 256):
                 batch = by_group[at : at + 256]
                 for j, (i, head) in enumerate(zip(batch, index.heads([part[i] for i in batch]), strict=True)):
-                    skip = self.examples_of(ids[start + i]) if ids is not None else -1
+                    skip = self.examples_of(texts[start + i])
                     prune = j % 16 == 0 or index.helped  # not where the last bounds left most blocks
                     found, cosines = index.search(part[i], self.k, skip, head, prune)
                     if len(found):
@@ -455,17 +465,17 @@ class Model:
                         out[i] = float((w * classes[found]).sum() / w.sum()), found, cosines
             yield from (out.get(i, none) for i in range(len(part)))
 
-    def scores(self, texts: list[str | None], ids: list | None = None) -> Iterator[tuple[float, list, list[float]]]:
+    def scores(self, texts: list[str | None]) -> Iterator[tuple[float, list, list[float]]]:
         """Of each text the score, and the nearest examples' ids and cosines."""
         xs, ys = self.knots
-        votes = (v for a in range(0, len(texts), 1024) for v in self.votes(self.vectors(texts[a : a + 1024]), ids and ids[a : a + 1024]))
+        votes = (v for a in range(0, len(texts), 1024) for v in self.votes(self.vectors(texts[a : a + 1024]), texts[a : a + 1024]))
         for vote, found, cosines in votes:
             score = float(np.clip(np.interp(vote, xs, ys) if len(xs) else vote, 0, 1)) if len(found) else self.none_rate
             yield score, [self.example_ids[i] for i in found.tolist()], cosines.tolist()
 
-    def score(self, text: str | None, doc_id=None) -> tuple[float, list, list[float]]:
-        """Of one text; with its id, an example of that id is left out of its neighbours."""
-        return next(self.scores([text], None if doc_id is None else [doc_id]))
+    def score(self, text: str | None) -> tuple[float, list, list[float]]:
+        """Of one text."""
+        return next(self.scores([text]))
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, limit: int = 12_000, least_df: int = 5, k: int = 15, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
@@ -491,7 +501,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, limit: int = 12_000,
         kinds = (0, *STARTS)
         df = {(y, n): Counter() for y in (0, 1) for n in kinds}
         for batch in batches:
-            for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for text, y in ((a.as_py(), b.as_py()) for a, b in zip(batch.column(0), batch.column(1), strict=True)):
                 words = set(tokens(text))
                 for n in kinds:
                     df[y, n].update({w[:n] for w in words if len(w) >= n} if n else words)
@@ -506,7 +516,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, limit: int = 12_000,
     sizes = {r["y"]: r["n"] for r in texts.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
     if not n0 or not n1:
-        return Model(Vocabulary([]), np.zeros(0), [], [], None, k, (n1 + 0.5) / (n0 + n1 + 1) if n0 + n1 else 0.5, (np.zeros(0), np.zeros(0)))
+        return Model(Vocabulary([]), np.zeros(0), [], [], [], None, k, (n1 + 0.5) / (n0 + n1 + 1) if n0 + n1 else 0.5, (np.zeros(0), np.zeros(0)))
     texts = texts.repartition(max(1, min(48, (n0 + n1) // 250)), "doc_id")
     counted = texts.select("text", "y").mapInArrow(count, "term string, n0 long, n1 long").groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).where(F.col("n0") + F.col("n1") >= least_df)
     plus = lambda a, b: F.when(a > 0, a * F.log(a / b)).otherwise(F.lit(0.0))
@@ -518,7 +528,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, limit: int = 12_000,
     every = rate0 * n0 + rate1 * n1
     have0, have1, ratios = (found[c].to_numpy() for c in ("n0", "n1", "r"))
     weights = np.log(1 + every / (rate0 * have0 + rate1 * have1)) * np.sqrt(1 + np.maximum(0, ratios))
-    model = Model(Vocabulary(found["term"].to_pylist()), weights, [], [], None, k, 0.0, (np.zeros(0), np.zeros(0)))
+    model = Model(Vocabulary(found["term"].to_pylist()), weights, [], [], [], None, k, 0.0, (np.zeros(0), np.zeros(0)))
     del found
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)  # bounded by the texts of `limit` examples
@@ -526,18 +536,18 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, limit: int = 12_000,
     def vectors(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             made = shared.value.vectors(f["text"].tolist())
-            yield pd.DataFrame({"doc_id": f["doc_id"], "y": f["y"], "t": [t.astype(np.int32).tobytes() for t, _ in made], "x": [x.astype(np.float32).tobytes() for _, x in made]})
+            yield pd.DataFrame({"doc_id": f["doc_id"], "key": [text_key(t) for t in f["text"]], "y": f["y"], "t": [t.astype(np.int32).tobytes() for t, _ in made], "x": [x.astype(np.float32).tobytes() for _, x in made]})
 
-    examples = texts.mapInPandas(vectors, f"doc_id {kind}, y int, t binary, x binary").toArrow()  # at most `limit`
-    order = pc.sort_indices(examples, [("doc_id", "ascending"), ("t", "ascending")])
-    ids, ys = (examples[c].take(order).to_pylist() for c in ("doc_id", "y"))
+    examples = texts.mapInPandas(vectors, f"doc_id {kind}, key long, y int, t binary, x binary").toArrow()  # at most `limit`
+    order = pc.sort_indices(examples, [("key", "ascending"), ("doc_id", "ascending"), ("t", "ascending")])
+    ids, keys, ys = (examples[c].take(order).to_pylist() for c in ("doc_id", "key", "y"))
     ts, xs = examples["t"].combine_chunks(), examples["x"].combine_chunks()
     del examples
     found = [(np.frombuffer(ts[i].as_buffer(), np.int32), np.frombuffer(xs[i].as_buffer(), np.float32)) for i in order.to_pylist()]
     full = [i for i, (t, _) in enumerate(found) if len(t)]
     none = Counter(y for y, (t, _) in zip(ys, found, strict=True) if not len(t))
     model.none_rate = (rate1 * none[1] + rate1 * n1 / every) / (rate0 * none[0] + rate1 * none[1] + 1)
-    model.example_ids, model.labels = [ids[i] for i in full], [ys[i] for i in full]
+    model.example_ids, model.example_keys, model.labels = [ids[i] for i in full], [keys[i] for i in full], [ys[i] for i in full]
     if full:
         found = [found[i] for i in full]
         del ts, xs
@@ -549,13 +559,14 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, limit: int = 12_000,
             worker.held("toxicity")
             known = learned.value
             known.sent = sent
-            for batch in batches:
-                made = known.vectors(batch.column(1).to_pylist())
+            for batch in sliced(batches):
+                texts_of = batch.column(0).to_pylist()
+                made = known.vectors(texts_of)
                 some = [i for i, (t, _) in enumerate(made) if len(t)]
-                own = [vote for vote, _, _ in known.votes([made[i] for i in some], batch.column(0).take(pa.array(some, pa.int64())).to_pylist())]
-                yield pa.RecordBatch.from_arrays([batch.column(2).take(pa.array(some, pa.int64())), pa.array(own, pa.float64())], ["y", "vote"])
+                own = [vote for vote, _, _ in known.votes([made[i] for i in some], [texts_of[i] for i in some])]
+                yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(some, pa.int64())), pa.array(own, pa.float64())], ["y", "vote"])
 
-        votes = texts.select("doc_id", "text", "y").mapInArrow(without_itself, "y int, vote double").toArrow()
+        votes = texts.select("text", "y").mapInArrow(without_itself, "y int, vote double").toArrow()
         learned.destroy()
         y = votes["y"].to_numpy().astype(float)
         model.knots = isotonic(votes["vote"].to_numpy(), y, np.where(y == 1, rate1, rate0))
@@ -566,7 +577,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, limit: int = 12_000,
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, score, evidence`` of every whole text: the nearest examples' ids and cosines are the evidence.
 
-    A document that is an example itself is left out of its own neighbours, so that its label has no part in its score.
+    Examples whose text equals a document's, case aside, are left out of its neighbours, so that its label has no part in
+    its score; ids have none either.
     Texts without any of the model's terms (null and empty ones too) have the rate of label 1 among such examples, or
     among all where there are none.
     Repeated rows are scored each.
@@ -578,8 +590,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         worker.held("toxicity")
         known = shared.value
         known.sent = sent
-        for batch in batches:
-            found, ids, cosines = list(known.scores(batch.column(1).to_pylist(), batch.column(0).to_pylist())), [], []
+        for batch in sliced(batches):
+            found, ids, cosines = list(known.scores(batch.column(1).to_pylist())), [], []
             ends = [0]
             for _, e, c in found:
                 ids += e
