@@ -677,8 +677,9 @@ def extract(html: str | None, url: str | None = None, options: Options | None =
             hard_cleanup(holder)
             whole = C.measure(compile_content(holder.copy(), base)) if o.diagnostics else None
             chrome_cleanup(holder, stats, holder_chars)
+            if strategy != "BodyFallback":
+                repeats.drop_toc(holder)  # nothing is lost with it, so relaxed strategies drop it too
             if strategy in ("Normal", "StructuredDataHint", "RelaxedVisibility"):
-                repeats.drop_toc(holder)
                 terminal.drop_terminal(holder)
                 clutter_cleanup(holder, stats, holder_chars, kind == "Discussion")
             drop_title(holder, meta["title"])
