@@ -14,13 +14,15 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    It is the session's ``spark.checkpoint.dir``. Only where that is unset (single-machine tests) a temporary
-    folder is made and set.
+    It is the session's ``spark.checkpoint.dir``. Only where that is unset and the master is local (tests) a temporary
+    folder is made and set; a cluster without one is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no shared folder")
         found = "file://" + tempfile.mkdtemp(prefix="webdistill-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
