@@ -74,6 +74,16 @@ def test_addresses():
     assert T.resolve("http://a.com:80/x", "/é") == "http://a.com/%C3%A9"
 
 
+def test_titles_with_separators():
+    assert T.page_title("Harbour, | lights.", None) == "Harbour, | lights." and T.page_title("Alpha beta gamma delta | x", None) == "Alpha beta gamma delta | x"
+    assert T.page_title("Alpha beta > Site", None) == "Site" and T.page_title("A good long title indeed » Site", None) == "A good long title indeed"
+    whole = "Harbours | bridges | ferries | lighthouses."
+    assert T.page_title(whole, whole) == whole and T.page_title(whole, "Other") == "Harbours | bridges | ferries"
+    for title in (whole, "Harbour, | lights."):
+        page = extract(f"<title>{title}</title><body><article><h1>{title}</h1><h2>Part</h2><p>Some words that are long enough to stay, all of them.</p></article>", "http://a.com/x", Options())
+        assert page["metadata"]["title"] == title and page["markdown"].startswith("## Part")
+
+
 def test_titles():
     assert T.page_title("How to bake good bread | Kitchen", None) == "How to bake good bread"
     assert T.page_title("Short", "The only heading") == "The only heading" or T.page_title("Short", None) == "Short"

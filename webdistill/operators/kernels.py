@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import _parse_datatype_string
 
 from webdistill.functions import extract as X
 from webdistill.functions import metadata as M
@@ -18,6 +20,10 @@ from webdistill.functions.parser import Budget, LimitError, parse
 from webdistill.operators import schemas as S
 from webdistill.sources.decode import decode_html
 
+#: Pages, and characters of pages, whose values lie in a worker as Python objects at a time.
+BATCH_ROWS, BATCH_CHARS = 64, 1 << 20
+
+
 def page(html: str | None, url: str | None, options: X.Options) -> dict[str, Any]:
     """A page as a row; what goes wrong is its ``error``."""
     empty = dict.fromkeys(("metadata", "markdown", "html", "text", "metrics", "kind", "diagnostics", "metadata_diagnostics", "structured_data", "error"))
@@ -34,25 +40,37 @@ def page(html: str | None, url: str | None, options: X.Options) -> dict[str, Any
 
 
 def _column(schema: str, function: Callable[..., Any], *columns: Column | str, once: bool = False) -> Column:
-    """A pandas UDF that calls ``function`` for each row; with ``once`` the plan may not repeat it where its fields are used."""
-    struct = schema.startswith("struct<")
+    """An Arrow UDF that calls ``function`` for each row; with ``once`` the plan may not repeat it where its fields are used.
+
+    Values go to Spark as soon as ``BATCH_ROWS`` pages or ``BATCH_CHARS`` characters of them are read, so what a worker
+    holds as Python objects doesn't grow with Spark's batches.
+    """
+    kind = to_arrow_type(_parse_datatype_string(schema))
+
+    def pieces(batch: tuple[pa.Array, ...]) -> Iterator[pa.Array]:
+        made, size = [], 0
+        for row in zip(*batch, strict=True):
+            row = [x.as_py() for x in row]
+            made.append(function(*row))
+            size += len(row[0] or "")
+            if len(made) >= BATCH_ROWS or size >= BATCH_CHARS:
+                yield pa.array(made, kind)
+                made, size = [], 0
+        if made:
+            yield pa.array(made, kind)
 
     if len(columns) == 1:
 
-        def run(a: pd.Series) -> pd.Series:
-            return pd.Series([function(x) for x in a])
-
-        def run_struct(a: pd.Series) -> pd.DataFrame:
-            return pd.DataFrame([function(x) for x in a])
+        def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            for a in batches:
+                yield from pieces((a,))
     else:
 
-        def run(a: pd.Series, b: pd.Series) -> pd.Series:
-            return pd.Series([function(x, y) for x, y in zip(a, b, strict=True)])
-
-        def run_struct(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-            return pd.DataFrame([function(x, y) for x, y in zip(a, b, strict=True)])
+        def run(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+            for batch in batches:
+                yield from pieces(batch)
 
-    made = F.pandas_udf(run_struct if struct else run, schema)
+    made = F.arrow_udf(run, schema)
     return (made.asNondeterministic() if once else made)(*columns)
 
 

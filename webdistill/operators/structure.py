@@ -188,8 +188,8 @@ def semantic_coverage(source: DataFrame, result: DataFrame, id_col: str = "page_
 _BEFORE = {"TableRow": (("Table", False), ("TableRow", True), ("TableCaption", True)), "TableCell": (("TableRow", False), ("TableCell", True)), "ListItem": (("List", False), ("ListItem", True)), "TableCaption": (("Table", False),)}
 
 
-def tape_faults(blocks: DataFrame, id_col: str = "page_id") -> DataFrame:
-    """``id, ord, op, rule`` of operations that break a rule: all that open close again, in order and by their kind; rows, cells and items stand in theirs; levels and addresses are valid.
+def tape_marks(blocks: DataFrame, id_col: str = "page_id") -> DataFrame:
+    """``id, ord, op, close, leaf, rules`` of all operations, with the rules that each breaks: all that open close again, in order and by their kind; rows, cells and items stand in theirs; levels and addresses are valid.
 
     An operation without content stands once and doesn't open. Depth is a running sum; an opening operation and its
     closing one are neighbours among those of one depth.
@@ -216,4 +216,9 @@ def tape_faults(blocks: DataFrame, id_col: str = "page_id") -> DataFrame:
         "Address": (F.coalesce(F.col("href"), F.col("src"), F.lit("#")).rlike("(?i)^\\s*(?:javascript|vbscript|data):")),
     }
     named = F.array_compact(F.array(*(F.when(v, F.lit(k)) for k, v in rules.items())))
-    return rows.select(id_col, "ord", "op", F.explode(named).alias("rule"))
+    return rows.select(id_col, "ord", "op", "close", "leaf", named.alias("rules"))
+
+
+def tape_faults(blocks: DataFrame, id_col: str = "page_id") -> DataFrame:
+    """``id, ord, op, rule`` of operations that break a rule of ``tape_marks``."""
+    return tape_marks(blocks, id_col).select(id_col, "ord", "op", F.explode("rules").alias("rule"))

@@ -167,10 +167,9 @@ def semantic_coverage(spark, sf_dir):
 
 def tape_faults(spark, sf_dir):
     """Operations of each page, how deep they go, and how many break a rule."""
-    blocks = P.PageFrame(_table(spark, sf_dir)).balanced().blocks()
-    faults = S.tape_faults(blocks).groupBy("page_id").agg(F.count("*").alias("n"))
-    pages = blocks.groupBy("page_id").agg(F.count("*").alias("n_operations"), F.count_if(F.col("close")).alias("n_closing"), F.count_if(~F.col("close") & ~F.col("leaf")).alias("n_opening"))
-    return pages.join(faults, "page_id", "left").select("page_id", "n_operations", "n_opening", "n_closing", F.coalesce("n", F.lit(0)).cast("long").alias("n_faults"))
+    marks = S.tape_marks(P.PageFrame(_table(spark, sf_dir)).balanced().blocks())
+    counts = {"n_operations": F.count("*"), "n_opening": F.count_if(~F.col("close") & ~F.col("leaf")), "n_closing": F.count_if(F.col("close")), "n_faults": F.sum(F.size("rules")).cast("long")}
+    return marks.groupBy("page_id").agg(*(v.alias(k) for k, v in counts.items()))
 
 
 def _below_heading(html: Column) -> Column:
