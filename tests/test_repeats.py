@@ -141,3 +141,12 @@ def test_roots_that_are_notices():
     assert sum(a["accepted"] for a in attempts) == 1
     with pytest.raises(PageError):
         extract("<body><div>12 345 67</div>", "http://a.com/")
+
+
+def test_prose_may_say_the_same_again():
+    again = "<p>The very same paragraph stands here, and is said in full each time.</p>"
+    made = md(again + p(3) + again)
+    assert made.count("The very same paragraph") == 2
+    listed = "<ul><li>The first of the items of this list</li><li>The second of the items of it</li></ul>"
+    assert md(listed + p(3) + listed).count("The first of the items") == 2
+    assert md(f"<div>{again}</div>{p(3)}<div>{again}</div>").count("The very same paragraph") == 1
