@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -134,3 +135,25 @@ def test_visible_text_and_order(spark):
     assert row.t.split() == ["A", "b", "c", "*", "d", "e", "f"]
     assert evaluate.order_kept("a b c d", "a x c b d") == 0.75 and evaluate.order_kept("", "a") == 1.0
     assert evaluate.retained_order(spark.createDataFrame([(1, "a b", "a b")], "page_id long, result string, reference string")).first().order_kept == 1.0
+
+
+def test_columns_keep_few_pages_at_a_time(spark, monkeypatch):
+    """What a column makes of pages leaves the worker in pieces, whatever Spark's batches hold; long pages go sooner."""
+    from webdistill.operators import kernels as K
+
+    found = {}
+    monkeypatch.setattr(K.F, "arrow_udf", lambda run, schema: found.setdefault("run", run) and (lambda *columns: None))
+    K._column("array<struct<n int, m map<string,string>>>", lambda h: [{"n": len(h or ""), "m": {"a": "b"}}], "html")
+    texts = ["x"] * (2 * K.BATCH_ROWS + 1) + ["y" * K.BATCH_CHARS] * 3 + [None]
+    taken = []
+    pieces = found["run"](taken.append(len(a)) or a for a in [pa.array(texts), pa.array([], pa.string())])
+    assert len(next(pieces)) == K.BATCH_ROWS and taken == [len(texts)]
+    sizes = [len(x) for x in pieces]
+    assert K.BATCH_ROWS + sum(sizes) == len(texts) and max(sizes) <= K.BATCH_ROWS and sizes[-3:] == [1, 1, 1]
+
+
+def test_pieces_stay_with_their_rows(spark):
+    rows = frame(spark, [(i, "http://a.com", None if i % 7 == 0 else "<p>" * (i % 5) + f"text {i}") for i in range(500)]).coalesce(1)
+    got = P.PageFrame(rows).texts_in("p").where("trim(text) <> ''").collect()
+    assert {r.page_id: r.text for r in got} == {i: f"text {i}" for i in range(500) if i % 7 and i % 5}
+    assert rows.select("page_id", P.K.page_nodes("html").alias("n"), P.K.page_links("html", "url").alias("l")).where("size(n) > 0 AND size(l) = 0").count() == 500
