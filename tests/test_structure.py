@@ -412,6 +412,14 @@ def test_tapes(spark):
     assert T.tape_faults(spark, SF).agg(F.sum("n_faults"), F.sum(F.col("n_opening") - F.col("n_closing")), F.min("n_operations")).first()[:2] == (0, 0)
 
 
+def test_tape_query_reads_pages_once(spark):
+    plan = T.tape_faults(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "Join" not in plan
+    blocks = frame(spark, [("http://a.com/", STRUCTURED)]).blocks().where("NOT (op = 'TableRow')")
+    marks = S.tape_marks(blocks)
+    assert marks.count() == blocks.count() and marks.agg(F.sum(F.size("rules"))).first()[0] == S.tape_faults(blocks).count() > 0
+
+
 def test_odd_rows(spark):
     """Nulls, empty and broken pages give rows of nothing, and no error."""
     f = frame(spark, [(None, None), ("x", ""), ("http://a.com/", "<script type='application/ld+json'>{"), ("http://a.com/", "</p><template id='B:0'>")])
