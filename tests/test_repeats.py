@@ -145,6 +145,7 @@ def test_roots_that_are_notices():
 
 def test_prose_may_say_the_same_again():
     again = "<p>The very same paragraph stands here, and is said in full each time.</p>"
+    md = lambda inside: extract(f"<title>T</title><article><h1>Own title of it</h1>{p(1)}{inside}{p(2)}</article>", "http://a.com/x", Options(repeats=True))["markdown"]
     made = md(again + p(3) + again)
     assert made.count("The very same paragraph") == 2
     listed = "<ul><li>The first of the items of this list</li><li>The second of the items of it</li></ul>"
