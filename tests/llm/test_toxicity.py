@@ -1,5 +1,7 @@
 """Op 5: the index against brute force, held-out accuracy and corner cases."""
 
+import pickle
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -156,3 +158,28 @@ def test_ids_have_no_say(spark):
     assert all(own[1000 + i] == own[i] for i in range(60))
     moved = {x.doc_id: x.score for x in toxicity.score(spark.createDataFrame([(5000 - i, t) for i, t in rows], schema), model).collect()}
     assert moved == {5000 - i: x for i, x in own.items()}
+
+
+def test_index_of_files_takes_little_memory(tmp_path):
+    draw = np.random.default_rng(7)
+    found = [np.unique((20_000 * draw.random(700) ** 3).astype(np.int32)) for _ in range(4_000)]
+    sizes = np.array([len(t) for t in found])
+    weights = draw.random(sizes.sum()).astype(np.float32)
+    np.concatenate(found).tofile(tmp_path / "terms")
+    weights.tofile(tmp_path / "weights")
+    terms, xs = (np.asarray(np.memmap(tmp_path / name, kind, "r")) for name, kind in (("terms", np.int32), ("weights", np.float32)))
+    tracemalloc.start()
+    index = toxicity.BlockMaxIndex.of(np.cumsum(sizes) - sizes, sizes, terms, xs, 20_000)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 24 * len(terms)  # whole arrays of terms, ids, weights and postings took over 40 bytes each
+    ends = np.cumsum(sizes)[:-1]
+    whole = toxicity.BlockMaxIndex([*zip(found, np.split(weights, ends), strict=True)], 20_000)
+    index, whole = pickle.loads(pickle.dumps(index)).prepare(), whole.prepare()
+    assert np.array_equal(index.posts, whole.posts) and np.array_equal(index.ends, whole.ends)
+    assert all(np.array_equal(a, b) for a, b in zip(index.tables, whole.tables, strict=True))
+    for at in (0, 1_234, 3_999):
+        query = found[at], np.split(weights, ends)[at].astype(float)
+        scores = {i: float(weights_of[np.isin(t, query[0])].astype(float) @ query[1][np.isin(query[0], t)]) for i, (t, weights_of) in enumerate(zip(found, np.split(weights, ends), strict=True))}
+        best = sorted(scores.values(), reverse=True)[:5]
+        assert np.allclose(np.sort(index.search(query, 5)[1])[::-1], best, atol=1e-3)

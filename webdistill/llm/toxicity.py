@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import tempfile
 from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -14,7 +15,6 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -57,6 +57,22 @@ def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(sizes.sum()) + np.repeat(starts - np.cumsum(sizes) + sizes, sizes)
 
 
+def _pieces(sizes: np.ndarray, most: int = 1 << 18) -> Iterator[tuple[int, int]]:
+    """From which to before which vector, so that a piece has one vector or at most ``most`` postings."""
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    a = 0
+    while a < len(sizes):
+        b = max(a + 1, int(np.searchsorted(ends, ends[a] + most, "right")) - 1)
+        yield a, b
+        a = b
+
+
+def _room(n: int, kind: type) -> np.ndarray:
+    """An array in a temporary file of its own, for what is passed on but shouldn't stay in memory."""
+    with tempfile.TemporaryFile() as file:
+        return np.asarray(np.memmap(file, kind, "w+", shape=n)) if n else np.zeros(0, dtype=kind)
+
+
 class BlockMaxIndex:
     """Postings of unit vectors by term in blocks of examples, with each block's largest weight of each term.
 
@@ -77,60 +93,73 @@ class BlockMaxIndex:
     FREQUENT = 256
     WORTH = 4
 
-    def __init__(self, vectors: list[dict[int, float] | Vector], n_terms: int, take: bool = False):
+    def __init__(self, vectors: list[dict[int, float] | Vector], n_terms: int):
         found = [arrays(v) for v in vectors]
-        sizes = np.array([len(t) for t, _ in found], dtype=np.int64)
         terms = np.concatenate([t for t, _ in found] or [np.zeros(0)]).astype(np.int32, copy=False)
         xs = np.concatenate([x for _, x in found] or [np.zeros(0)]).astype(np.float32, copy=False)
-        if take:  # the index is large, and so are they
-            vectors.clear()
-        del found
+        sizes = np.array([len(t) for t, _ in found], dtype=np.int64)
+        self._build(np.cumsum(sizes) - sizes, sizes, terms, xs, n_terms)
+
+    @classmethod
+    def of(cls, starts: np.ndarray, sizes: np.ndarray, terms: np.ndarray, xs: np.ndarray, n_terms: int) -> BlockMaxIndex:
+        """From all terms and weights, and where each vector's start and how many they are. Terms and weights may lie in
+        files: they are read a piece at a time."""
+        self = cls.__new__(cls)
+        self._build(starts, sizes, terms, xs, n_terms)
+        return self
+
+    def _build(self, starts: np.ndarray, sizes: np.ndarray, terms: np.ndarray, xs: np.ndarray, n_terms: int) -> None:
         self.n, self.blocks = len(sizes), max(1, -(-len(sizes) // BLOCK))
-        ids = np.repeat(np.arange(self.n, dtype=np.int32), sizes)
-        group = self._grouped(terms, ids, xs, n_terms)
+        group = self._grouped(starts, sizes, terms, xs, n_terms)
         self.order = np.argsort(group, kind="stable")  # the example in each place
         self.place = np.empty(self.n, dtype=np.int64)
         self.place[self.order] = np.arange(self.n)
         members = np.bincount(group, minlength=len(self.centres))
         self.bounds = np.concatenate([[0], np.cumsum(members)])
+        df = np.zeros((len(members), n_terms), dtype=np.int64)
+        for a, b in _pieces(sizes):
+            of, piece = np.repeat(group[a:b], sizes[a:b]), terms[_ranges(starts[a:b], sizes[a:b])]
+            for g in np.unique(of).tolist():
+                df[g] += np.bincount(piece[of == g], minlength=n_terms)
         self.row = np.full((len(members), n_terms), -1, dtype=np.int32)
-        dense = np.zeros(len(terms), dtype=bool)
-        of = group.astype(np.int8)[ids]
         for g, n in enumerate(members):
-            df = np.bincount(terms[of == g], minlength=n_terms)
-            common = np.flatnonzero((df * self.COMMON > n) & (df >= 8))
+            common = np.flatnonzero((df[g] * self.COMMON > n) & (df[g] >= 8))
             self.row[g, common] = np.arange(len(common))
-            dense |= (of == g) & (self.row[g][terms] >= 0)
-        rows = self.row[of[dense], terms[dense]]
-        del of
-        terms = terms[~dense]
-        made = []
-        for some in (dense, ~dense):
-            posts = self.place[ids[some]]
-            posts <<= 32
-            posts |= xs[some].view(np.uint32)
-            made.append(posts)
-        self.common, posts = (rows, made[0]), made[1]
-        del ids, xs, dense, made
-        order = np.argsort(terms, kind="stable")  # places ascend within a term once sorted by them
-        terms, posts = terms[order], posts[order]
-        self.ends = np.concatenate([[0], np.cumsum(np.bincount(terms, minlength=n_terms))])
-        del terms, order
-        for a, b in zip(self.ends[:-1].tolist(), self.ends[1:].tolist(), strict=True):
-            if b - a > 1:
-                posts[a:b].sort()
-        self.posts = posts
+        self.ends = np.concatenate([[0], np.cumsum(np.where(self.row < 0, df, 0).sum(axis=0))])
+        n_common = int(df.sum() - self.ends[-1])
+        del df
+        self.posts = _room(int(self.ends[-1]), np.int64)
+        self.common = _room(n_common, np.int32), _room(n_common, np.int64)
+        free, taken = self.ends[:-1].copy(), 0
+        for a, b in _pieces(sizes[self.order]):  # in order of places, so they ascend within a term
+            own = self.order[a:b]
+            at = _ranges(starts[own], sizes[own])
+            piece, posts = terms[at], np.repeat(np.arange(a, b), sizes[own]) << 32
+            posts |= xs[at].view(np.uint32)
+            rows = self.row[np.repeat(group[own], sizes[own]), piece]
+            dense = rows >= 0
+            more = taken + np.count_nonzero(dense)
+            self.common[0][taken:more], self.common[1][taken:more], taken = rows[dense], posts[dense], more
+            piece, posts = piece[~dense], posts[~dense]
+            order = np.argsort(piece, kind="stable")
+            seen, n = np.unique(piece, return_counts=True)
+            self.posts[_ranges(free[seen], n)] = posts[order]
+            free[seen] += n
         self.lists = None
 
-    def _grouped(self, terms: np.ndarray, ids: np.ndarray, xs: np.ndarray, n_terms: int) -> np.ndarray:
+    def _grouped(self, starts: np.ndarray, sizes: np.ndarray, terms: np.ndarray, xs: np.ndarray, n_terms: int) -> np.ndarray:
         """A group for each example by its weights of the ``FREQUENT`` most frequent terms: spherical k-means from seeds far apart."""
-        df = np.bincount(terms, minlength=n_terms)
+        df = np.zeros(n_terms, dtype=np.int64)
+        for a, b in _pieces(sizes):
+            df += np.bincount(terms[_ranges(starts[a:b], sizes[a:b])], minlength=n_terms)
         top = np.argsort(-df, kind="stable")[: self.FREQUENT]
         self.column = np.full(n_terms, -1, dtype=np.int32)
         self.column[top] = np.arange(len(top))
-        at = self.column[terms]
         x = np.zeros((self.n, len(top)), dtype=np.float32)
-        x[ids[at >= 0], at[at >= 0]] = xs[at >= 0]
+        for a, b in _pieces(sizes):
+            own = _ranges(starts[a:b], sizes[a:b])
+            at = self.column[terms[own]]
+            x[np.repeat(np.arange(a, b), sizes[a:b])[at >= 0], at[at >= 0]] = xs[own[at >= 0]]
         x /= np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-9)
         full, draw = np.flatnonzero(x.any(axis=1)), np.random.default_rng(0)
         centres = x[full[:1]] if len(full) else np.zeros((1, len(top)), dtype=np.float32)
@@ -512,7 +541,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, limit: int = 12_000,
                 names = pa.array([f"^{t}" for t in part] if n else part, pa.string())
                 yield pa.RecordBatch.from_arrays([names, *(pa.array([df[y, n][t] for t in part], pa.int64()) for y in (0, 1))], ["term", "n0", "n1"])
 
-    texts = common.save(texts.select("doc_id", "text", "y"), "toxicity-examples")  # read once
+    texts = saved = common.save(texts.select("doc_id", "text", "y"), "toxicity-examples")  # read once
     sizes = {r["y"]: r["n"] for r in texts.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
     if not n0 or not n1:
@@ -539,21 +568,30 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, limit: int = 12_000,
             made = shared.value.vectors(f["text"].tolist())
             yield pd.DataFrame({"doc_id": f["doc_id"], "key": [text_key(t) for t in f["text"]], "y": f["y"], "t": [t.astype(np.int32).tobytes() for t, _ in made], "x": [x.astype(np.float32).tobytes() for _, x in made]})
 
-    examples = texts.mapInPandas(vectors, f"doc_id {kind}, key long, y int, t binary, x binary").toArrow()  # at most `limit`
-    order = pc.sort_indices(examples, [("key", "ascending"), ("doc_id", "ascending"), ("t", "ascending")])
-    ids, keys, ys = (examples[c].take(order).to_pylist() for c in ("doc_id", "key", "y"))
-    ts, xs = examples["t"].combine_chunks(), examples["x"].combine_chunks()
-    del examples
-    found = [(np.frombuffer(ts[i].as_buffer(), np.int32), np.frombuffer(xs[i].as_buffer(), np.float32)) for i in order.to_pylist()]
-    full = [i for i, (t, _) in enumerate(found) if len(t)]
-    none = Counter(y for y, (t, _) in zip(ys, found, strict=True) if not len(t))
-    model.none_rate = (rate1 * none[1] + rate1 * n1 / every) / (rate0 * none[0] + rate1 * none[1] + 1)
-    model.example_ids, model.example_keys, model.labels = [ids[i] for i in full], [keys[i] for i in full], [ys[i] for i in full]
-    if full:
-        found = [found[i] for i in full]
-        del ts, xs
-        model.sent = spark.sparkContext.broadcast(BlockMaxIndex(found, len(weights), take=True))
-        pa.default_memory_pool().release_unused()
+    examples = common.save(texts.mapInPandas(vectors, f"doc_id {kind}, key long, y int, t binary, x binary"), "toxicity-vectors")
+    sizes, rows_of, none = [], [], Counter()
+    with tempfile.TemporaryFile() as ts, tempfile.TemporaryFile() as xs:  # at most `limit` vectors, a part at a time
+        for row in examples.toLocalIterator():
+            if not len(row["t"]):
+                none[row["y"]] += 1
+                continue
+            ts.write(row["t"])
+            xs.write(row["x"])
+            rows_of.append((row["key"], row["doc_id"], row["y"]))
+            sizes.append(len(row["t"]) // 4)
+        common.drop(spark, examples)
+        model.none_rate = (rate1 * none[1] + rate1 * n1 / every) / (rate0 * none[0] + rate1 * none[1] + 1)
+        if sizes:
+            ts.flush()
+            xs.flush()
+            order = sorted(range(len(sizes)), key=rows_of.__getitem__)
+            model.example_keys, model.example_ids, model.labels = ([rows_of[i][k] for i in order] for k in range(3))
+            made = (np.asarray(np.memmap(f, kind_of, "r")) for f, kind_of in ((ts, np.int32), (xs, np.float32)))
+            index = BlockMaxIndex.of((np.cumsum(sizes) - sizes)[order], np.array(sizes)[order], *made, len(weights))
+    if sizes:
+        model.sent = spark.sparkContext.broadcast(index)
+        del index
+        worker.give_back()
         learned, sent = spark.sparkContext.broadcast(model), model.sent
 
         def without_itself(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -572,6 +610,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, limit: int = 12_000,
         y = votes["y"].to_numpy().astype(float)
         model.knots = isotonic(votes["vote"].to_numpy(), y, np.where(y == 1, rate1, rate0))
     shared.destroy()
+    common.drop(spark, saved)
     return model
 
 
