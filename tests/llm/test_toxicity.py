@@ -8,7 +8,7 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import functions as F
 
-from webdistill.llm import toxicity
+from webdistill.llm import toxicity, worker
 
 
 def test_index_is_exact():
@@ -183,3 +183,9 @@ def test_index_of_files_takes_little_memory(tmp_path):
         scores = {i: float(weights_of[np.isin(t, query[0])].astype(float) @ query[1][np.isin(query[0], t)]) for i, (t, weights_of) in enumerate(zip(found, np.split(weights, ends), strict=True))}
         best = sorted(scores.values(), reverse=True)[:5]
         assert np.allclose(np.sort(index.search(query, 5)[1])[::-1], best, atol=1e-3)
+
+
+def test_task_gives_memory_back_at_its_end(monkeypatch):
+    seen = []
+    monkeypatch.setattr(worker, "give_back", lambda: seen.append("back"))
+    assert [*worker.trimmed(seen.append(i) or i for i in range(2))] == [0, 1] and seen == [0, 1, "back"]

@@ -145,7 +145,7 @@ class BlockMaxIndex:
             seen, n = np.unique(piece, return_counts=True)
             self.posts[_ranges(free[seen], n)] = posts[order]
             free[seen] += n
-        self.lists = None
+        self.tables = None
 
     def _grouped(self, starts: np.ndarray, sizes: np.ndarray, terms: np.ndarray, xs: np.ndarray, n_terms: int) -> np.ndarray:
         """A group for each example by its weights of the ``FREQUENT`` most frequent terms: spherical k-means from seeds far apart."""
@@ -181,13 +181,13 @@ class BlockMaxIndex:
         return int(np.argmax(self.centres[:, at[at >= 0]] @ query[1][at >= 0]))
 
     def __getstate__(self):
-        if self.lists is not None:
+        if self.tables is not None:
             raise ValueError("an index is sent before it is prepared")
         return self.__dict__
 
     def prepare(self) -> BlockMaxIndex:
-        """Weights of common terms by group, lists by term, and each block's largest weights."""
-        if self.lists is None:
+        """Weights of common terms by group, and each block's largest weights."""
+        if self.tables is None:
             row, posts = self.common
             self.tables = []
             for g, (a, b) in enumerate(zip(self.bounds[:-1].tolist(), self.bounds[1:].tolist(), strict=True)):
@@ -197,8 +197,6 @@ class BlockMaxIndex:
                 self.tables.append(table)
             self.common = None
             self.sizes = np.diff(self.ends)
-            ends = self.ends.tolist()
-            self.lists = [self.posts[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
             self.runs = None
             if self._n_runs() * self.WORTH <= len(self.posts):
                 self._bounds()
@@ -264,7 +262,7 @@ class BlockMaxIndex:
         if at is None:  # most blocks are left: all in one go
             scores = head.astype(np.float64)
             if len(terms):
-                posts = np.concatenate([self.lists[t] for t in terms.tolist()])
+                posts = self.posts[_ranges(self.ends[terms], self.sizes[terms])]
                 scores += np.bincount(posts >> 32, np.repeat(weights, self.sizes[terms]) * _weights(posts), len(head))
             scores[skipped] = 0
             most = scores.reshape(self.blocks, BLOCK).max(axis=1)  # k blocks' largest scores are k scores
@@ -605,7 +603,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, limit: int = 12_000,
                 own = [vote for vote, _, _ in known.votes([made[i] for i in some], [texts_of[i] for i in some])]
                 yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(some, pa.int64())), pa.array(own, pa.float64())], ["y", "vote"])
 
-        votes = texts.select("text", "y").mapInArrow(without_itself, "y int, vote double").toArrow()
+        votes = texts.select("text", "y").mapInArrow(lambda batches: worker.trimmed(without_itself(batches)), "y int, vote double").toArrow()
         learned.destroy()
         y = votes["y"].to_numpy().astype(float)
         model.knots = isotonic(votes["vote"].to_numpy(), y, np.where(y == 1, rate1, rate0))
@@ -642,7 +640,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s for s, _, _ in found], pa.float64()), evidence], ["doc_id", "score", "evidence"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, score double, evidence array<struct<example {kind}, cosine double>>")
+    return rows.mapInArrow(lambda batches: worker.trimmed(run(batches)), f"doc_id {kind}, score double, evidence array<struct<example {kind}, cosine double>>")
 
 
 def held_out(doc_id: Column) -> Column:

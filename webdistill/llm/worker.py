@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
-from collections.abc import Callable, Hashable
+from collections.abc import Callable, Hashable, Iterator
 from typing import Any
 
 import pyarrow as pa
@@ -29,6 +29,12 @@ def held(owner: str, key: Hashable = None, make: Callable[[], Any] = lambda: Non
     return own[key]
 
 
+def trimmed(made: Iterator[Any]) -> Iterator[Any]:
+    """What a task makes; at its end it gives freed memory back, since the worker may idle while the JVM needs it."""
+    yield from made
+    give_back()
+
+
 def give_back() -> None:
     """Return freed memory to the system, where its allocator can."""
     gc.collect()
