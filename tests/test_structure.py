@@ -399,6 +399,11 @@ def test_native_coverage_equals_kernel(spark):
     assert got[2]["SubstantialListItems"][0] > got[2]["SubstantialListItems"][1]
 
 
+def test_coverage_reads_each_side_once(spark):
+    plan = T.semantic_coverage(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 2 and "Join" not in plan
+
+
 def test_tapes(spark):
     f = frame(spark, [("http://a.com/", STRUCTURED), ("http://a.com/", f"<article>{p(1)}<blockquote><p>q<ul><li>a<ul><li>b</ul></ul></blockquote></article>")])
     blocks = f.blocks().cache()

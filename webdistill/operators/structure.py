@@ -149,35 +149,49 @@ def streamed_parts(nodes: DataFrame, id_col: str = "page_id") -> DataFrame:
 
 
 # -- structure that is kept
-def _structure(blocks: DataFrame, id_col: str) -> DataFrame:
-    """``id, category, item, n`` of opening operations: how often a page has each; list items by what they say."""
+def _structure(blocks: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, category, item, n`` of opening operations: how often each page has each; list items by what they say.
+
+    Blocks are read once: an operation gives a row to each thing that it counts for (its category, its footnote, its list
+    item), and these meet in one sum.
+    """
     own = blocks.where(~F.col("close"))
     counted = F.when(F.col("op") == "CodeBlock", "CodeBlocks").when(F.col("op") == "Table", "DataTables").when(F.col("op") == "Heading", "Headings")
     counted = counted.when(F.col("op").isin("InlineMath", "DisplayMath"), "MathExpressions").when((F.col("op") == "Figure") | (F.col("op") == "Image") & ~F.col("in_figure"), "Visuals")
-    plain = own.select(id_col, counted.alias("category"), F.lit("").alias("item")).where("category IS NOT NULL")
-    notes = own.where(F.col("op").isin("FootnoteReference", "FootnoteDefinition")).groupBy(id_col, F.col("label").alias("item")).agg(F.count_distinct("op").alias("k"))
     said = F.when(F.col("op") == "Image", F.coalesce(F.when(F.col("alt") != "", F.col("alt")), F.col("src"))).when(F.col("op") == "Media", F.coalesce("title", "src")).otherwise(F.col("text"))
     says = F.when(F.col("op").isin("Text", "InlineCode", "CodeBlock", "InlineMath", "DisplayMath", "Image", "Media"), F.trim(F.regexp_replace(said, "\\s+", " ")))
-    parts = own.where(F.col("item_ord").isNotNull()).withColumn("says", F.when(says != "", says))
-    texts = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("says").isNotNull(), F.struct("ord", "says")))), lambda x: x["says"]), " ")
-    items = parts.groupBy(id_col, F.col("item_ord").alias("at")).agg(texts.alias("item"), F.max(F.when(F.col("op") == "ListItem", F.col("list_ord"))).alias("list"))
-    items = items.withColumn("of", F.count("*").over(Window.partitionBy(id_col, "list")))
-    listed = items.select(id_col, F.explode(F.when(F.col("of") >= SUBSTANTIAL, F.array(F.lit("ListItems"), F.lit("SubstantialListItems"))).otherwise(F.array(F.lit("ListItems")))).alias("category"), "item")
-    every = plain.unionByName(notes.where("k = 2").select(id_col, F.lit("FootnoteDefinitions").alias("category"), "item")).unionByName(listed)
-    return every.groupBy(id_col, "category", "item").agg(F.count("*").alias("n"))
+    note = F.col("op").isin("FootnoteReference", "FootnoteDefinition")
+    thing = lambda when, category, label=None, at=None: F.when(when, F.struct(category.alias("category"), (F.lit(None).cast("string") if label is None else label).alias("label"), (F.lit(None).cast("int") if at is None else at).alias("at")))
+    things = F.array(
+        thing(counted.isNotNull(), counted), thing(note, F.lit("FootnoteDefinitions"), label=F.col("label")), thing(F.col("item_ord").isNotNull(), F.lit("ListItems"), at=F.col("item_ord")),
+    )
+    rows = own.select(*keys, "op", "ord", "list_ord", says.alias("says"), F.explode(F.array_compact(things)).alias("x")).select(*keys, "op", "ord", "list_ord", "says", "x.*")
+    listed = F.col("category") == "ListItems"
+    texts = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(listed & (F.col("says") != ""), F.struct("ord", "says")))), lambda x: x["says"]), " ")
+    met = rows.groupBy(*keys, "category", "label", "at").agg(
+        F.count("*").alias("n"), F.min("op").alias("lo"), F.max("op").alias("hi"), texts.alias("says"), F.max(F.when(listed & (F.col("op") == "ListItem"), F.col("list_ord"))).alias("list")
+    )
+    met = met.where((F.col("category") != "FootnoteDefinitions") | (F.col("lo") != F.col("hi")))
+    met = met.withColumn("of", F.count("*").over(Window.partitionBy(*keys, "category", "list")))
+    item = F.when(listed, F.col("says")).when(F.col("category") == "FootnoteDefinitions", F.col("label")).otherwise("")
+    n = F.when(listed | (F.col("category") == "FootnoteDefinitions"), 1).otherwise(F.col("n"))
+    every = F.when(listed & (F.col("of") >= SUBSTANTIAL), F.array(F.lit("ListItems"), F.lit("SubstantialListItems"))).otherwise(F.array("category"))
+    return met.select(*keys, F.explode(every).alias("category"), item.alias("item"), n.alias("n")).groupBy(*keys, "category", "item").agg(F.sum("n").alias("n"))
 
 
 def semantic_coverage(source: DataFrame, result: DataFrame, id_col: str = "page_id") -> DataFrame:
     """``id, category, source_count, result_count, coverage`` of two relations of ``blocks``, as ``functions.coverage`` has it.
 
-    List items and footnotes are met as multisets by what they say, the rest is counted. Both sides are counted first and
-    then summed together: nothing is joined.
+    List items and footnotes are met as multisets by what they say, the rest is counted. Each side is read once, both are
+    counted and then summed together: nothing is joined.
     """
-    a = _structure(source, id_col).select(id_col, "category", "item", F.col("n").alias("a"), F.lit(0).alias("b"))
-    b = _structure(result, id_col).select(id_col, "category", "item", F.lit(0).alias("a"), F.col("n").alias("b"))
+    needed = [id_col, "ord", "op", "close", "text", "title", "src", "alt", "label", "item_ord", "list_ord", "in_figure"]
+    sides = source.select(*needed, F.lit(False).alias("of_result")).unionByName(result.select(*needed, F.lit(True).alias("of_result")))
+    side = F.col("of_result")
     # the source's substantial items are met by all of the result's
-    b = b.withColumn("category", F.when(F.col("category") == "ListItems", "SubstantialListItems").when(F.col("category") == "SubstantialListItems", None).otherwise(F.col("category")))
-    both = a.where("category <> 'ListItems'").unionByName(b.where("category IS NOT NULL")).groupBy(id_col, "category", "item").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    category = F.when(~side & (F.col("category") == "ListItems") | side & (F.col("category") == "SubstantialListItems"), None).when(F.col("category") == "ListItems", "SubstantialListItems").otherwise(F.col("category"))
+    counts = _structure(sides, [id_col, "of_result"]).withColumn("category", category).where("category IS NOT NULL")
+    both = counts.groupBy(id_col, "category", "item").agg(F.sum(F.when(side, 0).otherwise(F.col("n"))).alias("a"), F.sum(F.when(side, F.col("n")).otherwise(0)).alias("b"))
     met = F.when(F.col("category").isin("SubstantialListItems", "FootnoteDefinitions"), F.least("a", "b")).otherwise(F.col("b"))
     sums = both.groupBy(id_col, "category").agg(F.sum("a").alias("source_count"), F.sum(met).alias("result_count"))
     least = F.create_map(*(F.lit(x) for kv in LEAST.items() for x in kv))
